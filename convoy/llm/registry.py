@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from convoy.llm import sharding, token_counts
+from convoy.llm import sharding, token_counts, token_files
 
 
 def queries() -> dict:
     return {
         "op5_hash_tree": sharding.op5_hash_tree,
         "op6_prefix_counts": token_counts.op6_prefix_counts,
+        "op7_token_files": token_files.op7_token_files,
     }
 
 
