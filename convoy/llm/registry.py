@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convoy.llm import sharding, token_counts, token_files
+from convoy.llm import contamination, sharding, token_counts, token_files
 
 
 def queries() -> dict:
@@ -10,8 +10,9 @@ def queries() -> dict:
         "op5_hash_tree": sharding.op5_hash_tree,
         "op6_prefix_counts": token_counts.op6_prefix_counts,
         "op7_token_files": token_files.op7_token_files,
+        "op8_containment": contamination.op8_containment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_containment": contamination.ORACLE_SQL}
