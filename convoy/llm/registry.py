@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from convoy.llm import contamination, sharding, token_counts, token_files
+from convoy.llm import contamination, sharding, token_counts, token_files, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_character_ratio": url_filter.op1_character_ratio,
         "op5_hash_tree": sharding.op5_hash_tree,
         "op6_prefix_counts": token_counts.op6_prefix_counts,
         "op7_token_files": token_files.op7_token_files,
