@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convoy.llm import contamination, sharding, token_counts, token_files, url_filter
+from convoy.llm import contamination, language_id, sharding, token_counts, token_files, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_prefix_counts": token_counts.op6_prefix_counts,
         "op7_token_files": token_files.op7_token_files,
         "op8_containment": contamination.op8_containment,
+        "op10_byte_network": language_id.op10_byte_network,
     }
 
 
