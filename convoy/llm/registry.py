@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from convoy.llm import contamination, language_id, sharding, token_counts, token_files, url_filter
+from convoy.llm import contamination, language_id, mixing, sharding, token_counts, token_files, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_character_ratio": url_filter.op1_character_ratio,
+        "op4_hierarchical_budgets": mixing.op4_hierarchical_budgets,
         "op5_hash_tree": sharding.op5_hash_tree,
         "op6_prefix_counts": token_counts.op6_prefix_counts,
         "op7_token_files": token_files.op7_token_files,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_containment": contamination.ORACLE_SQL}
+    return {"op4_hierarchical_budgets": mixing.ORACLE_SQL, "op8_containment": contamination.ORACLE_SQL}
