@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convoy.llm import contamination, language_id, mixing, sharding, token_counts, token_files, url_filter
+from convoy.llm import contamination, language_id, mixing, sharding, token_counts, token_files, url_filter, vector_dedup
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_prefix_counts": token_counts.op6_prefix_counts,
         "op7_token_files": token_files.op7_token_files,
         "op8_containment": contamination.op8_containment,
+        "op9_hamming_tables": vector_dedup.op9_hamming_tables,
         "op10_byte_network": language_id.op10_byte_network,
     }
 
