@@ -23,6 +23,7 @@ empty table gives no files.  Other columns are not stored.
 from __future__ import annotations
 
 import io
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -43,7 +44,9 @@ FOOTER = 80
 #: A file is closed at so many ids or entries.
 FILE_IDS, FILE_ENTRIES = 8 << 20, 100_000
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 2_000_000
+#: A fixed value: how a tokenizer's pattern says that letters stand apart from all else.
+LETTER_RUNS = r"[\p{L}]+|"
 
 
 # ---- minimal perfect hash -------------------------------------------------
@@ -178,8 +181,19 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [s.get("type") for s in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.fold = "Lowercase" in steps and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        self.marks = any(LETTER_RUNS in s.get("pattern", {}).get("Regex", "") for s in spec["pre_tokenizer"].get("pretokenizers", []))
         self.clear()
 
+    def cut(self, texts: pa.Array) -> Iterator[W.Words]:
+        """Words as the library would part them anyway: marks behind letters on their own and, if
+        it lower-cases everything but its special tokens, A-Z lower-cased where no such token can be."""
+        special = self.fold and pc.any(pc.match_substring(texts, "<|")).as_py()
+        return W.words(texts, lower=self.fold and not special, marks=self.marks)
+
     def clear(self) -> None:
         self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
@@ -187,7 +201,7 @@ class WordEncoder:
     def _add(self, code: np.ndarray, texts: list[str]) -> None:
         if len(self.known) + len(code) > CACHE_WORDS:
             self.clear()
-        got = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        got = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         number = np.arange(len(got)) + len(self.first) - 1
         self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))])
@@ -261,7 +275,7 @@ def write(df: DataFrame, key: str, text: str, tokenizer: str, folder: str, end_i
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], ["file", "part", "number", "first_key", "entries", "ids"])
 
         for b in batches:
-            for w in W.words(b.column(1)):
+            for w in tok.cut(b.column(1)):
                 own, size = tok.encode(w)
                 if end_id is not None:
                     own = np.insert(own, np.cumsum(size), end_id)

@@ -20,6 +20,9 @@ CHUNK_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+_LETTER[65:91] = _LETTER[97:123] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -74,17 +77,20 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def words(texts: pa.Array, lower: bool = False, chunk: int = CHUNK_BYTES) -> Iterator[Words]:
-    """The words of all texts, whole documents together, some ``chunk`` bytes at a time."""
+def words(texts: pa.Array, lower: bool = False, chunk: int = CHUNK_BYTES, marks: bool = False) -> Iterator[Words]:
+    """The words of all texts, whole documents together, some ``chunk`` bytes at a time.
+
+    ``marks``: punctuation right behind an ASCII letter begins a word of its own.
+    """
     data, at = buffers(texts)
     row, n = 0, len(at) - 1
     while row < n:
         stop = max(row + 1, int(np.searchsorted(at, at[row] + chunk, "right")) - 1)
-        yield _words(data[at[row] : at[stop]], at[row : stop + 1] - at[row], slice(row, stop), lower)
+        yield _words(data[at[row] : at[stop]], at[row : stop + 1] - at[row], slice(row, stop), lower, marks)
         row = stop
 
 
-def _words(data: np.ndarray, at: np.ndarray, rows: slice, lower: bool) -> Words:
+def _words(data: np.ndarray, at: np.ndarray, rows: slice, lower: bool, marks: bool = False) -> Words:
     if lower:
         data = _LOWER[data]
     size = len(data)
@@ -92,6 +98,8 @@ def _words(data: np.ndarray, at: np.ndarray, rows: slice, lower: bool) -> Words:
     np.logical_not(_SPACE[data], out=inside[1:-1])
     edge = np.zeros(size + 2, bool)  # a document starts behind this place
     edge[at] = True
+    if marks:
+        edge[1:size] |= _MARK[data[1:]] & _LETTER[data[:-1]]
     here = inside[1:-1]
     start = np.flatnonzero(here & (~inside[:-2] | edge[:size]))
     end = np.flatnonzero(here & (~inside[2:] | edge[1 : size + 1])) + 1
