@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from convoy.llm import contamination, language_id, mixing, sharding, token_counts, token_files, url_filter, vector_dedup
+from convoy.llm import contamination, language_id, mixing, sharding, substring_dedup, token_counts, token_files, url_filter, vector_dedup
 
 
 def queries() -> dict:
     return {
         "op1_character_ratio": url_filter.op1_character_ratio,
+        "op2_recompression": substring_dedup.op2_recompression,
         "op4_hierarchical_budgets": mixing.op4_hierarchical_budgets,
         "op5_hash_tree": sharding.op5_hash_tree,
         "op6_prefix_counts": token_counts.op6_prefix_counts,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_hierarchical_budgets": mixing.ORACLE_SQL, "op8_containment": contamination.ORACLE_SQL}
+    return {"op2_recompression": substring_dedup.ORACLE_SQL, "op4_hierarchical_budgets": mixing.ORACLE_SQL, "op8_containment": contamination.ORACLE_SQL}
