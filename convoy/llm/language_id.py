@@ -38,6 +38,8 @@ HIDDEN, SPAN = 16, 24
 TRAIN_DOCS, TRAIN_WORDS, STEPS, BATCH = 400, 24_000, 700, 768
 #: Distinct words whose sums a worker keeps.
 CACHE_WORDS = 400_000
+#: Words that run through the network at once.
+SLICE = 2048
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -177,8 +179,8 @@ class Reader:
         sizes = end - start
         for n in np.unique(sizes):
             rows = np.flatnonzero(sizes == n)
-            for k in range(0, len(rows), 8192):
-                part = rows[k : k + 8192]
+            for k in range(0, len(rows), SLICE):
+                part = rows[k : k + SLICE]
                 out[part] = self.net.positions(data[start[part][:, None] + np.arange(n)]).sum(1)
         return out
 
