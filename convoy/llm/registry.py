@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from convoy.llm import contamination, language_id, mixing, sharding, substring_dedup, token_counts, token_files, url_filter, vector_dedup
+from convoy.llm import contamination, jaccard_join, language_id, mixing, sharding, substring_dedup, token_counts, token_files, url_filter, vector_dedup
 
 
 def queries() -> dict:
     return {
         "op1_character_ratio": url_filter.op1_character_ratio,
         "op2_recompression": substring_dedup.op2_recompression,
+        "op3_token_groups": jaccard_join.op3_token_groups,
         "op4_hierarchical_budgets": mixing.op4_hierarchical_budgets,
         "op5_hash_tree": sharding.op5_hash_tree,
         "op6_prefix_counts": token_counts.op6_prefix_counts,
