@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from convoy.plans import query_access, query_pipeline, query_scalars, query_sources, query_spatial, registered
+
+MODULES = (query_access, query_pipeline, query_scalars, query_sources, query_spatial)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registered.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registered.ORACLES)
