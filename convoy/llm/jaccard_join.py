@@ -14,6 +14,7 @@ threshold or more; each document gets its component under these links.
 4.  The matrix: for each frequent shingle, the groups that hold it.  A document that
     meets a group other than its own is bounded by its overlap with the union of the
     group's shingles; only groups that pass are opened, and their members verified.
+    (A group of few members is bounded by its members' sketches.)
     Documents that are no longer apart are not compared at all.
 
 Equal sets within a batch become one at once, so large groups of copies send few
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoy.llm import words as W
@@ -45,18 +46,22 @@ WIDTH = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Documents of a shingle up to which all their pairs are candidates.
 SMALL = 16
-#: Documents whose shingles are counted for the order, and how often a frequent one occurs there.
-SAMPLE_DOCS, SAMPLE_COUNT = 8000, 8
+#: The order counts the shingles of one document in SAMPLE_PART (of SAMPLE_LEAST documents at least, SAMPLE_MOST at most); a
+#: frequent shingle occurs SAMPLE_COUNT times there, or so often that no more than LATE_MOST are frequent (8 bytes each).
+SAMPLE_PART, SAMPLE_LEAST, SAMPLE_MOST, SAMPLE_COUNT, LATE_MOST = 16, 8000, 200_000, 3, 1_000_000
 #: Centres that the documents of a frequent shingle meet first.
 CENTRES = 6
-SKETCH_BITS = 2048
+#: Bytes of text whose shingles are made at once; bounds a worker's temporaries.
+CHUNK = 1 << 20
+#: Members of a group up to which it is opened without a union, and documents of a block.
+FEW_MEMBERS, BLOCK = 32, 256
 #: Documents with candidates up to which their ids are broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
 
 def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """Row and sorted distinct shingles of each text that has any."""
-    for w in W.words(texts, lower=True):
+    for w in W.words(texts, lower=True, chunk=CHUNK):
         shingle, first = W.shingles(w, WIDTH)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         order = np.lexsort((shingle, doc))
@@ -73,21 +78,59 @@ def shown(n: int) -> int:
     return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of ``SKETCH_BITS`` slots; the distance of two never exceeds their sets' difference."""
-    odd = np.bincount((W.mix(tokens, 71) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def sketch(tokens: np.ndarray, wide: int = 1) -> bytes:
+    """Parity of the shingles in each of some slots; the distance of two never exceeds their sets' difference.
+
+    There are as many slots as the next power of two from ``wide`` times the set's size on, so a sketch costs an eighth to a
+    quarter of a byte per shingle; a longer one folds to a shorter one's slots.
+    """
+    slots = max(64, 1 << int(wide * len(tokens) - 1).bit_length())
+    odd = np.bincount((W.mix(tokens, 71) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _stack(marks: list[bytes], rows: np.ndarray, size: int) -> np.ndarray:
+    """Sketches of some rows as words, folded to ``size`` bytes."""
+    out = np.frombuffer(b"".join(marks[k] for k in rows), np.uint64).reshape(len(rows), -1)
+    while out.shape[1] * 8 > size:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return out
+
+
+def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Distance of each pair of sketches."""
+    size = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)]).reshape(-1, 2)
+    out = np.zeros(len(x), np.int64)
+    for la, lb in np.unique(size, axis=0):
+        rows = np.flatnonzero((size[:, 0] == la) & (size[:, 1] == lb))
+        out[rows] = np.bitwise_count(_stack(x, rows, min(la, lb)) ^ _stack(y, rows, min(la, lb))).sum(1, dtype=np.int64)
+    return out
+
+
+def all_apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Distance of every sketch of one list and every one of another."""
+    sx, sy = np.array([len(a) for a in x]), np.array([len(b) for b in y])
+    out = np.zeros((len(x), len(y)), np.int64)
+    for la in np.unique(sx):
+        for lb in np.unique(sy):
+            i, j = np.flatnonzero(sx == la), np.flatnonzero(sy == lb)
+            b = _stack(y, j, min(la, lb))
+            for k, a in zip(i, _stack(x, i, min(la, lb)), strict=True):
+                out[k, j] = np.bitwise_count(a[None, :] ^ b).sum(1, dtype=np.int64)
+    return out
 
 
 # ---- rows of the first shuffle ------------------------------------------------
 
 DOC, EDGE, PAIR, FREQUENT = 0, 1, 2, 3
-SHOWN = "token long, doc long, n long, other long, kind int"
-FOUND = "kind int, token long, a long, b long, n long"
+SHOWN = "token long, doc long, n long, other long, kind int, sketch binary"
+FOUND_NAMES = ["kind", "token", "a", "b", "n", "sketch"]
+FOUND = "kind int, token long, a long, b long, n long, sketch binary"
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that are frequent in the sample; at most the sample's shingles divided by SAMPLE_COUNT."""
+    """Shingles that are frequent in the sample, LATE_MOST at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,10 +140,16 @@ def _frequent(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
     total = docs.count()
-    part = max(1, round(total / SAMPLE_DOCS))
-    sample = docs.where(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(part)) == 0).select("text")
-    rows = sample.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_COUNT).select("token")
-    return np.sort(rows.toArrow().column(0).to_numpy().view(np.uint64))
+    wanted = min(SAMPLE_MOST, max(SAMPLE_LEAST, total // SAMPLE_PART))
+    sample = docs.where(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(1 << 20)) < int(min(1.0, wanted / max(total, 1)) * (1 << 20))).select("text")
+    rows = settled(sample.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_COUNT), "frequent")
+    sizes = sorted(((r.n, r.k) for r in rows.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True)
+    room, least = LATE_MOST, 1 << 62
+    for n, k in sizes:
+        if k > room:
+            break
+        room, least = room - k, n
+    return np.sort(rows.where(F.col("n") >= least).select("token").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def _show(frequent):
@@ -109,13 +158,14 @@ def _show(frequent):
         for b in batches:
             valid = pc.is_valid(b.column(0)).to_numpy(zero_copy_only=False)
             ids = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
-            size = np.zeros(len(ids), np.int64)
+            size, marks = np.zeros(len(ids), np.int64), [None] * len(ids)
             rows: dict[bytes, tuple[int, np.ndarray]] = {}
             edges: list[tuple[int, int]] = []
             for r, tokens in _sets(b.column(1)):
                 size[r] = len(tokens)
                 if not valid[r]:
                     continue
+                marks[r] = sketch(tokens)
                 mark = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
                 if mark in rows:  # an equal set: the smaller key stands for both
                     other = rows[mark][0]
@@ -133,14 +183,15 @@ def _show(frequent):
             yield _rows(token, doc, full, None, FREQUENT)
             a, c = (np.array(x, np.int64) for x in zip(*edges, strict=True)) if edges else [np.zeros(0, np.int64)] * 2
             yield _rows(W.mix(a.view(np.uint64), 91), a, np.zeros(len(a), np.int64), c, EDGE)
-            yield _rows(W.mix(ids.view(np.uint64) + np.arange(len(ids), dtype=np.uint64), 92), pa.array(ids, mask=~valid), size, None, DOC)
+            yield _rows(W.mix(ids.view(np.uint64) + np.arange(len(ids), dtype=np.uint64), 92), pa.array(ids, mask=~valid), size, None, DOC, marks)
 
     return run
 
 
-def _rows(token: np.ndarray, doc, n: np.ndarray, other, kind: int) -> pa.RecordBatch:
+def _rows(token: np.ndarray, doc, n: np.ndarray, other, kind: int, marks: list | None = None) -> pa.RecordBatch:
     others = pa.array(other) if other is not None else pa.nulls(len(token), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), doc if isinstance(doc, pa.Array) else pa.array(doc), pa.array(n), others, pa.array(np.full(len(token), kind, np.int32))], ["token", "doc", "n", "other", "kind"])
+    sketches = pa.array(marks, pa.binary()) if marks is not None else pa.nulls(len(token), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), doc if isinstance(doc, pa.Array) else pa.array(doc), pa.array(n), others, pa.array(np.full(len(token), kind, np.int32)), sketches], ["token", "doc", "n", "other", "kind", "sketch"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +208,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in (DOC, EDGE):
             part = b.filter(pa.array(kind == k))
             if part.num_rows:
-                yield pa.RecordBatch.from_arrays([part.column(4), part.column(0), part.column(1), part.column(3), part.column(2)], ["kind", "token", "a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([part.column(4), part.column(0), part.column(1), part.column(3), part.column(2), part.column(5)], FOUND_NAMES)
         part = b.filter(pa.array(kind == FREQUENT))
         rows = tuple(np.concatenate([h, part.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, (0, 1, 2), strict=True))
         last = rows[0][-1] if len(rows[0]) else None
@@ -198,11 +249,11 @@ def _runs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, running) -> Iterato
         pair = np.unique(np.stack([np.concatenate(a_s), np.concatenate(b_s)], 1), axis=0)
         pair = pair[pair[:, 0] != pair[:, 1]]
         zero = np.zeros(len(pair), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), PAIR, np.int32)), pa.array(zero), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(zero)], ["kind", "token", "a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), PAIR, np.int32)), pa.array(zero), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(zero), pa.nulls(len(pair), pa.binary())], FOUND_NAMES)
 
 
 def _frequent_rows(token: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(token), FREQUENT, np.int32)), pa.array(token), pa.array(doc), pa.nulls(len(token), pa.int64()), pa.array(n)], ["kind", "token", "a", "b", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(token), FREQUENT, np.int32)), pa.array(token), pa.array(doc), pa.nulls(len(token), pa.int64()), pa.array(n), pa.nulls(len(token), pa.binary())], FOUND_NAMES)
 
 
 def fits(n, m):
@@ -214,30 +265,44 @@ def fits(n, m):
 
 
 def _token_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, n, tokens, sketch) of the documents named."""
+    """(doc, tokens) of the documents named; only their texts are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = list(_sets(b.column(1)))
             rows = pa.array([r for r, _ in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([len(t) for _, t in got], pa.int64()), pa.array([t.tobytes() for _, t in got], pa.binary()), pa.array([sketch(t) for _, t in got], pa.list_(pa.int64()))], ["doc", "n", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([t.tobytes() for _, t in got], pa.binary())], ["doc", "tokens"])
 
     few = ids.count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-    return chosen.mapInArrow(run, "doc long, n long, tokens binary, sketch array<long>").dropDuplicates(["doc"])
+    return chosen.mapInArrow(run, "doc long, tokens binary")
+
 
+def _side(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    return df.select(F.col("doc").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-def _apart(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b), those that link."""
-    side = lambda name, *cols: sets.select(F.col("doc").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
-    near = pairs.join(side("a", "n", "sketch"), "a").where("a <> b").join(side("b", "n", "sketch"), "b")
-    # a link leaves at most a ninth of both sizes apart
-    near = near.where(fits(F.col("n_a"), F.col("n_b")) & (_apart("sketch_a", "sketch_b") * (NUMERATOR + DENOMINATOR) <= (F.col("n_a") + F.col("n_b")) * (DENOMINATOR - NUMERATOR))).select("a", "b")
-    both = near.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
+
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose sizes and sketches allow a link, which leaves at most a ninth of both sizes apart."""
+    rows = pairs.join(_side(sketches, "a", "n", "sketch"), "a").where("a <> b").join(_side(sketches, "b", "n", "sketch"), "b").where(fits(F.col("n_a"), F.col("n_b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                room = (b.column(2).to_numpy() + b.column(4).to_numpy()) * (DENOMINATOR - NUMERATOR)
+                far = apart(b.column(3).to_pylist(), b.column(5).to_pylist()) * (NUMERATOR + DENOMINATOR) > room
+                yield b.select(["a", "b"]).filter(pa.array(~far))
+
+    return rows.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those that link."""
+    both = near.join(_side(sets, "a", "tokens"), "a").join(_side(sets, "b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,39 +313,92 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[k] = DENOMINATOR * shared >= NUMERATOR * (len(x) + len(y) - shared)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def _labelled(rows: DataFrame, groups: DataFrame, doc: str = "doc") -> DataFrame:
     return rows.join(groups.withColumnRenamed("node", doc), doc, "left").withColumn("component", F.coalesce("component", doc))
 
 
-def _opened(often: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs to verify between documents and groups that share a frequent shingle, by the matrix.
+def _asked(often: DataFrame, sizes: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which documents ask which groups of several members, from the matrix of frequent shingles and groups; and all groups' members.
 
-    often: ``token``, ``doc``, ``n``.
+    often: ``token``, ``doc``, ``n``; sizes: ``doc``, ``n`` of all documents.
     """
     rows = _labelled(often, groups)
     mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     rows = settled(rows.join(mixed, "token"), "matrix-rows")
-    members = _labelled(sets.select("doc", "n"), groups)
+    members = _labelled(sizes, groups).join(rows.select("component").distinct(), "component", "left_semi")
+    members = settled(members.select("doc", "n", "component"), "members")
     of_group = members.groupBy("component").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = rows.select("token", F.col("component").alias("group")).distinct().join(of_group.withColumnRenamed("component", "group"), "group")
+    matrix = rows.select("token", F.col("component").alias("group")).distinct().join(of_group.where("size > 1").withColumnRenamed("component", "group"), "group")
     queries = rows.select("token", "doc", "n", "component").join(of_group.select("component", F.col("size").alias("own")), "component")
     # the smaller group asks the larger one
     asks = (F.col("component") != F.col("group")) & (F.struct("own", "component") < F.struct(F.col("size"), F.col("group")))
     possible = (F.col("most") * DENOMINATOR >= F.col("n") * NUMERATOR) & (F.col("n") * DENOMINATOR >= F.col("least") * NUMERATOR)
-    asked = settled(queries.join(matrix, "token").where(asks & possible).select("doc", "n", "group", "size").distinct(), "matrix-asked")
-    single = asked.where("size = 1").select("doc", F.col("group").alias("other"))
-    several = asked.where("size > 1")
-    spread = lambda df, name: df.join(sets.select("doc", "tokens"), "doc").select(*df.columns, "tokens").mapInArrow(_spread(df.columns), f"{', '.join(f'`{c}` long' for c in df.columns)}, token long").withColumnRenamed(df.columns[0], name)
-    unions = members.join(several.select(F.col("group").alias("component")).distinct(), "component").select("doc", "component")
-    unions = spread(unions, "member").select(F.col("component").alias("group"), "token").distinct()
-    wanted = spread(several.select("doc", "n", "group"), "asker")
-    bound = wanted.join(unions, ["group", "token"]).groupBy("asker", "n", "group").agg(F.count("*").alias("overlap")).where(F.col("overlap") * DENOMINATOR >= F.col("n") * NUMERATOR)
+    return settled(queries.join(matrix, "token").where(asks & possible).select("doc", "n", "group", "size").distinct(), "asked"), members
+
+
+def _blocks(rows: DataFrame, by: str, name: str, size: int) -> DataFrame:
+    """Rows (``by``, doc, n, sketch) packed into blocks of about ``size``."""
+    counts = rows.groupBy(by).agg(F.ceil(F.count("*") / size).alias("_blocks"))
+    placed = rows.join(counts, by).withColumn(f"{name}_block", F.pmod(F.xxhash64("doc"), "_blocks"))
+    return placed.groupBy(by, f"{name}_block").agg(F.collect_list(F.struct("doc", "n", "sketch")).alias(name))
+
+
+def _near_in_blocks(pairs: DataFrame) -> DataFrame:
+    """From rows with two blocks ``x`` and ``y``, the pairs (a, b) whose sizes and sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0), b.column(1), strict=True):
+                (dx, nx, mx), (dy, ny, my) = ([z.values.field(k) for k in range(3)] for z in (x, y))
+                dx, nx, dy, ny = (z.to_numpy() for z in (dx, nx, dy, ny))
+                near = fits(nx[:, None], ny[None, :]) & (dx[:, None] != dy[None, :])
+                near &= all_apart(mx.to_pylist(), my.to_pylist()) * (NUMERATOR + DENOMINATOR) <= (nx[:, None] + ny[None, :]) * (DENOMINATOR - NUMERATOR)
+                i, j = np.nonzero(near)
+                found = np.unique(np.stack([np.minimum(dx[i], dy[j]), np.maximum(dx[i], dy[j])], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+
+    return pairs.select("x", "y").mapInArrow(run, "a long, b long")
+
+
+def _opened(often: DataFrame, asked: DataFrame, members: DataFrame, sketches: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Near pairs (a, b) of documents and members of the groups that are opened.
+
+    Groups of few members are bounded by their members' sketches.  Larger ones by the union of their shingles; members and askers
+    then meet block by block, by wider sketches.  Documents that are groups of their own meet block by block within a shingle.
+    """
+    few = asked.where(F.col("size") <= FEW_MEMBERS).select("doc", "n", "group")
     inside = members.select(F.col("doc").alias("other"), F.col("n").alias("m"), F.col("component").alias("group"))
-    opened = bound.join(inside, "group").where(fits(F.col("n"), F.col("m"))).select(F.col("asker").alias("doc"), "other")
-    return single.unionByName(opened).select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+    pairs = few.join(inside, "group").where(fits(F.col("n"), F.col("m"))).select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+    near = _near(pairs.join(known, ["a", "b"], "left_anti"), sketches)
+
+    lone = members.groupBy("component").agg(F.count("*").alias("k")).where("k = 1").select(F.col("component").alias("doc"))
+    alone = _blocks(often.join(lone, "doc", "left_semi").select("token", "doc").join(sketches, "doc"), "token", "x", BLOCK)
+    other = alone.withColumnsRenamed({"x": "y", "x_block": "y_block"})
+    near = near.unionByName(_near_in_blocks(alone.join(other, "token").where("x_block <= y_block")))
+
+    several = asked.where(F.col("size") > FEW_MEMBERS)
+    if not several.isEmpty():
+        unions = members.join(several.select(F.col("group").alias("component")).distinct(), "component").select("doc", "n", F.col("component").alias("group"))
+        sets = settled(_token_sets(docs, unions.select("doc").unionByName(several.select("doc")).distinct()), "token-sets")
+        union = unions.select("doc", "group").join(sets, "doc").select("doc", "group", "tokens").mapInArrow(_spread(["doc", "group"]), "doc long, group long, token long").select("group", "token").distinct()
+        wanted = several.select("doc", "n", "group").join(sets, "doc").mapInArrow(_spread(["doc", "n", "group"]), "doc long, n long, group long, token long")
+        bound = wanted.join(union, ["group", "token"]).groupBy("doc", "n", "group").agg(F.count("*").alias("overlap")).where(F.col("overlap") * DENOMINATOR >= F.col("n") * NUMERATOR)
+        wide = _wide(sets)
+        asks, held = (df.select("group", "doc", "n").join(wide, "doc") for df in (bound, unions))
+        near = near.unionByName(_near_in_blocks(_blocks(asks, "group", "x", BLOCK // 4).join(_blocks(held, "group", "y", BLOCK), "group")))
+    return near.distinct().join(known, ["a", "b"], "left_anti")
+
+
+def _wide(sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = [sketch(np.frombuffer(t.as_buffer(), np.uint64), 8) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary())], ["doc", "sketch"])
+
+    return sets.mapInArrow(run, "doc long, sketch binary")
 
 
 def _spread(columns: list[str]):
@@ -308,16 +426,18 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     stars = often.join(centres.select("token", F.explode(F.array(*[f"c{k}" for k in range(CENTRES)])).alias("c")), "token").where(fits(F.col("n"), F.col("c.n")) & (F.col("doc") != F.col("c.doc")))
     stars = stars.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
     pairs = settled(found.where(F.col("kind") == PAIR).select("a", "b").unionByName(stars).distinct(), "candidates")
-    involved = settled(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).unionByName(often.select("doc")).distinct(), "involved")
-    sets = settled(_token_sets(docs, involved), "token-sets")
-    linked = settled(_verified(pairs, sets).unionByName(equal), "links")
-    groups = settled(components(linked), "groups")
-    more = settled(_opened(often, sets, groups).join(pairs, ["a", "b"], "left_anti"), "opened")
-    extra = settled(_verified(more, sets), "links")
-    if extra.isEmpty():
-        final = groups
-    else:
-        final = components(extra.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    sketches = found.where((F.col("kind") == DOC) & F.col("sketch").isNotNull()).select(F.col("a").alias("doc"), "n", "sketch")
+
+    def verified(near: DataFrame) -> DataFrame:
+        near = settled(near, "near")
+        return _verified(near, settled(_token_sets(docs, _ids(near)), "token-sets"))
+
+    groups = settled(components(settled(verified(_near(pairs, sketches)).unionByName(equal), "links")), "groups")
+    asked, members = _asked(often, sketches.select("doc", "n").distinct(), groups)
+    final = groups
+    if not members.isEmpty():
+        more = verified(_opened(often, asked, members, sketches, docs, pairs))
+        final = components(settled(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))), "links"))
     rows = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc"), F.col("n").alias("n_shingles"))
     return _labelled(rows, final).select(F.col("doc").alias(key), "n_shingles", F.col("component").alias("component_id"))
 
