@@ -40,8 +40,8 @@ HOT = "tenant_id string, driver_id string, lon double, lat double, hos double, u
 _STATE = "lon double, lat double, placed long, hos double, clocked long"
 
 
-def hot_state(readings: DataFrame, idle_ms: int = 48 * 3600 * 1000) -> DataFrame:
-    """Each driver's latest place and clock by event time, as keyed state that is dropped after idle processing time."""
+def hot_state(readings: DataFrame, idle_ms: int = 48 * 3600 * 1000, late: str = LATE) -> DataFrame:
+    """Each driver's latest place and clock by event time, as keyed state that goes when the watermark is so far past the last of them."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -58,11 +58,11 @@ def hot_state(readings: DataFrame, idle_ms: int = 48 * 3600 * 1000) -> DataFrame
                     elif not is_place and at[k] >= clocked:
                         hos, clocked = float(mine.value[k]), int(at[k])
         state.update((lon, lat, placed, hos, clocked))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(max(placed, clocked) // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"tenant_id": [key[0]], "driver_id": [key[1]], "lon": [lon], "lat": [lat], "hos": [hos], "updated_at": [pd.Timestamp(max(placed, clocked), unit="us")]})
 
-    slim = readings.select("tenant_id", "driver_id", "kind", "value", "observed_at", F.col("location.lon").alias("lon"), F.col("location.lat").alias("lat"))
-    return slim.groupBy("tenant_id", "driver_id").applyInPandasWithState(update, HOT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    slim = readings.withWatermark("observed_at", late).select("tenant_id", "driver_id", "kind", "value", "observed_at", F.col("location.lon").alias("lon"), F.col("location.lat").alias("lat"))
+    return slim.groupBy("tenant_id", "driver_id").applyInPandasWithState(update, HOT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def feed(exceptions: DataFrame, district: str | None = None) -> DataFrame:
