@@ -29,6 +29,8 @@ from convoy.llm import words as W
 
 #: Distinct segments whose counts a worker keeps.
 CACHE_SEGMENTS = 1_500_000
+#: Bytes of text cut at once; the larger, the fewer look-ups of words that repeat.
+CHUNK = 4 << 20
 #: Distinct pieces handled at once; bounds the tables.
 PIECES = 65_536
 _EMPTY = np.uint64(0)
@@ -295,7 +297,7 @@ def count_texts(tok: PrefixCounter, texts: pa.Array) -> np.ndarray:
         texts = texts.combine_chunks()
     odd = _odd_rows(texts) | (np.logical_or.reduce([_has(texts, s) for s in tok.specials]) if tok.specials else False)
     out = np.zeros(len(texts), np.int64)
-    for w in W.words(texts):
+    for w in W.words(texts, chunk=CHUNK):
         n_docs = w.rows.stop - w.rows.start
         skip = odd[w.rows]
         # a segment is a word with the white space before it; what follows the last word is one more

@@ -45,6 +45,8 @@ FOOTER = 80
 FILE_IDS, FILE_ENTRIES = 8 << 20, 100_000
 #: Distinct words whose ids a worker keeps.
 CACHE_WORDS = 2_000_000
+#: Bytes of text cut at once; the larger, the fewer look-ups of words that repeat.
+CHUNK = 4 << 20
 #: A fixed value: how a tokenizer's pattern says that letters stand apart from all else.
 LETTER_RUNS = r"[\p{L}]+|"
 
@@ -192,7 +194,7 @@ class WordEncoder:
         """Words as the library would part them anyway: marks behind letters on their own and, if
         it lower-cases everything but its special tokens, A-Z lower-cased where no such token can be."""
         special = self.fold and pc.any(pc.match_substring(texts, "<|")).as_py()
-        return W.words(texts, lower=self.fold and not special, marks=self.marks)
+        return W.words(texts, lower=self.fold and not special, marks=self.marks, chunk=CHUNK)
 
     def clear(self) -> None:
         self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; bounds the temporaries at about 20 times as much.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
@@ -52,7 +52,7 @@ def _byte_codes() -> np.ndarray:
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(size).bit_length()))
+    return _powers(1 << max(16, int(size - 1).bit_length()))
 
 
 @dataclass
