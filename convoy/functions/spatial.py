@@ -58,20 +58,25 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return F.coalesce(F.size(F.filter(edges(close_ring(ring)), crosses)) % 2 == 1, F.lit(False))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluates a value once for an expression that uses it several times; inside lambdas nothing else shares it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def metres_from_path(lon: Column, lat: Column, path: Column) -> Column:
     """Whole metres from a point to a path, on a plane scaled at the point's latitude; null for fewer than two points."""
     up = F.lit(KM_PER_DEGREE * 1000)
-    across = up * F.cos(F.radians(lat))
 
-    def squared(e: Column) -> Column:
-        ax, ay = (e["a"]["lon"] - lon) * across, (e["a"]["lat"] - lat) * up
-        dx, dy = (e["b"]["lon"] - e["a"]["lon"]) * across, (e["b"]["lat"] - e["a"]["lat"]) * up
-        length = dx * dx + dy * dy
-        t = F.when(length == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.nullif(length, F.lit(0.0)))))
-        x, y = ax + t * dx, ay + t * dy
-        return x * x + y * y
+    def flat(e: Column, across: Column) -> Column:
+        ax, ay, bx, by = (e["a"]["lon"] - lon) * across, (e["a"]["lat"] - lat) * up, (e["b"]["lon"] - e["a"]["lon"]) * across, (e["b"]["lat"] - e["a"]["lat"]) * up
+        return F.struct(ax.alias("ax"), ay.alias("ay"), bx.alias("dx"), by.alias("dy"), (bx * bx + by * by).alias("n"))
+
+    def nearest(s: Column) -> Column:
+        t = F.when(s["n"] == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(s["ax"] * s["dx"] + s["ay"] * s["dy"]) / F.nullif(s["n"], F.lit(0.0)))))
+        return _let(t, lambda t: (s["ax"] + t * s["dx"]) * (s["ax"] + t * s["dx"]) + (s["ay"] + t * s["dy"]) * (s["ay"] + t * s["dy"]))
 
-    return half_up(F.sqrt(F.array_min(F.transform(edges(path), squared)))).cast("long")
+    squares = _let(up * F.cos(F.radians(lat)), lambda across: F.transform(edges(path), lambda e: _let(flat(e, across), nearest)))
+    return half_up(F.sqrt(F.array_min(squares))).cast("long")
 
 
 def point_along(path: Column, t: Column) -> Column:
