@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_recompression": substring_dedup.ORACLE_SQL, "op4_hierarchical_budgets": mixing.ORACLE_SQL, "op8_containment": contamination.ORACLE_SQL}
+    return {
+        "op2_recompression": substring_dedup.ORACLE_SQL,
+        "op3_token_groups": jaccard_join.ORACLE_SQL,
+        "op4_hierarchical_budgets": mixing.ORACLE_SQL,
+        "op8_containment": contamination.ORACLE_SQL,
+        "op9_hamming_tables": vector_dedup.ORACLE_SQL,
+    }

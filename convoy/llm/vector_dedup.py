@@ -215,3 +215,14 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 def op9_hamming_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors among all embeddings of a label."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS u FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.u) = len(b.u) WHERE list_cosine_similarity(a.u, b.u) >= 0.93),
+n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a),
+r AS (SELECT a AS node, b AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
+c AS (SELECT node, min(reach) AS least FROM r GROUP BY node)
+SELECT m.vec_id, coalesce(n, 0) AS n_links, least(m.vec_id, coalesce(least, m.vec_id)) AS component_id, m.vec_id = least(m.vec_id, coalesce(least, m.vec_id)) AS kept
+FROM embeddings m LEFT JOIN n ON n.vec_id = m.vec_id LEFT JOIN c ON node = m.vec_id
+"""
