@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,9 +91,7 @@ def clusters(points: DataFrame, key: str, metres: float, by: list[str]) -> DataF
     for b in by:
         pairs = pairs.where(F.col(f"l.{b}") == F.col(f"r.{b}"))
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="convoy-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="convoy-"))
     edges = pairs.select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b")).checkpoint()
     labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
     while True:
