@@ -30,12 +30,20 @@ def chunk_markdown(docs: DataFrame) -> DataFrame:
     )
 
 
-def word_vectors(df: DataFrame, keys: list[str], body: str) -> DataFrame:
-    """Sparse unit vectors of hashed words: a row per key and bucket with its ``weight``."""
-    words = df.select(*keys, F.explode(text.tokens(F.col(body))).alias("t")).select(*keys, text.embedding_bucket(F.col("t")).alias("bucket"))
-    counts = words.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
+def word_counts(df: DataFrame, keys: list[str], body: str) -> DataFrame:
+    """A row per key and distinct word ``t`` with its number ``n``."""
+    return df.select(*keys, F.explode(text.tokens(F.col(body))).alias("t")).groupBy(*keys, "t").agg(F.count("*").alias("n"))
+
+
+def vectors_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Sparse unit vectors of hashed words from their counts: a row per key and bucket with its ``weight``."""
+    buckets = counts.groupBy(*keys, text.embedding_bucket(F.col("t")).alias("bucket")).agg(F.sum("n").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(*keys)))
-    return counts.withColumn("weight", F.col("n") / norm).drop("n")
+    return buckets.withColumn("weight", F.col("n") / norm).drop("n")
+
+
+def word_vectors(df: DataFrame, keys: list[str], body: str) -> DataFrame:
+    return vectors_of(word_counts(df, keys, body), keys)
 
 
 def retrieve(chunks: DataFrame, question: str, tenant: str, top: int = 3) -> DataFrame:
@@ -56,13 +64,13 @@ def retrieve_many(chunks: DataFrame, questions: DataFrame, top: int = 3, by: lis
 
     chunks: ``tenant_id``, ``chunk_id``, ``text``; questions: ``tenant_id``, ``question_id``, ``text``.
     """
-    left, right = ["tenant_id", "question_id"], ["tenant_id", "chunk_id"]
-    vectors = word_vectors(questions, left, "text").join(word_vectors(chunks, right, "text").withColumnRenamed("weight", "w"), ["tenant_id", "bucket"])
-    cosine = vectors.groupBy("tenant_id", "question_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("w")).alias("cosine"))
-    words = lambda df, keys: df.select(*keys, F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("t"))
-    asked = questions.select(*left, F.size(F.array_distinct(text.tokens(F.col("text")))).alias("asked"))
-    shared = words(questions, left).join(words(chunks, right), ["tenant_id", "t"]).groupBy("tenant_id", "question_id", "chunk_id").agg(F.count("*").alias("shared"))
-    scored = cosine.join(shared, ["tenant_id", "question_id", "chunk_id"], "left").join(asked, left)
+    left, right, both = ["tenant_id", "question_id"], ["tenant_id", "chunk_id"], ["tenant_id", "question_id", "chunk_id"]
+    asked, held = word_counts(questions, left, "text"), word_counts(chunks, right, "text")
+    meet = vectors_of(asked, left).join(vectors_of(held, right).withColumnRenamed("weight", "w"), ["tenant_id", "bucket"])
+    cosine = meet.groupBy(*both).agg(F.sum(F.col("weight") * F.col("w")).alias("cosine"))
+    shared = asked.select(*left, "t").join(held.select(*right, "t"), ["tenant_id", "t"]).groupBy(*both).agg(F.count("*").alias("shared"))
+    sizes = asked.groupBy(*left).agg(F.count("*").alias("asked"))
+    scored = cosine.join(shared, both, "left").join(sizes, left)
     scored = scored.withColumn("score", VECTOR_SHARE * F.col("cosine") + WORD_SHARE * F.coalesce("shared", F.lit(0)) / F.greatest("asked", F.lit(1)))
     order = Window.partitionBy(*left).orderBy(F.desc(F.floor(F.col("score") * 1e9 + 0.5)), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
