@@ -109,7 +109,9 @@ def window_ratios(windows: DataFrame, trained: DataFrame) -> DataFrame:
 
 def scores(urls: DataFrame, label: str = "label", fold: str = "train") -> DataFrame:
     """Distinct URLs with their score; urls: ``url``, a label (true: accepted, null: unknown) and whether it trains."""
-    rows = urls.groupBy("url").agg(F.count("*").alias("n"), F.max(label).alias("label"), F.max(fold).alias("train"))
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # distinct URLs are few bytes and much work: they are dealt to as many tasks as shuffles have, not to as few as their size asks for
+    rows = urls.groupBy("url").agg(F.count("*").alias("n"), F.max(label).alias("label"), F.max(fold).alias("train")).repartition(parts)
     cut = rows.select("url", F.explode(_windows(F.col("url"))).alias("window"), F.when(F.col("train") & F.col("label"), F.col("n")).otherwise(0).alias("yes"), F.when(F.col("train") & ~F.col("label"), F.col("n")).otherwise(0).alias("no"))
     counted = settled(cut.groupBy("window").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")), "url-windows")
     ratios = window_ratios(counted.select("window"), counted.where("yes + no > 0"))
