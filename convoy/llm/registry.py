@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_character_ratio": url_filter.ORACLE_SQL,
         "op2_recompression": substring_dedup.ORACLE_SQL,
         "op3_token_groups": jaccard_join.ORACLE_SQL,
         "op4_hierarchical_budgets": mixing.ORACLE_SQL,

@@ -76,6 +76,11 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
+def trains(url: Column) -> Column:
+    """Whether a labelled URL trains the models (four in five) or calibrates the threshold."""
+    return F.conv(F.left(F.md5(url.cast("binary")), F.lit(6)), 16, 10).cast("bigint") % 5 > 0
+
+
 def _windows(url: Column) -> Column:
     """Every run of ``ORDER + 1`` characters of the URL between its end marks."""
     marked = F.concat(F.lit("\x02" * ORDER), url, F.lit("\x03"))
@@ -137,7 +142,7 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -
     row = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     row = row.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     allowed = F.col("rule").isin([r.text for r in rules if r.allow])
-    labelled = row.where(F.col(url).isNotNull()).select(F.col(url).alias("url"), F.when(F.col("rule").isNotNull(), allowed).alias("label"), (F.pmod(F.xxhash64(F.col(url), F.lit("fold")), F.lit(5)) > 0).alias("train"))
+    labelled = row.where(F.col(url).isNotNull()).select(F.col(url).alias("url"), F.when(F.col("rule").isNotNull(), allowed).alias("label"), trains(F.col(url)).alias("train"))
     scored = settled(scores(labelled), "url-scores")
     held = labelled.where("NOT train AND label IS NOT NULL").distinct().join(scored, "url")
     judged = row.join(scored.withColumnRenamed("url", "_url"), F.col(url) == F.col("_url"), "left").drop("_url").crossJoin(F.broadcast(threshold(held)))
@@ -148,3 +153,37 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -
 def op1_character_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql_rule() -> str:
+    arms = [f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text}'" for r in sorted(RULES, key=lambda r: (len(r.text), r.text), reverse=True)]
+    return f"CASE {' '.join(arms)} END"
+
+
+def _sql_probability(counts: str) -> str:
+    p = f"(1 / CAST({ALPHABET} AS DOUBLE))"
+    for k in range(ORDER + 1):
+        p = f"((coalesce(c{k}.{counts}, 0) + {PRIOR} * {p}) / (coalesce(t{k}.{counts}, 0) + CAST({PRIOR} AS DOUBLE)))"
+    return p
+
+
+_ALLOWED = ", ".join(f"'{r.text}'" for r in RULES if r.allow)
+_GRAMS = " UNION ALL ".join(f"SELECT {k} AS k, right(w, {k + 1}) AS gram, left(right(w, {k + 1}), {k}) AS context, yes, no FROM trained" for k in range(ORDER + 1))
+_JOINS = " ".join(f"LEFT JOIN counts c{k} ON c{k}.gram = right(x.w, {k + 1}) LEFT JOIN totals t{k} ON t{k}.k = {k} AND t{k}.context = left(right(x.w, {k + 1}), {k})" for k in range(ORDER + 1))
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '{_PARTS}', 1), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(url, '{_PARTS}', 2), '') AS path FROM pages),
+r AS (SELECT *, {_sql_rule()} AS rule FROM p),
+u AS (SELECT url, count(*) AS n, any_value(CASE WHEN rule IS NOT NULL THEN rule IN ({_ALLOWED}) END) AS label, CAST('0x' || left(md5(url), 6) AS BIGINT) % 5 > 0 AS train FROM r WHERE url IS NOT NULL GROUP BY url),
+s AS (SELECT url, n, label, train, substr(m, i, {ORDER + 1}) AS w FROM (SELECT *, unnest(range(1, length(m) - {ORDER - 1})) AS i FROM (SELECT *, repeat(chr(2), {ORDER}) || url || chr(3) AS m FROM u))),
+trained AS (SELECT w, sum(CASE WHEN train AND label THEN n ELSE 0 END) AS yes, sum(CASE WHEN train AND NOT label THEN n ELSE 0 END) AS no FROM s GROUP BY w),
+g AS ({_GRAMS}),
+counts AS (SELECT gram, sum(yes) AS yes, sum(no) AS no FROM g GROUP BY gram),
+totals AS (SELECT k, context, sum(yes) AS yes, sum(no) AS no FROM g GROUP BY k, context),
+ratios AS (SELECT x.w, ln({_sql_probability("yes")}) - ln({_sql_probability("no")}) AS ratio FROM trained x {_JOINS}),
+scored AS (SELECT url, avg(ratio) AS score FROM s JOIN ratios USING (w) GROUP BY url),
+bins AS (SELECT floor(score / CAST({BIN} AS DOUBLE)) AS bin, count_if(label) AS yes, count_if(NOT label) AS no FROM scored JOIN u USING (url) WHERE NOT train AND label IS NOT NULL GROUP BY 1),
+errors AS (SELECT bin, coalesce(sum(yes) OVER b, 0) / sum(yes) OVER () + 1 - coalesce(sum(no) OVER b, 0) / sum(no) OVER () AS error, sum(yes) OVER () AS all_yes, sum(no) OVER () AS all_no FROM bins WINDOW b AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT coalesce((SELECT bin * CAST({BIN} AS DOUBLE) FROM errors WHERE all_yes > 0 AND all_no > 0 ORDER BY error, abs(bin), bin LIMIT 1), 0) AS threshold)
+SELECT page_id, host, path, rule, CASE WHEN CASE WHEN rule IS NOT NULL THEN rule IN ({_ALLOWED}) ELSE coalesce(score >= threshold, false) END THEN 'allow' ELSE 'block' END AS verdict
+FROM r LEFT JOIN scored USING (url), cut
+"""
