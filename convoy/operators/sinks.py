@@ -18,7 +18,8 @@ def archive_raw(raw: DataFrame, path: str) -> None:
 def append_history(readings: DataFrame, path: str) -> None:
     """Readings as Parquet by tenant and hour of each row's own observation."""
     rows = readings.withColumns(date_hour(F.col("observed_at")))
-    rows.repartition("tenant_id", "dt", "hh").write.mode("append").partitionBy("tenant_id", "dt", "hh").parquet(path)
+    # rows of an hour go to few files; Spark splits an hour that is far larger than others
+    rows.hint("rebalance", "tenant_id", "dt", "hh").write.mode("append").partitionBy("tenant_id", "dt", "hh").parquet(path)
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
