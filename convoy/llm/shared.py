@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows of an Arrow batch sent to Python; texts of some kilobytes make batches of some megabytes.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

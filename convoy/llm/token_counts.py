@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from convoy.llm import words as W
 
 #: Distinct segments whose counts a worker keeps.
-CACHE_SEGMENTS = 1_500_000
+CACHE_SEGMENTS = 1_000_000
 #: Bytes of text cut at once; the larger, the fewer look-ups of words that repeat.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Distinct pieces handled at once; bounds the tables.
 PIECES = 65_536
 _EMPTY = np.uint64(0)

@@ -44,9 +44,11 @@ FOOTER = 80
 #: A file is closed at so many ids or entries.
 FILE_IDS, FILE_ENTRIES = 8 << 20, 100_000
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_000_000
+#: Words that the library encodes at once; bounds its results, which take a kilobyte or two each.
+SLICE = 2048
 #: Bytes of text cut at once; the larger, the fewer look-ups of words that repeat.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: A fixed value: how a tokenizer's pattern says that letters stand apart from all else.
 LETTER_RUNS = r"[\p{L}]+|"
 
@@ -203,7 +205,7 @@ class WordEncoder:
     def _add(self, code: np.ndarray, texts: list[str]) -> None:
         if len(self.known) + len(code) > CACHE_WORDS:
             self.clear()
-        got = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        got = [e.ids for k in range(0, len(texts), SLICE) for e in self.library.encode_batch_fast(texts[k : k + SLICE], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         number = np.arange(len(got)) + len(self.first) - 1
         self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))])
