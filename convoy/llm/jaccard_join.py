@@ -51,6 +51,8 @@ SMALL = 16
 SAMPLE_PART, SAMPLE_LEAST, SAMPLE_MOST, SAMPLE_COUNT, LATE_MOST = 16, 8000, 200_000, 3, 1_000_000
 #: Centres that the documents of a frequent shingle meet first.
 CENTRES = 6
+#: Tasks that share a frequent shingle's rows.
+SPLIT = 16
 #: Members of a group up to which it is opened without a union, and documents of a block.
 FEW_MEMBERS, BLOCK = 32, 256
 #: Documents with candidates up to which their ids are broadcast (8 bytes each).
@@ -314,6 +316,14 @@ def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _split_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Join of rows with a ``doc`` of which a key may have very many, and rows of which it has few: the former are split over
+    SPLIT tasks, the latter repeated for each."""
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("_split")
+    own = F.pmod(F.xxhash64("doc"), F.lit(SPLIT)).cast("int")
+    return many.withColumn("_split", own).join(few.select("*", spread), [key, "_split"]).drop("_split")
+
+
 def _labelled(rows: DataFrame, groups: DataFrame, doc: str = "doc") -> DataFrame:
     return rows.join(groups.withColumnRenamed("node", doc), doc, "left").withColumn("component", F.coalesce("component", doc))
 
@@ -325,7 +335,7 @@ def _asked(often: DataFrame, sizes: DataFrame, groups: DataFrame) -> tuple[DataF
     """
     rows = _labelled(often, groups)
     mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    rows = settled(rows.join(mixed, "token"), "matrix-rows")
+    rows = settled(_split_join(rows, mixed, "token"), "matrix-rows")
     members = _labelled(sizes, groups).join(rows.select("component").distinct(), "component", "left_semi")
     members = settled(members.select("doc", "n", "component"), "members")
     of_group = members.groupBy("component").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
@@ -334,7 +344,7 @@ def _asked(often: DataFrame, sizes: DataFrame, groups: DataFrame) -> tuple[DataF
     # the smaller group asks the larger one
     asks = (F.col("component") != F.col("group")) & (F.struct("own", "component") < F.struct(F.col("size"), F.col("group")))
     possible = (F.col("most") * DENOMINATOR >= F.col("n") * NUMERATOR) & (F.col("n") * DENOMINATOR >= F.col("least") * NUMERATOR)
-    return settled(queries.join(matrix, "token").where(asks & possible).select("doc", "n", "group", "size").distinct(), "asked"), members
+    return settled(_split_join(queries, matrix, "token").where(asks & possible).select("doc", "n", "group", "size").distinct(), "asked"), members
 
 
 def _blocks(rows: DataFrame, by: str, name: str, size: int) -> DataFrame:
@@ -421,7 +431,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     equal = found.where(F.col("kind") == EDGE).select("a", "b")
     often = found.where(F.col("kind") == FREQUENT).select("token", F.col("a").alias("doc"), "n")
     centres = often.groupBy("token").agg(*[F.min_by(F.struct("doc", "n"), F.xxhash64("doc", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)])
-    stars = often.join(centres.select("token", F.explode(F.array(*[f"c{k}" for k in range(CENTRES)])).alias("c")), "token").where(fits(F.col("n"), F.col("c.n")) & (F.col("doc") != F.col("c.doc")))
+    stars = _split_join(often, centres.select("token", F.explode(F.array(*[f"c{k}" for k in range(CENTRES)])).alias("c")), "token").where(fits(F.col("n"), F.col("c.n")) & (F.col("doc") != F.col("c.doc")))
     stars = stars.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
     pairs = settled(found.where(F.col("kind") == PAIR).select("a", "b").unionByName(stars).distinct(), "candidates")
     sketches = found.where((F.col("kind") == DOC) & F.col("sketch").isNotNull()).select(F.col("a").alias("doc"), "n", "sketch")
