@@ -294,7 +294,8 @@ def write(df: DataFrame, key: str, text: str, tokenizer: str, folder: str, end_i
         if keys:
             yield flush()
 
-    manifest = settled(rows.sortWithinPartitions("k", "t").mapInArrow(run, MANIFEST), "token-manifest")
+    # a row per file: few enough for one table file, whatever the number of tasks that write
+    manifest = settled(rows.sortWithinPartitions("k", "t").mapInArrow(run, MANIFEST).repartition(1), "token-manifest")
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("ids").over(order), F.lit(0)))
 

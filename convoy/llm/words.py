@@ -6,6 +6,7 @@ hashes straight from the UTF-8 buffer, so no Python string is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,6 +37,20 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _give_back() -> None:
+    """Lets a worker return what it frees: Arrow takes memory from malloc, and malloc maps blocks of a megabyte on their own."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        for option in (-3, -1):  # glibc's M_MMAP_THRESHOLD and M_TRIM_THRESHOLD
+            libc.mallopt(option, 1 << 20)
+    except (OSError, AttributeError):
+        pass  # another C library; it has its own ways
+
+
+_give_back()
+
+
 @lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
