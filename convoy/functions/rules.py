@@ -9,10 +9,10 @@ from convoy import schema
 
 
 def half_up(x: Column, digits: int = 0) -> Column:
-    """Rounds halves toward positive infinity; a double."""
-    if digits == 0:
-        return F.floor(x + 0.5).cast("double")
-    return F.floor(x * float(10**digits) + 0.5) / float(10**digits)
+    """Rounds halves toward positive infinity; a double.  NaN and infinite values stay what they are."""
+    number = x.cast("double")
+    rounded = F.floor(number + 0.5).cast("double") if digits == 0 else F.floor(number * float(10**digits) + 0.5) / float(10**digits)
+    return F.when(F.isnan(number) | (F.abs(number) == float("inf")), number).otherwise(rounded)
 
 
 def finite(x: Column) -> Column:
