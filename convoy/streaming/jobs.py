@@ -6,17 +6,26 @@ late rows, so this one does: a watermark of ``LATE``, beyond which rows are drop
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
+from convoy import schema
+from convoy.functions import spatial
 from convoy.operators import pipeline, sinks
 
 LATE = "10 minutes"
+#: Seconds behind a tenant's newest exception for which an exception, or the leader that it follows, is held for later batches.
+HELD_SECONDS = schema.MERGE_SECONDS + 600
 
 
 def deduplicated(readings: DataFrame, late: str = LATE) -> DataFrame:
@@ -70,26 +79,114 @@ def feed(exceptions: DataFrame, district: str | None = None) -> DataFrame:
     return exceptions if district is None else exceptions.where(F.col("district_id") == district)
 
 
+def _follow(rows: pd.DataFrame) -> pd.DataFrame:
+    """Gives every row without a leader, in order, the first leader that it matches, or makes it one; leaders that are there stay.
+
+    Rows that move match within the merge radius and window, others (all of one driver and kind) within the time that one judgement covers.
+    """
+    rows = rows.sort_values(["at", "exception_id"], kind="stable").reset_index(drop=True)
+    at, ids = rows["at"].to_numpy(), rows["exception_id"].to_numpy()
+    rlon, rlat = np.radians(rows["lon"].to_numpy()), np.radians(rows["lat"].to_numpy())
+    moving = bool(rows["moving"].iloc[0])
+    reach = (schema.MERGE_SECONDS if moving else schema.CORROBORATE_SECONDS) * 1_000_000
+    out = rows["leader_id"].to_numpy(object)
+    leaders = [k for k in range(len(rows)) if out[k] == ids[k]]
+    for k in range(len(rows)):
+        if out[k] is not None:
+            continue
+        near = np.array(leaders[bisect.bisect_left(leaders, at[k] - reach, key=lambda i: at[i]) : bisect.bisect_right(leaders, at[k] + reach, key=lambda i: at[i])], np.int64)
+        if moving:
+            h = np.sin((rlat[near] - rlat[k]) / 2) ** 2 + np.cos(rlat[k]) * np.cos(rlat[near]) * np.sin((rlon[near] - rlon[k]) / 2) ** 2
+            near = near[2 * spatial.EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h))) <= schema.MERGE_KM]
+        out[k] = ids[near[0]] if len(near) else ids[k]
+        if not len(near):
+            bisect.insort(leaders, k)
+    began = dict(zip(ids[leaders], at[leaders], strict=True))
+    return pd.DataFrame({"exception_id": ids, "leader_id": out, "lead_at": [began[v] for v in out]})
+
+
+def correlate(held: DataFrame, new: DataFrame) -> DataFrame:
+    """Held and new exceptions with ``leader_id`` and ``lead_at`` (microseconds), null where nothing backs them up yet, and ``joined``: led since now.
+
+    As one judgement per batch spreads a driver's vendors and kinds over several exceptions, a second vendor for the same kind counts
+    across them.  An incident that was opened stays: what comes later joins it, or leads one of its own.
+    """
+    fresh = new.dropDuplicates(["tenant_id", "exception_id"]).join(held.select("tenant_id", "exception_id"), ["tenant_id", "exception_id"], "left_anti")
+    rows = held.withColumn("joined", F.lit(False)).unionByName(fresh.withColumns({"leader_id": F.lit(None).cast("string"), "lead_at": F.lit(None).cast("long"), "joined": F.lit(False)}))
+    rows = rows.withColumn("_at", F.unix_micros("raised_at"))
+    near = (-schema.CORROBORATE_SECONDS * 1_000_000, schema.CORROBORATE_SECONDS * 1_000_000)
+    driver, alike = (Window.partitionBy(*k).orderBy("_at").rangeBetween(*near) for k in (pipeline.WITH_ORDER, [*pipeline.WITH_ORDER, "kind"]))
+    seen = F.size(F.array_distinct(F.flatten(F.collect_list("providers").over(alike))))
+    rows = rows.withColumns({"_kinds": F.size(F.collect_set("kind").over(driver)), "_providers": seen})
+    backed = F.col("leader_id").isNotNull() | F.col("kind").isin(*schema.NEEDS_NO_SECOND) | (F.col("_providers") >= 2) | (F.col("_kinds") > 1)
+    rows = rows.withColumn("_backed", backed).drop("_kinds", "_providers")
+    moving = F.col("kind").isin(*schema.LOCATION_CAUSED)
+    slim = rows.where("_backed").select(
+        "tenant_id", F.when(moving, F.col("district_id")).otherwise(F.col("driver_id")).alias("_where"), F.when(~moving, F.col("kind")).otherwise("").alias("_what"),
+        "exception_id", "leader_id", F.col("_at").alias("at"), F.col("location.lon").alias("lon"), F.col("location.lat").alias("lat"), moving.alias("moving"),
+    )
+    led = slim.groupBy("tenant_id", "_where", "_what").applyInPandas(
+        lambda key, pdf: _follow(pdf).assign(tenant_id=key[0]), "tenant_id string, exception_id string, leader_id string, lead_at long"
+    )
+    out = rows.withColumnRenamed("leader_id", "_before").drop("lead_at", "joined", "_at", "_backed").join(led, ["tenant_id", "exception_id"], "left")
+    return out.withColumn("joined", F.col("leader_id").isNotNull() & F.col("_before").isNull()).drop("_before")
+
+
+def _kept(rows: DataFrame, newest: object) -> DataFrame:
+    """What later batches may need; a tenant's clock is its newest exception, of those that are not ahead of the newest fetch."""
+    past = F.lit(True) if newest is None else F.col("raised_at") <= F.lit(newest)
+    clock = F.max(F.when(past, F.unix_micros("raised_at"))).over(Window.partitionBy("tenant_id"))
+    age = clock - F.coalesce("lead_at", F.unix_micros("raised_at"))
+    return rows.withColumn("_age", age).where(F.col("_age").isNull() | (F.col("_age") <= HELD_SECONDS * 1_000_000)).drop("_age", "joined")
+
+
+def _held(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:
+    """Held exceptions; none where a stream from before they were held goes on."""
+    try:
+        return spark.read.schema(columns).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], columns)
+
+
+def current(found: DataFrame) -> DataFrame:
+    """Each incident as its latest batch left it; found: the incidents that ``ingest`` writes, with their ``batch``."""
+    latest = Window.partitionBy("tenant_id", "incident_id").orderBy(F.desc("batch"))
+    return found.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+
+
 def ingest(raw: DataFrame, drivers: DataFrame, places: list[tuple[str, float, float]], corridors: DataFrame, folder: str, seconds: int = 5) -> DataStreamWriter:
     """Writer of a stream of raw records: per micro-batch, archive, normalise, judge, detect, and write everything.
 
-    A batch that runs again overwrites its own folder, so every table has each row once.  Records that do not parse, readings that
-    cannot be judged and records fetched over an hour before the batch's newest go to folders of their own.
+    A batch that runs again overwrites its own folder, so every table has each row once, except that a batch writes the incidents
+    that it opened or that grew, whole: ``current`` gives each as it is.  Detection goes over the batch's exceptions and those held
+    from earlier ones, which alternate between two folders, so that a batch that runs again finds what it found before.  Records that
+    do not parse, readings that cannot be judged and records fetched over an hour before the batch's newest go to folders of their own.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         batch.persist()
         newest = batch.agg(F.max("fetched_at")).first()[0]
         fresh = batch.where(F.col("fetched_at") >= F.lit(newest) - F.expr("INTERVAL 1 HOUR")) if newest else batch
         out = pipeline.ingest(fresh, drivers, places, corridors)
         spot = f"batch={number}"
         batch.withColumns({"dt": F.date_format("fetched_at", "yyyy-MM-dd"), "hh": F.date_format("fetched_at", "HH")}).write.mode("overwrite").partitionBy("tenant_id", "provider", "dt", "hh").json(f"{folder}/raw/{spot}")
-        for name in ("telemetry", "quarantined", "drivers", "exceptions", "incidents"):
+        for name in ("telemetry", "quarantined", "drivers", "exceptions"):
             out[name].write.mode("overwrite").parquet(f"{folder}/{name}/{spot}")
-        stored = [batch.sparkSession.read.parquet(f"{folder}/{n}/{spot}") for n in ("exceptions", "incidents")]
-        pipeline.events_of(*stored).write.mode("overwrite").json(f"{folder}/events/{spot}")
+        new = spark.read.parquet(f"{folder}/exceptions/{spot}")
+        columns = T.StructType([*new.schema.fields, T.StructField("leader_id", T.StringType()), T.StructField("lead_at", T.LongType())])
+        held = _held(spark, f"{folder}/held/{(number - 1) % 2}", columns) if number else spark.createDataFrame([], columns)
+        rows = correlate(held, new).persist()
+        grown = rows.where("joined").select("tenant_id", "leader_id").distinct()
+        pipeline.incidents(rows.join(grown, ["tenant_id", "leader_id"], "left_semi"), []).write.mode("overwrite").parquet(f"{folder}/incidents/{spot}")
+        opened = pipeline.incidents(rows.where("joined AND leader_id = exception_id"), []).select("incident_id")
+        pipeline.events_of(new, spark.read.parquet(f"{folder}/incidents/{spot}").join(opened, "incident_id", "left_semi")).write.mode("overwrite").json(f"{folder}/events/{spot}")
+        _kept(rows, newest).write.mode("overwrite").parquet(f"{folder}/held/{number % 2}")
         if newest:
             batch.where(F.col("fetched_at") < F.lit(newest) - F.expr("INTERVAL 1 HOUR")).write.mode("overwrite").json(f"{folder}/too_old/{spot}")
+        rows.unpersist()
         batch.unpersist()
 
     return raw.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/_checkpoint").trigger(processingTime=f"{seconds} seconds")
