@@ -36,6 +36,8 @@ from convoy.llm.shared import table
 
 HIDDEN, SPAN = 16, 24
 TRAIN_DOCS, TRAIN_WORDS, STEPS, BATCH = 400, 24_000, 700, 768
+#: Share of a language's clean documents that may score below its mark, and the part of the way from chance to it that is asked for.
+LOW_SHARE, LOW_PART = 0.005, 0.9
 #: Distinct words whose sums a worker keeps.
 CACHE_WORDS = 400_000
 #: Words that run through the network at once.
@@ -261,6 +263,40 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return fit(langs, [bytes(r["word"]) for r in top], counts)
 
 
+def samples(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """A bounded sample of the labelled rows, in the order of ``train``; ``check`` marks a third of each language's, to be kept from training."""
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL AND key IS NOT NULL")
+    ranked = rows.select("key", "lang").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= TRAIN_DOCS * 3 // 2)
+    chosen = ranked.select("key", "lang", (F.col("_n") % 3 == 0).alias("check"))
+    return rows.join(F.broadcast(chosen), ["key", "lang"]).select(F.col("key").alias(key), F.col("text").alias(text), F.col("lang").alias(lang), "check")
+
+
+def least_scores(checked: DataFrame, net: Network | None, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """Per language the score below which a document is in none of the languages, from labelled rows that were not trained on.
+
+    Of the way from chance (1 / languages) to the score that all but ``LOW_SHARE`` of a language's rightly predicted rows
+    reach, ``LOW_PART`` must be gone.  A language without such rows takes the least of the others, or chance where none has any.
+    With one language every score is 1 and nothing is told apart.
+    """
+    if net is None:
+        return {}
+    chance, scores = 1 / len(net.langs), {}
+    for r in predict(checked.select(text, lang), net, text).where(F.col("lang_pred") == F.col(lang)).select("lang_pred", "score").collect():
+        scores.setdefault(r.lang_pred, []).append(r.score)
+    out = {v: chance + LOW_PART * (float(np.quantile(x, LOW_SHARE, method="lower")) - chance) for v, x in scores.items()}
+    rest = min(out.values(), default=chance)
+    return {v: out.get(v, rest) for v in net.langs}
+
+
+def stands_out(least: dict[str, float]) -> Column:
+    """Whether a predicted row reaches the mark of its language."""
+    mark = F.lit(0.0)
+    for name, score in least.items():
+        mark = F.when(F.col("lang_pred") == name, F.lit(score)).otherwise(mark)
+    return (F.col("lang_pred") != "und") & (F.col("score") >= mark)
+
+
 def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
     """The rows with ``lang_pred`` and ``score`` behind their columns (which replace any of that name); nothing is shuffled."""
     docs = docs.drop("lang_pred", "score")

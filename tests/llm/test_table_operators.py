@@ -208,6 +208,19 @@ def test_each_stage_does_its_work(spark, corpus):
     assert [r.start for r in out] == list(np.cumsum([0, *[r.n_tokens for r in out]])[:-1])
 
 
+@pytest.mark.parametrize("languages", [2, 4])
+def test_unlearned_languages_go(spark, languages):
+    rnd = random.Random(5)
+    stems = dict(zip(["en", "de", "fr", "es", "xx"], (["the", "ing", "wha", "ght"], ["der", "sch", "ung", "lich"], ["eau", "que", "oux", "lle"], ["cio", "ndo", "los", "aba"], ["zk", "vyp", "jem", "krz"]), strict=True))
+    text = lambda lang, n: " ".join("".join(rnd.choices(stems[lang], k=2)) for _ in range(n))
+    rows = [(k, text(lang, rnd.choice([40, 120])), lang) for k in range(400) for lang in [list(stems)[k % languages]]]
+    rows += [(1000 + k, text("xx", 100), None) for k in range(40)]
+    rows += [(2000 + k, " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(100)), None) for k in range(40)]
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert len([k for k in kept if k < 1000]) >= 0.98 * 400
+    assert len([k for k in kept if 1000 <= k < 2000]) <= 4 and len([k for k in kept if k >= 2000]) <= 4
+
+
 def test_the_registry_names_all_ten():
     names = sorted(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
