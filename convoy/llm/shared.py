@@ -6,25 +6,39 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Rows of an Arrow batch sent to Python; texts of some kilobytes make batches of some megabytes.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+#: Tasks that share the rows of one key in a ``split_join``.
+SPLIT = 16
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session hands Python batches of bounded rows and bytes, and reads Parquet in batches as small."""
+    for name, value in (("execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("parquet.columnarReaderBatchSize", BATCH_ROWS)):
+        spark.conf.set(f"spark.sql.{name}", str(value))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus; from here on the session hands Python batches of bounded rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """A table of the corpus, for a session of small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    folder of our own where the session leaves it unset (single-machine tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where the session leaves it unset,
+    a folder of our own; that only on a single machine, as a cluster's machines share no such folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="convoy-")
+        if current.isDefined():
+            base = current.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            base = tempfile.mkdtemp(prefix="convoy-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -41,3 +55,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = fresh_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def split_join(many: DataFrame, few: DataFrame, key: str, part: str = "doc") -> DataFrame:
+    """Join of rows of which a key may have very many, and rows of which it has few: the former are split by ``part`` over SPLIT
+    tasks, the latter repeated for each."""
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("_split")
+    own = F.pmod(F.xxhash64(part), F.lit(SPLIT)).cast("int")
+    return many.withColumn("_split", own).join(few.select("*", spread), [key, "_split"]).drop("_split")

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 #: Bytes handled at once; bounds the temporaries at about 20 times as much.
 CHUNK_BYTES = 1 << 19
+#: Powers that a worker keeps (16 bytes each); chunks of up to a megabyte need no more.
+KEPT_POWERS = (1 << 20) + 64
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
@@ -51,9 +53,7 @@ def _give_back() -> None:
 _give_back()
 
 
-@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     with np.errstate(over="ignore"):
         up, down = np.full(size, _BASE), np.full(size, inverse)
@@ -61,13 +61,19 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(KEPT_POWERS)
+
+
 @lru_cache(maxsize=1)
 def _byte_codes() -> np.ndarray:
     return mix(np.arange(256, dtype=np.uint64), 77)
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(size - 1).bit_length()))
+    """``size`` or more powers of the base and of its inverse modulo 2**64; those for very long texts are not kept."""
+    return _kept_powers() if size <= KEPT_POWERS else _powers(size)
 
 
 @dataclass
