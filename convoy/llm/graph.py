@@ -2,8 +2,10 @@
 
 Every round hangs each node's neighbours on the smallest node it knows, first
 the larger ones, then the smaller ones; a few rounds leave each node hanging on
-its component's smallest.  Minima are pre-aggregated and joined back, so a node
-of very many edges fills no task; each round is a table in the shared folder.
+its component's smallest.  Minima are pre-aggregated; those of hubs, the nodes of
+more than a share of all edges, are so few that they are broadcast, so a hub's
+edges stay where they are and fill no task.  Each round is a table in the shared
+folder.
 """
 
 from __future__ import annotations
@@ -13,11 +15,21 @@ from pyspark.sql import functions as F
 
 from convoy.llm.shared import settled
 
+#: A node of more than one in so many edges is a hub; there are at most twice as many hubs.
+HUB_SHARE = 2048
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame, least: DataFrame, count: int) -> DataFrame:
+    """Edges with their ``u``'s ``m``; least: ``u``, ``m`` and ``n``, its number of edges among ``count``."""
+    hub = F.col("n") > max(1, count // HUB_SHARE)
+    hubs, others = F.broadcast(least.where(hub).drop("n")), least.where(~hub).drop("n")
+    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(others, "u"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (its smallest node) for every node of some edge; nulls and loops count as no edge."""
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}").distinct()
@@ -25,11 +37,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = _mark(pairs)
     while mark[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = settled(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both, least, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = settled(large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         before, mark = mark, _mark(pairs)
         if before == mark:
             break

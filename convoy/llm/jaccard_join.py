@@ -14,7 +14,6 @@ threshold or more; each document gets its component under these links.
 4.  The matrix: for each frequent shingle, the groups that hold it.  A document that
     meets a group other than its own is bounded by its overlap with the union of the
     group's shingles; only groups that pass are opened, and their members verified.
-    (A group of few members is bounded by its members' sketches.)
     Documents that are no longer apart are not compared at all.
 
 Equal sets within a batch become one at once, so large groups of copies send few
@@ -22,8 +21,8 @@ rows.  Sets are read again for documents with candidates only.
 
 Texts are lower-cased A-Z; fewer words than a shingle are one shingle; null and
 empty texts have an empty set and link with nothing.  A null key links with
-nothing and its component is null.  Repeated rows each get a row;
-rows that share a key count as one document.
+nothing and its component is null.  Repeated rows each get a row; rows that
+share a key count as one document, which links where one of its texts does.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 
 from convoy.llm import words as W
 from convoy.llm.graph import components
-from convoy.llm.shared import settled, table
+from convoy.llm.shared import settled, split_join, table
 
 WIDTH = 5
 #: Links need 5 * intersection >= 4 * union, a similarity of 0.8.
@@ -51,10 +50,8 @@ SMALL = 16
 SAMPLE_PART, SAMPLE_LEAST, SAMPLE_MOST, SAMPLE_COUNT, LATE_MOST = 16, 8000, 200_000, 3, 1_000_000
 #: Centres that the documents of a frequent shingle meet first.
 CENTRES = 6
-#: Tasks that share a frequent shingle's rows.
-SPLIT = 16
-#: Members of a group up to which it is opened without a union, and documents of a block.
-FEW_MEMBERS, BLOCK = 32, 256
+#: Documents of a block.
+BLOCK = 256
 #: Documents with candidates up to which their ids are broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -159,7 +156,7 @@ def _show(frequent):
             valid = pc.is_valid(b.column(0)).to_numpy(zero_copy_only=False)
             ids = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
             size, marks = np.zeros(len(ids), np.int64), [None] * len(ids)
-            rows: dict[bytes, tuple[int, np.ndarray]] = {}
+            rows: dict[bytes, tuple[int, int, np.ndarray]] = {}  # by set: the key that stands for it, the set's size, what it shows
             edges: list[tuple[int, int]] = []
             for r, tokens in _sets(b.column(1)):
                 size[r] = len(tokens)
@@ -167,19 +164,18 @@ def _show(frequent):
                     continue
                 marks[r] = sketch(tokens)
                 mark = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-                if mark in rows:  # an equal set: the smaller key stands for both
+                if mark in rows:  # an equal set: one key stands for both
                     other = rows[mark][0]
                     edges.append((int(ids[r]), other))
                     continue
                 if len(late):
                     place = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
                     tokens = tokens[np.argsort(late[place] == tokens, kind="stable")]
-                rows[mark] = (int(ids[r]), tokens[: shown(size[r])])
-            n_of = [len(t) for _, t in rows.values()]
-            by_id = {i: n for i, n in zip(ids.tolist(), size.tolist(), strict=True)}
-            token = np.concatenate([t for _, t in rows.values()]) if rows else np.zeros(0, np.uint64)
-            doc = np.repeat(np.array([i for i, _ in rows.values()], np.int64), n_of)
-            full = np.repeat(np.array([by_id[i] for i, _ in rows.values()], np.int64), n_of)
+                rows[mark] = (int(ids[r]), int(size[r]), tokens[: shown(size[r])])
+            n_of = [len(t) for *_, t in rows.values()]
+            token = np.concatenate([t for *_, t in rows.values()]) if rows else np.zeros(0, np.uint64)
+            doc = np.repeat(np.array([i for i, *_ in rows.values()], np.int64), n_of)
+            full = np.repeat(np.array([n for _, n, _ in rows.values()], np.int64), n_of)
             yield _rows(token, doc, full, None, FREQUENT)
             a, c = (np.array(x, np.int64) for x in zip(*edges, strict=True)) if edges else [np.zeros(0, np.int64)] * 2
             yield _rows(W.mix(a.view(np.uint64), 91), a, np.zeros(len(a), np.int64), c, EDGE)
@@ -194,8 +190,8 @@ def _rows(token: np.ndarray, doc, n: np.ndarray, other, kind: int, marks: list |
     return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), doc if isinstance(doc, pa.Array) else pa.array(doc), pa.array(n), others, pa.array(np.full(len(token), kind, np.int32)), sketches], ["token", "doc", "n", "other", "kind", "sketch"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token: documents, edges, pairs of small shingles, rows of frequent ones.
+def _meet(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by token: documents, edges, pairs of shingles of at most ``small`` documents, rows of frequent ones.
 
     The last run of a batch is carried over while it is small; a longer one streams through.
     """
@@ -213,31 +209,31 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = tuple(np.concatenate([h, part.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, (0, 1, 2), strict=True))
         last = rows[0][-1] if len(rows[0]) else None
         done = rows[0] != last
-        yield from _runs(*[x[done] for x in rows], running)
+        yield from _runs(*[x[done] for x in rows], running, small)
         rest = tuple(x[~done] for x in rows)
-        if len(rest[0]) > SMALL or (running is not None and last == running):
+        if len(rest[0]) > small or (running is not None and last == running):
             yield _frequent_rows(*rest)
             running, held = last, tuple(x[:0] for x in rest)
         else:
             held = rest
-    yield from _runs(*held, running)
+    yield from _runs(*held, running, small)
 
 
-def _runs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, running) -> Iterator[pa.RecordBatch]:
+def _runs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, running, small: int) -> Iterator[pa.RecordBatch]:
     if not len(token):
         return
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
     run = np.cumsum(new) - 1
     size = np.bincount(run)[run]
-    often = size > SMALL
+    often = size > small
     if running is not None:
         often |= token == running
     if often.any():
         yield _frequent_rows(token[often], doc[often], n[often])
     token, doc, n = token[~often], doc[~often], n[~often]
     a_s, b_s = [], []
-    for step in range(1, SMALL):
+    for step in range(1, small):
         i = np.flatnonzero(token[step:] == token[:-step])
         if not len(i):
             break
@@ -264,8 +260,8 @@ def fits(n, m):
 # ---- verification ---------------------------------------------------------------
 
 
-def _token_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, tokens) of the documents named; only their texts are read again."""
+def _token_sets(docs: DataFrame, ids: DataFrame, repeated: bool = False) -> DataFrame:
+    """(doc, tokens) of the documents named; only their texts are read again.  ``repeated``: equal rows become one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,7 +271,8 @@ def _token_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     few = ids.count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-    return chosen.mapInArrow(run, "doc long, tokens binary")
+    sets = chosen.mapInArrow(run, "doc long, tokens binary")
+    return sets.distinct() if repeated else sets
 
 
 def _side(df: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -316,14 +313,6 @@ def _verified(near: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _split_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """Join of rows with a ``doc`` of which a key may have very many, and rows of which it has few: the former are split over
-    SPLIT tasks, the latter repeated for each."""
-    spread = F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("_split")
-    own = F.pmod(F.xxhash64("doc"), F.lit(SPLIT)).cast("int")
-    return many.withColumn("_split", own).join(few.select("*", spread), [key, "_split"]).drop("_split")
-
-
 def _labelled(rows: DataFrame, groups: DataFrame, doc: str = "doc") -> DataFrame:
     return rows.join(groups.withColumnRenamed("node", doc), doc, "left").withColumn("component", F.coalesce("component", doc))
 
@@ -335,7 +324,7 @@ def _asked(often: DataFrame, sizes: DataFrame, groups: DataFrame) -> tuple[DataF
     """
     rows = _labelled(often, groups)
     mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    rows = settled(_split_join(rows, mixed, "token"), "matrix-rows")
+    rows = settled(split_join(rows, mixed, "token"), "matrix-rows")
     members = _labelled(sizes, groups).join(rows.select("component").distinct(), "component", "left_semi")
     members = settled(members.select("doc", "n", "component"), "members")
     of_group = members.groupBy("component").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
@@ -344,14 +333,14 @@ def _asked(often: DataFrame, sizes: DataFrame, groups: DataFrame) -> tuple[DataF
     # the smaller group asks the larger one
     asks = (F.col("component") != F.col("group")) & (F.struct("own", "component") < F.struct(F.col("size"), F.col("group")))
     possible = (F.col("most") * DENOMINATOR >= F.col("n") * NUMERATOR) & (F.col("n") * DENOMINATOR >= F.col("least") * NUMERATOR)
-    return settled(_split_join(queries, matrix, "token").where(asks & possible).select("doc", "n", "group", "size").distinct(), "asked"), members
+    return settled(split_join(queries, matrix, "token").where(asks & possible).select("doc", "n", "group", "size").distinct(), "asked"), members
 
 
-def _blocks(rows: DataFrame, by: str, name: str, size: int) -> DataFrame:
+def _blocks(rows: DataFrame, by: list[str], name: str, size: int) -> DataFrame:
     """Rows (``by``, doc, n, sketch) packed into blocks of about ``size``."""
-    counts = rows.groupBy(by).agg(F.ceil(F.count("*") / size).alias("_blocks"))
+    counts = rows.groupBy(*by).agg(F.ceil(F.count("*") / size).alias("_blocks"))
     placed = rows.join(counts, by).withColumn(f"{name}_block", F.pmod(F.xxhash64("doc"), "_blocks"))
-    return placed.groupBy(by, f"{name}_block").agg(F.collect_list(F.struct("doc", "n", "sketch")).alias(name))
+    return placed.groupBy(*by, f"{name}_block").agg(F.collect_list(F.struct("doc", "n", "sketch")).alias(name))
 
 
 def _near_in_blocks(pairs: DataFrame) -> DataFrame:
@@ -371,32 +360,47 @@ def _near_in_blocks(pairs: DataFrame) -> DataFrame:
     return pairs.select("x", "y").mapInArrow(run, "a long, b long")
 
 
-def _opened(often: DataFrame, asked: DataFrame, members: DataFrame, sketches: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Near pairs (a, b) of documents and members of the groups that are opened.
+def _bounded(asked: DataFrame, unions: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of documents and the groups they ask, those whose overlap with the group's token union allows a link with a member.
+
+    asked: ``doc``, ``n``, ``group``; unions: ``doc``, ``group`` of the members; sets: ``doc``, ``tokens``.
+    """
+    union = unions.select("doc", "group").join(sets, "doc").select("doc", "group", "tokens").mapInArrow(_spread(["doc", "group"]), "doc long, group long, token long").select("group", "token").distinct()
+    wanted = asked.select("doc", "n", "group").join(sets.withColumn("m", F.octet_length("tokens") / 8), "doc").where("n = m").select("doc", "n", "group", "tokens")
+    wanted = wanted.mapInArrow(_spread(["doc", "n", "group"]), "doc long, n long, group long, token long")
+    overlap = wanted.join(union, ["group", "token"]).groupBy("doc", "n", "group").agg(F.count("*").alias("overlap"))
+    return overlap.where(F.col("overlap") * DENOMINATOR >= F.col("n") * NUMERATOR).select("doc", "n", "group")
+
+
+def _lone_pairs(often: DataFrame, lone: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Near pairs (a, b) of documents that are groups of their own and show a frequent shingle in common.
 
-    Groups of few members are bounded by their members' sketches.  Larger ones by the union of their shingles; members and askers
-    then meet block by block, by wider sketches.  Documents that are groups of their own meet block by block within a shingle.
+    Sets that link differ in size by a factor of 5 / 4 at most, so rows lie in bands of (a little over) that width and a block
+    meets those of its own band and the next one only.
     """
-    few = asked.where(F.col("size") <= FEW_MEMBERS).select("doc", "n", "group")
-    inside = members.select(F.col("doc").alias("other"), F.col("n").alias("m"), F.col("component").alias("group"))
-    pairs = few.join(inside, "group").where(fits(F.col("n"), F.col("m"))).select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-    near = _near(pairs.join(known, ["a", "b"], "left_anti"), sketches)
+    band = F.floor(F.log(F.col("n").cast("double")) / float(1.001 * np.log(DENOMINATOR / NUMERATOR)))
+    rows = often.join(lone, "doc", "left_semi").select("token", "doc").join(sketches, "doc").withColumn("band", band)
+    blocks = settled(_blocks(rows, ["token", "band"], "x", BLOCK), "lone-blocks")
+    other = blocks.withColumnsRenamed({"x": "y", "x_block": "y_block"})
+    meets = other.select("token", "band", F.col("band").alias("own"), "y_block", "y").unionByName(other.select("token", F.col("band") - 1, F.col("band").alias("own"), "y_block", "y").toDF("token", "band", "own", "y_block", "y"))
+    return _near_in_blocks(blocks.join(meets, ["token", "band"]).where("own > band OR x_block <= y_block"))
+
+
+def _opened(often: DataFrame, asked: DataFrame, members: DataFrame, sketches: DataFrame, token_sets, known: DataFrame) -> DataFrame:
+    """Near pairs (a, b) of documents and members of the groups that are opened, and of documents that are groups of their own.
 
+    Askers and members of an opened group meet block by block, by wider sketches.
+    """
     lone = members.groupBy("component").agg(F.count("*").alias("k")).where("k = 1").select(F.col("component").alias("doc"))
-    alone = _blocks(often.join(lone, "doc", "left_semi").select("token", "doc").join(sketches, "doc"), "token", "x", BLOCK)
-    other = alone.withColumnsRenamed({"x": "y", "x_block": "y_block"})
-    near = near.unionByName(_near_in_blocks(alone.join(other, "token").where("x_block <= y_block")))
-
-    several = asked.where(F.col("size") > FEW_MEMBERS)
-    if not several.isEmpty():
-        unions = members.join(several.select(F.col("group").alias("component")).distinct(), "component").select("doc", "n", F.col("component").alias("group"))
-        sets = settled(_token_sets(docs, unions.select("doc").unionByName(several.select("doc")).distinct()), "token-sets")
-        union = unions.select("doc", "group").join(sets, "doc").select("doc", "group", "tokens").mapInArrow(_spread(["doc", "group"]), "doc long, group long, token long").select("group", "token").distinct()
-        wanted = several.select("doc", "n", "group").join(sets, "doc").mapInArrow(_spread(["doc", "n", "group"]), "doc long, n long, group long, token long")
-        bound = wanted.join(union, ["group", "token"]).groupBy("doc", "n", "group").agg(F.count("*").alias("overlap")).where(F.col("overlap") * DENOMINATOR >= F.col("n") * NUMERATOR)
+    near = _lone_pairs(often, lone, sketches)
+    if not asked.isEmpty():
+        unions = members.join(asked.select(F.col("group").alias("component")).distinct(), "component").select("doc", "n", F.col("component").alias("group"))
+        sets = token_sets(unions.select("doc").unionByName(asked.select("doc")).distinct())
+        bound = settled(_bounded(asked, unions, sets), "bounded")
+        held = unions.join(bound.select("group").distinct(), "group")
         wide = _wide(sets)
-        asks, held = (df.select("group", "doc", "n").join(wide, "doc") for df in (bound, unions))
-        near = near.unionByName(_near_in_blocks(_blocks(asks, "group", "x", BLOCK // 4).join(_blocks(held, "group", "y", BLOCK), "group")))
+        asks, inside = (df.select("group", "doc", "n").join(wide, "doc") for df in (bound, held))
+        near = near.unionByName(_near_in_blocks(split_join(_blocks(inside, ["group"], "y", BLOCK), _blocks(asks, ["group"], "x", BLOCK // 4), "group", "y_block")))
     return near.distinct().join(known, ["a", "b"], "left_anti")
 
 
@@ -426,26 +430,33 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     late = spark.sparkContext.broadcast(_frequent(docs))
-    found = docs.mapInArrow(_show(late), SHOWN).repartition("token").sortWithinPartitions("token").mapInArrow(_meet, FOUND)
+    small = SMALL
+    found = docs.mapInArrow(_show(late), SHOWN).repartition("token").sortWithinPartitions("token").mapInArrow(lambda batches: _meet(batches, small), FOUND)
     found = settled(found, "shown")
     equal = found.where(F.col("kind") == EDGE).select("a", "b")
     often = found.where(F.col("kind") == FREQUENT).select("token", F.col("a").alias("doc"), "n")
     centres = often.groupBy("token").agg(*[F.min_by(F.struct("doc", "n"), F.xxhash64("doc", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)])
-    stars = _split_join(often, centres.select("token", F.explode(F.array(*[f"c{k}" for k in range(CENTRES)])).alias("c")), "token").where(fits(F.col("n"), F.col("c.n")) & (F.col("doc") != F.col("c.doc")))
+    stars = split_join(often, centres.select("token", F.explode(F.array(*[f"c{k}" for k in range(CENTRES)])).alias("c")), "token").where(fits(F.col("n"), F.col("c.n")) & (F.col("doc") != F.col("c.doc")))
     stars = stars.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
     pairs = settled(found.where(F.col("kind") == PAIR).select("a", "b").unionByName(stars).distinct(), "candidates")
-    sketches = found.where((F.col("kind") == DOC) & F.col("sketch").isNotNull()).select(F.col("a").alias("doc"), "n", "sketch")
+    marked = found.where((F.col("kind") == DOC) & F.col("sketch").isNotNull()).select(F.col("a").alias("doc"), "n", "sketch")
+    sketches = settled(marked.distinct(), "sketches")
+    repeated = sketches.count() < marked.count()
+
+    def token_sets(ids: DataFrame) -> DataFrame:
+        return settled(_token_sets(docs, ids, repeated), "token-sets")
 
     def verified(near: DataFrame) -> DataFrame:
         near = settled(near, "near")
-        return _verified(near, settled(_token_sets(docs, _ids(near)), "token-sets"))
+        return _verified(near, token_sets(_ids(near)))
 
     groups = settled(components(settled(verified(_near(pairs, sketches)).unionByName(equal), "links")), "groups")
     asked, members = _asked(often, sketches.select("doc", "n").distinct(), groups)
     final = groups
     if not members.isEmpty():
-        more = verified(_opened(often, asked, members, sketches, docs, pairs))
-        final = components(settled(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))), "links"))
+        more = settled(verified(_opened(often, asked, members, sketches, token_sets, pairs)), "links")
+        if not more.isEmpty():
+            final = components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     rows = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc"), F.col("n").alias("n_shingles"))
     return _labelled(rows, final).select(F.col("doc").alias(key), "n_shingles", F.col("component").alias("component_id"))
 
