@@ -13,11 +13,13 @@ version, id width, entries, ids, distinct keys, displacements, three zeros).
 Spark range-partitions and sorts the documents by key; each task streams its rows
 into files of bounded size, written under a temporary name and renamed, so a
 task that runs again leaves the same files.  The manifest is a table.  Paths go
-through pyarrow's file systems, so the folder can be any that it opens.
+through pyarrow's file systems, so the folder can be any that it opens.  Files are
+read back, and keys looked up, by as many tasks as there are files, up to some a core.
 
 Nulls: a null text has no ids of its own (only the end id); a null key is an
-entry that sorts first.  Repeated keys are consecutive entries of one slot.  An
-empty table gives no files.  Other columns are not stored.
+entry that sorts first; looked up, it is not found.  Repeated keys are consecutive
+entries of one slot, and may go on in the next file.  An empty table gives no
+files.  Other columns are not stored.
 """
 
 from __future__ import annotations
@@ -47,8 +49,10 @@ FILE_IDS, FILE_ENTRIES = 8 << 20, 100_000
 CACHE_WORDS = 1_000_000
 #: Words that the library encodes at once; bounds its results, which take a kilobyte or two each.
 SLICE = 2048
-#: Bytes of text cut at once; the larger, the fewer look-ups of words that repeat.
-CHUNK = 2 << 20
+#: Bytes of text cut at once; the larger, the fewer look-ups of words that repeat, and the more memory (some sixty times as much).
+CHUNK = 1 << 20
+#: Tasks per core that read files, at most; files whose first keys a look-up broadcasts at once (8 bytes each).
+READ_TASKS, BROADCAST_FILES = 8, 1_000_000
 #: A fixed value: how a tokenizer's pattern says that letters stand apart from all else.
 LETTER_RUNS = r"[\p{L}]+|"
 
@@ -162,6 +166,10 @@ class TokenFile:
         self.source.seek(start * self.width)
         return np.frombuffer(self.source.read((stop - start) * self.width), f"<u{self.width}")
 
+    def all_ids(self) -> np.ndarray:
+        self.source.seek(0)
+        return np.frombuffer(self.source.read(self.n_ids * self.width), f"<u{self.width}")
+
 
 def open_path(path: str):
     from pyarrow import fs
@@ -243,6 +251,7 @@ def encoder(path: str) -> WordEncoder:
 
 # ---- jobs -----------------------------------------------------------------
 
+#: ``first_key`` is null where the file begins with a null key.
 MANIFEST = "file string, part int, number int, first_key long, entries long, ids long"
 
 
@@ -271,7 +280,7 @@ def write(df: DataFrame, key: str, text: str, tokenizer: str, folder: str, end_i
             with store.open_output_stream(own) as out:
                 out.write(encode_file(k, v, n, all_ids, width))
             store.move(own, path)
-            row = [[target], [part], [number], [int(k[0])], [len(k)], [len(all_ids)]]
+            row = [[target], [part], [number], [int(k[0]) if v[0] else None], [len(k)], [len(all_ids)]]
             number += 1
             for x in (keys, valid, lengths, ids):
                 x.clear()
@@ -296,8 +305,9 @@ def write(df: DataFrame, key: str, text: str, tokenizer: str, folder: str, end_i
 
     # a row per file: few enough for one table file, whatever the number of tasks that write
     manifest = settled(rows.sortWithinPartitions("k", "t").mapInArrow(run, MANIFEST).repartition(1), "token-manifest")
-    order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("base", F.coalesce(F.sum("ids").over(order), F.lit(0)))
+    before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", before(Window.orderBy("part")).alias("_base"))  # a row per writing task
+    return manifest.join(parts, "part").withColumn("base", F.col("_base") + before(Window.partitionBy("part").orderBy("number"))).drop("_base")
 
 
 def with_counts(df: DataFrame, text: str, tokenizer: str, name: str) -> DataFrame:
@@ -313,6 +323,10 @@ def with_counts(df: DataFrame, text: str, tokenizer: str, name: str) -> DataFram
     return df.mapInArrow(run, df.withColumn(name, F.lit(0).cast("long")).schema)
 
 
+def _tasks(spark: SparkSession, files: int) -> int:
+    return max(1, min(files, READ_TASKS * spark.sparkContext.defaultParallelism))
+
+
 def read(manifest: DataFrame, key: str) -> DataFrame:
     """Key, ``start``, ``n_tokens`` and ``ids_crc32`` of each document, from the files, each looked up in its index."""
 
@@ -326,34 +340,79 @@ def read(manifest: DataFrame, key: str) -> DataFrame:
                     run_first = np.maximum.accumulate(np.where(f.runs > 0, np.arange(f.n), 0))
                     if not np.array_equal(entry, run_first):
                         raise ValueError(f"index of {path} does not fit its keys")
-                    crc = [zlib.crc32(f.ids(k).astype("<u4").tobytes()) for k in range(f.n)]
+                    ids = f.all_ids()
+                at = f.offsets.tolist()
+                crc = [zlib.crc32(ids[i:j].astype("<u4")) for i, j in zip(at, at[1:], strict=False)]
                 out = [pa.array(f.key, mask=~f.valid), pa.array(base + f.offsets[:-1]), pa.array(np.diff(f.offsets)), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, [key, "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("file", "base").repartition(F.col("file"))
+    files = manifest.select("file", "base")
+    files = files.repartitionByRange(_tasks(manifest.sparkSession, manifest.count()), "file")
     return files.mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Ids of the given keys: each is sent to the one file whose key range holds it, and probed there."""
-    last = F.lead("first_key").over(Window.orderBy("part", "number"))
-    ranges = manifest.select("file", "first_key", last.alias("next_key"))
+    """Ids of the given keys: each is sent to the files whose key range holds it (as a rule one), and probed there.
+
+    The first keys of all files are broadcast, in blocks; each block is a pass over the keys.
+    """
     wanted = keys.select(F.col(key).cast("long").alias("k")).where("k IS NOT NULL").distinct()
-    placed = wanted.join(F.broadcast(ranges), (F.col("k") >= F.col("first_key")) & (F.col("next_key").isNull() | (F.col("k") <= F.col("next_key")))).groupBy("file").agg(F.collect_list("k").alias("ks"))
+    order = Window.partitionBy("_block").orderBy("part", "number")
+    files = manifest.select("part", "number", "first_key", "file").withColumn("_block", F.floor(F.col("part") / BROADCAST_FILES))
+    total, placed = manifest.count(), None
+    blocks = [r[0] for r in files.select("_block").distinct().orderBy("_block").collect()]
+    ranked = files.withColumn("_n", F.row_number().over(order) - 1)
+    for block in blocks:
+        own = ranked.where(F.col("_block") == block)
+        first = pc.fill_null(own.orderBy("_n").select("first_key").toArrow().column(0), -(1 << 63)).to_numpy()
+        part = _placed(wanted, spark.sparkContext.broadcast(first)).join(own.select("_n", "file"), "_n").select("file", "k")
+        placed = part if placed is None else placed.unionByName(part)
+    if placed is None:
+        return spark.createDataFrame([], f"`{key}` long, ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, f, source = None, None, None
         for b in batches:
-            for path, ks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                store, local = open_path(path)
-                with store.open_input_file(local) as source:
+            files_of = b.column(0).to_pylist()
+            cuts = [0, *[i for i in range(1, len(files_of)) if files_of[i] != files_of[i - 1]], len(files_of)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if files_of[i] != path:
+                    if source is not None:
+                        source.close()
+                    path = files_of[i]
+                    store, local = open_path(path)
+                    source = store.open_input_file(local)
                     f = TokenFile(source, source.size())
-                    entry = f.find(np.array(ks, np.int64))
-                    found = [(k, f.ids(e + j).tolist()) for k, e in zip(ks, entry.tolist(), strict=True) if e >= 0 for j in range(int(f.runs[e]))]
+                ks = b.column(1).slice(i, j - i).to_numpy()
+                entry = f.find(ks)
+                found = [(k, f.ids(e + n).tolist()) for k, e in zip(ks.tolist(), entry.tolist(), strict=True) if e >= 0 for n in range(int(f.runs[e]))]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int32()))], [key, "ids"])
+        if source is not None:
+            source.close()
 
+    placed = placed.repartition(_tasks(spark, total), "file").sortWithinPartitions("file", "k")
     return placed.mapInArrow(run, f"`{key}` long, ids array<int>")
 
 
+def _placed(wanted: DataFrame, ranges) -> DataFrame:
+    """(_n, k) for every key and each file, by its number, of a block whose range may hold it; ranges: the files' first keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = ranges.value
+        for b in batches:
+            k = b.column(0).to_numpy()
+            # a key that begins files may also end the one before them
+            low = np.maximum(np.searchsorted(first, k, "left") - 1, 0)
+            count = np.searchsorted(first, k, "right") - low
+            count[count < 0] = 0
+            which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(np.repeat(k, count))], ["_n", "k"])
+
+    return wanted.mapInArrow(run, "_n int, k long")
+
+
 def encode_documents(docs: DataFrame) -> DataFrame:
     """Writes all documents with the 49k word vocabulary and end id 1, and reads them back."""
     import public_tokenizers
