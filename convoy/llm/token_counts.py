@@ -4,7 +4,12 @@ Byte-pair encoding has this property: the encoding of a prefix ends in exactly
 one token ``t`` such that the encoding of what precedes ``t`` ends in a token
 that is stable next to ``t``.  So the last token and the count of every prefix
 follow from those of shorter prefixes, in one pass and without encoding any
-prefix anew.  The tables are filled for many distinct pieces at once in numpy.
+prefix anew.  The tables are filled for many distinct pieces at once in numpy;
+pieces over ``LONG`` bytes are walked one by one, with the tokens that end at each
+byte from a table of token ends, so time is in proportion to their length.
+
+``prefix_tables`` stores the counts of all prefixes of a text in a column, from
+which ``truncate_stored`` and any other budget question are plain expressions.
 
 A text is cut where white space follows something else; the tokenizer's own
 splitting never joins across such a place, so equal segments have equal tables
@@ -17,6 +22,7 @@ handled in full; memory holds one chunk of texts and the cache.
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Iterator
 
@@ -33,6 +39,10 @@ CACHE_SEGMENTS = 1_000_000
 CHUNK = 2 << 20
 #: Distinct pieces handled at once; bounds the tables.
 PIECES = 65_536
+#: Bytes of a piece from which it is walked by itself.
+LONG = 32
+#: Pairs of tokens whose stability a worker keeps for such walks.
+CACHE_PAIRS = 500_000
 _EMPTY = np.uint64(0)
 
 
@@ -110,6 +120,11 @@ class PrefixCounter:
         self.tokens = Lookup(keys, np.array(list(rank.values()), np.int64))
         self.known = np.zeros(0, np.uint64)
         self.counts = np.zeros(0, np.int64)
+        self.rank = rank
+        self.ends: dict[bytes, int] = {}
+        self.merged: dict[tuple[int, int], int] = {}
+        self.pair_stable: dict[tuple[int, int], bool] = {}
+        self.spaces: dict[str, bool] = {}
 
     def _whole(self, data: np.ndarray) -> np.uint64:
         up, down = W.powers(len(data) + 1)
@@ -140,9 +155,67 @@ class PrefixCounter:
             live = live[~done]
         return out
 
+    def _stays(self, a: int, b: int) -> bool:
+        """``stable`` for one pair, kept."""
+        known = self.pair_stable.get((a, b))
+        if known is not None:
+            return known
+        x, y, limit, out = a, b, 1 << 62, True
+        left, right, merged = self.left_of, self.right_of, self.merged
+        while True:
+            if merged.get((x, y), limit) < limit:
+                out = False
+                break
+            if x < 256 and y < 256:
+                break
+            if y < 256 or x > y:
+                limit, x = x, right[x]
+            else:
+                limit, y = y + 1, left[y]
+        if len(self.pair_stable) >= CACHE_PAIRS:
+            self.pair_stable.clear()
+        self.pair_stable[a, b] = out
+        return out
+
+    def _long_table(self, piece: bytes) -> list[int]:
+        """Token counts of every prefix of one piece of any length."""
+        if not self.ends:  # every end of every token; those that are tokens themselves with their rank
+            self.left_of, self.right_of = self.left.tolist(), self.right.tolist()
+            for k in range(256, len(self.left_of)):
+                self.merged.setdefault((self.left_of[k], self.right_of[k]), k)
+            for token in self.rank:
+                for k in range(1, len(token)):
+                    self.ends.setdefault(token[k:], -1)
+            self.ends.update(self.rank)
+        ends, stays = self.ends, self._stays
+        count, last = [0] * (len(piece) + 1), [-1] * (len(piece) + 1)
+        for i in range(1, len(piece) + 1):
+            found, begin = [], i
+            while begin and (token := ends.get(piece[begin - 1 : i])) is not None:
+                begin -= 1
+                if token >= 0:
+                    found.append((begin, token))
+            for begin, token in reversed(found):
+                if not begin or stays(last[begin], token):
+                    last[i], count[i] = token, count[begin] + 1
+                    break
+        return count
+
     def tables(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Token counts of every prefix of every piece, flat: piece k's are at
         ``at[k] + k`` and on, one more than its bytes."""
+        sizes = np.diff(at)
+        if not (sizes > LONG).any():
+            return self._short_tables(data, at)
+        short = sizes <= LONG
+        out = np.zeros(len(data) + len(sizes), np.int64)
+        into = np.repeat(short, sizes + 1)
+        out[into] = self._short_tables(data[np.repeat(short, sizes)], np.concatenate([[0], np.cumsum(sizes[short])]))
+        for k in np.flatnonzero(~short).tolist():
+            out[at[k] + k : at[k + 1] + k + 1] = self._long_table(data[at[k] : at[k + 1]].tobytes())
+        return out
+
+    def _short_tables(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         n, sizes = len(at) - 1, np.diff(at)
         up, down = W.powers(len(data) + 1)
         with np.errstate(over="ignore"):
@@ -185,22 +258,25 @@ class PrefixCounter:
             out[part] = table[at[1:] + np.arange(len(part))]
         return out
 
-    def split_segment(self, text: str) -> list[bytes | None]:
-        """The pieces that the tokenizer encodes on their own; None is a special token."""
-        parts: list[str | None] = [text]
+    def _around_specials(self, text: str) -> list[str | int]:
+        """What stands between special tokens, and the length of each special token."""
+        parts: list[str | int] = [text]
         for special in self.specials:
-            cut: list[str | None] = []
+            cut: list[str | int] = []
             for p in parts:
-                if p is None or special not in p:
+                if isinstance(p, int) or special not in p:
                     cut.append(p)
                     continue
-                rest = p.split(special)
-                for k, x in enumerate(rest):
-                    cut += [None] * (k > 0) + [x] * bool(x)
+                for k, x in enumerate(p.split(special)):
+                    cut += [len(special)] * (k > 0) + [x] * bool(x)
             parts = cut
+        return [p for p in parts if p]
+
+    def split_segment(self, text: str) -> list[bytes | None]:
+        """The pieces that the tokenizer encodes on their own; None is a special token."""
         out: list[bytes | None] = []
-        for p in parts:
-            if p is None:
+        for p in self._around_specials(text):
+            if isinstance(p, int):
                 out.append(None)
             else:
                 out += [p[s:e].encode() for _, (s, e) in self.split.pre_tokenize_str(p)]
@@ -225,24 +301,86 @@ class PrefixCounter:
         np.add.at(out, owner, self.piece_counts(pieces))
         return out
 
+    def _is_space(self, c: str) -> bool:
+        """Whether the tokenizer's splitting takes a character for white space: two of them between letters stay apart."""
+        if c not in self.spaces:
+            self.spaces[c] = c == " " or len(self.split.pre_tokenize_str(f"x{c}{c}x")) == 4
+        return self.spaces[c]
+
+    def _parts(self, text: str) -> list[tuple[int, int, bool]]:
+        """Begin, end and whether it is a special token, of each piece of a text, in characters."""
+        out, at = [], 0
+        for p in self._around_specials(text):
+            if isinstance(p, int):
+                out.append((at, at + p, True))
+                at += p
+            else:
+                out += [(at + s, at + e, False) for _, (s, e) in self.split.pre_tokenize_str(p)]
+                at += len(p)
+        return out
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """Token count of each prefix of a text, by characters, from 0 to all of them.
 
-        Full segments before the prefix's end add up; the open segment is split
-        as the end of a text, and its last piece's table has the count.
+        The text is split once.  A prefix that ends inside a piece has the pieces before it and the open piece's table;
+        one that ends in white space has all of that white space as one piece; one that ends inside a contraction or a
+        special token is split from there anew, which takes a few characters.
         """
-        out, done, start = np.zeros(len(text) + 1, np.int64), 0, 0
-        for stop in [*_cuts(text), len(text)]:
-            seg = text[start:stop]
-            own = [sum(1 if p is None else int(self.piece_counts([p])[0]) for p in self.split_segment(seg[:k])) for k in range(1, len(seg))] if not _one_piece(seg) else self._letters(seg)
-            whole = sum(1 if p is None else int(self.piece_counts([p])[0]) for p in self.split_segment(seg))
-            out[start + 1 : stop + 1] = done + np.array([*own, whole][: len(seg)], np.int64)
-            done, start = done + whole, stop
+        out = np.zeros(len(text) + 1, np.int64)
+        parts = self._parts(text)
+        runs: list[list[int]] = []  # white space, however many pieces it is
+        after_special = False
+        for s, e, special in parts:
+            for k in range(s, s if special else e):
+                if not self._is_space(text[k]):
+                    break
+                if runs and runs[-1][1] == k and not (k == s and after_special):
+                    runs[-1][1] = k + 1
+                else:
+                    runs.append([k, k + 1])
+            after_special = special
+        tables = self._tables_of({text[s:e] for s, e, special in parts if not special} | {text[b:z] for b, z in runs})
+        done, starts = 0, [b for b, _ in runs]
+        for n, (s, e, special) in enumerate(parts):
+            piece = text[s:e]
+            if special:
+                begin = parts[n - 1][0] if n and not parts[n - 1][2] else s
+                run = runs[max(bisect.bisect_right(starts, begin) - 1, 0)] if runs else (s, s)
+                begin = run[0] if run[0] <= begin < run[1] else begin
+                for k in range(s + 1, e):
+                    out[k] = out[begin] + self._count(text[begin:k])
+                done += 1
+            elif piece[0] == "'" and len(piece) in (2, 3) and piece[1:].isalpha():
+                out[s + 1 : e] = [done + self._count(piece[:k]) for k in range(1, len(piece))]
+                done += int(tables[piece][-1])
+            else:
+                out[s + 1 : e] = done + tables[piece][1 : e - s]
+                done += int(tables[piece][-1])
+            out[e] = done
+        fixed = out.copy()
+        for b, z in runs:
+            fixed[b + 1 : z + 1] = out[b] + tables[text[b:z]][1:]
+        return fixed
+
+    def _tables_of(self, pieces: set[str]) -> dict[str, np.ndarray]:
+        """The table of each piece, by characters."""
+        listed = sorted(pieces, key=len)
+        raw = [p.encode() for p in listed]
+        out = {}
+        for k in range(0, len(raw), PIECES):
+            part = raw[k : k + PIECES]
+            at = np.concatenate([[0], np.cumsum([len(p) for p in part])]).astype(np.int64)
+            data = np.frombuffer(b"".join(part), np.uint8)
+            flat = self.tables(data, at)
+            for n, p in enumerate(listed[k : k + PIECES]):
+                own = flat[at[n] + n : at[n + 1] + n + 1]
+                ends = np.flatnonzero(np.append((data[at[n] : at[n + 1]] & 0xC0) != 0x80, True))
+                out[p] = own[ends]
         return out
 
-    def _letters(self, seg: str) -> list[int]:
-        data = np.frombuffer(seg.encode(), np.uint8)
-        return list(self.tables(data, np.array([0, len(data)]))[1:-1])
+    def _count(self, text: str) -> int:
+        pieces = self.split_segment(text)
+        return sum(p is None for p in pieces) + int(self.piece_counts([p for p in pieces if p is not None]).sum())
 
     def within(self, text: str, budget: int) -> int:
         """Characters of the longest prefix such that it and all shorter ones have at most ``budget`` tokens."""
@@ -250,28 +388,6 @@ class PrefixCounter:
         return int(over[0]) - 1 if len(over) else len(text)
 
 
-def _one_piece(seg: str) -> bool:
-    body = seg[1:] if seg[:1] == " " else seg
-    return body.isascii() and body.isalpha()
-
-
-def _cuts(text: str) -> Iterator[int]:
-    """Where a segment may end; none in texts with white space outside ASCII."""
-    if _odd_space(text):
-        return
-    for k in range(1, len(text)):
-        if text[k] in " \t\n\v\f\r" and text[k - 1] not in " \t\n\v\f\r":
-            yield k
-
-
-#: White space, or what some tools take for it, outside 0x20 and 0x09-0x0D.
-ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0                　"
-
-
-def _odd_space(text: str) -> bool:
-    return any(c in text for c in ODD_SPACE)
-
-
 def _odd_rows(texts: pa.Array) -> np.ndarray:
     """Rows with odd white space or a special token's opening, which are split whole."""
     import pyarrow.compute as pc
@@ -372,23 +488,32 @@ def token_counts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long")
 
 
-def truncate(df: DataFrame, key: str, text: str, path: str, budget: int) -> DataFrame:
-    """Key, the longest safe prefix of each text within ``budget`` tokens, and its token count."""
+def prefix_tables(df: DataFrame, key: str, text: str, path: str, name: str = "prefix_tokens") -> DataFrame:
+    """Key, text and an array of the token counts of all its prefixes, by characters, from 0 on; null where the text is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = counter(path)
         for b in batches:
-            kept, used = [], []
-            for t in b.column(1).to_pylist():
-                table = tok.prefix_counts(t or "")
-                over = np.flatnonzero(table > budget)
-                stop = int(over[0]) - 1 if len(over) else len(table) - 1
-                kept.append(None if t is None else t[:stop])
-                used.append(int(table[stop]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(used, pa.int64())], [key, text, "n_tokens"])
+            for k in range(b.num_rows):  # a row at a time: a count takes as much room as some characters
+                t = b.column(1)[k].as_py()
+                counts = pa.array([None if t is None else tok.prefix_counts(t).astype(np.int32)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), counts], [key, text, name])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, `{text}` string, n_tokens long")
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, `{text}` string, `{name}` array<int>")
+
+
+def truncate_stored(stored: DataFrame, key: str, text: str, budget: int, name: str = "prefix_tokens") -> DataFrame:
+    """Key, the longest prefix of each text such that it and all shorter ones are within ``budget`` tokens, and its count, from stored tables."""
+    over = F.array_position(F.transform(name, lambda n: n > budget), F.lit(True))
+    stop = F.when(over > 0, over - 2).otherwise(F.size(name) - 1).cast("int")
+    rows = stored.withColumn("_stop", stop)
+    return rows.select(F.col(key), F.substr(F.col(text), F.lit(1), F.col("_stop")).alias(text), F.coalesce(F.get(name, F.col("_stop")), F.lit(0)).cast("long").alias("n_tokens"))
+
+
+def truncate(df: DataFrame, key: str, text: str, path: str, budget: int) -> DataFrame:
+    """Key, the longest safe prefix of each text within ``budget`` tokens, and its token count."""
+    return truncate_stored(prefix_tables(df, key, text, path), key, text, budget)
 
 
 def op6_prefix_counts(spark, sf_dir: str) -> DataFrame:
