@@ -2,44 +2,55 @@
 
 Rotations of the (unit) vectors are learned so that signs quantise them with
 least error; each gives as many bits as the vector has components.  The bits are
-cut into the keys of many tables; vectors that agree in a whole key of the same
-label meet, and each pair is reranked by the cosine of the original vectors in
-double precision, in the first table where it meets.
+cut into the keys of many tables; vectors of one label that agree in a whole key
+meet in that key's bucket.
+
+The index has a row per vector and table: bucket, id and the code's first 64 bits,
+but no vector.  In a bucket of up to ``RUN`` vectors, pairs whose codes differ in at
+some bits at most become candidates; they are made distinct and the vectors are joined
+once, to rerank by the cosine in double precision.  Larger buckets get their vectors
+and are split into blocks, every two of which meet in one cell, so nothing is capped
+and no task holds a large bucket; a cell returns a row per linked vector (its number of
+links, and the smallest vector its links there lead to), not a row per pair.  A pair
+counts in the first table where it meets.
 
 The key's width follows the number of vectors, so buckets stay small, and the
 number of tables follows the width, so that a pair at the threshold meets with
 probability ``RECALL`` for independent bits (better for learned ones).  Only the
 rotations are fitted on a sample, of ``FIT_ROWS`` vectors; every vector is indexed.
 
-Equal vectors of a label are one class with a multiplicity.  Buckets of more than
-``BLOCK`` vectors are split into blocks, every two of which meet in one cell, so
-nothing is capped and no task holds a large bucket.  A cell returns a row per
-linked vector (its number of links, and the smallest vector its links there lead
-to), not a row per pair.
+Equal vectors of a label are one class with a multiplicity.
 
 Null labels, null ids, and vectors that are null, empty, zero or hold null or
 non-finite components link with nothing and are reported with 0 links.  Vectors
-of different length never link.  An empty table gives no rows.
+of different length never link.  Repeated rows are vectors of their own, which link;
+so are different vectors that share an id.  Further columns are dropped.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoy.llm import words as W
 from convoy.llm.graph import components
-from convoy.llm.shared import settled, table
+from convoy.llm.shared import settled, split_join, table
 
 THRESHOLD, RECALL = 0.93, 0.985
 FIT_ROWS, FIT_STEPS = 4096, 30
-BLOCK = 1024
+#: Vectors of a bucket up to which its pairs are tried by their codes alone, and of a block of a larger one.
+RUN, BLOCK = 32, 1024
+#: Bits of a code; candidates may differ in as many of them as a pair at the threshold does on average and FAR_DEVIATIONS more.
+CODE, FAR_DEVIATIONS = 64, 6
 #: Bits of a key: about the logarithm of the number of vectors, within these.
-LEAST_BITS, MOST_BITS = 8, 24
+LEAST_BITS, MOST_BITS = 8, 40
 
 
 def fit_rotations(sample: np.ndarray, count: int, seed: int = 5) -> np.ndarray:
@@ -64,6 +75,12 @@ def layout(n: int, dim: int, threshold: float = THRESHOLD, recall: float = RECAL
     return bits, tables, math.ceil(bits * tables / dim)
 
 
+def far(threshold: float) -> int:
+    """Bits of the code in which a candidate may differ: 24 of 64 at 0.93."""
+    share = math.acos(threshold) / math.pi
+    return math.ceil(CODE * share + FAR_DEVIATIONS * math.sqrt(CODE * share * (1 - share)))
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors.astype(np.float64)
     scale = np.abs(vectors).max(1, keepdims=True)
@@ -72,10 +89,14 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(norm > 0, norm, 1)
 
 
-def keys_of(units: np.ndarray, rotations: np.ndarray, bits: int, tables: int) -> np.ndarray:
+def signs_of(units: np.ndarray, turned: np.ndarray) -> np.ndarray:
+    """Bits of each vector; turned: the rotations' columns, one for each bit."""
+    return units @ turned >= 0
+
+
+def keys_of(signs: np.ndarray, bits: int) -> np.ndarray:
     """Key of each vector in each table: vectors x tables."""
-    sign = np.concatenate([units @ r >= 0 for r in rotations], 1)[:, : bits * tables]
-    return (sign.reshape(len(units), tables, bits) * (1 << np.arange(bits))).sum(2).astype(np.int32)
+    return (signs.reshape(len(signs), -1, bits) * (np.int64(1) << np.arange(bits, dtype=np.int64))).sum(2)
 
 
 def usable(vector: Column) -> Column:
@@ -84,79 +105,190 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of a list column, filled up with zeros, and their lengths."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    out = np.zeros((len(size), int(size.max(initial=0))))
+    first = np.concatenate([[0], np.cumsum(size)])
+    for d in np.unique(size):
+        rows = np.flatnonzero(size == d)
+        out[rows, :d] = unit(flat[first[rows][:, None] + np.arange(d)])
+    return out, size
+
+
+@dataclass
+class Tables:
+    """Columns of the rotations by vector length, and how bits make keys."""
+
+    turned: dict[int, np.ndarray]
+    bits: int
+    tables: int
+
+    def signs(self, units: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(size), self.bits * self.tables), bool)
+        for d in np.unique(size):
+            rows = np.flatnonzero(size == d)
+            out[rows] = signs_of(units[rows, :d], self.turned[int(d)])
+        return out
+
+    def first_meeting(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The first table in which each pair of sign rows agrees."""
+        return (keys_of(x, self.bits) == keys_of(y, self.bits)).argmax(1)
 
 
-def _index(classes: DataFrame, rotations, bits: int, tables: int) -> DataFrame:
+INDEX = "bucket long, cid long, t int, code long"
+MEETINGS = "bucket long, t int, a long, b long"
+
+
+def _index(classes: DataFrame, shared) -> DataFrame:
     """A row per class and table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for b in batches:
-            for k in range(0, b.num_rows, 2048):
-                part = b.slice(k, 2048)
-                keys = keys_of(unit(_matrix(part.column(3))), rotations.value, bits, tables)
-                packed = pa.array([x.tobytes() for x in keys], pa.binary())
-                rows = np.repeat(np.arange(part.num_rows), tables)
-                t = np.tile(np.arange(tables, dtype=np.int32), part.num_rows)
-                take = lambda c: c.take(pa.array(rows))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([*[take(part.column(c)) for c in range(4)], pa.array(t), pa.array(keys.ravel()), take(packed)], ["cid", "label", "n", "vec", "t", "key", "keys"])
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                units, size = _units(part.column(2))
+                signs = own.signs(units, size)
+                t = np.arange(own.tables)
+                where = W.mix(part.column(1).to_numpy().view(np.uint64) ^ W.mix(size.astype(np.uint64), 1), 2)[:, None] ^ W.mix(t.astype(np.uint64), 3)[None, :]
+                bucket = W.mix(keys_of(signs, own.bits).view(np.uint64) ^ where, 4)
+                marks = np.zeros((part.num_rows, CODE), bool)
+                marks[:, : signs.shape[1]] = signs[:, :CODE]
+                code = np.packbits(marks, axis=1).view(np.int64)[:, 0]
+                cols = (bucket.view(np.int64).ravel(), np.repeat(part.column(0).to_numpy(), own.tables), np.tile(t.astype(np.int32), part.num_rows), np.repeat(code, own.tables))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "cid", "t", "code"])
+
+    return classes.select("cid", "place", "vec").mapInArrow(run, INDEX)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], most: int, small: int) -> Iterator[pa.RecordBatch]:
+    """From index rows sorted by bucket: candidates (a, b) of buckets of at most ``small``, and the rows (a) of larger ones.
+
+    The last bucket of a batch is carried over while it is small; a larger one streams through.
+    """
+    held = tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int32, np.int64))
+    running = None  # the large bucket that streams through
+
+    def large(bucket: np.ndarray, cid: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(t), pa.array(cid), pa.nulls(len(cid), pa.int64())], ["bucket", "t", "a", "b"])
+
+    def whole(bucket: np.ndarray, cid: np.ndarray, t: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(bucket):
+            return
+        new = np.ones(len(bucket), bool)
+        new[1:] = bucket[1:] != bucket[:-1]
+        run = np.cumsum(new) - 1
+        often = np.bincount(run)[run] > small
+        if running is not None:
+            often |= bucket == running
+        if often.any():
+            yield large(bucket[often], cid[often], t[often])
+        bucket, cid, t, code = (x[~often] for x in (bucket, cid, t, code))
+        for step in range(1, small):
+            i = np.flatnonzero(bucket[step:] == bucket[:-step])
+            if not len(i):
+                break
+            i = i[(np.bitwise_count(code[i] ^ code[i + step]) <= most) & (cid[i] != cid[i + step])]
+            x, y = cid[i], cid[i + step]
+            cols = (bucket[i], t[i], np.minimum(x, y), np.maximum(x, y))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "t", "a", "b"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = tuple(np.concatenate([h, b.column(k).to_numpy()]) for k, h in enumerate(held))
+        last = rows[0][-1]
+        done = rows[0] != last
+        yield from whole(*[x[done] for x in rows])
+        rest = tuple(x[~done] for x in rows)
+        if len(rest[0]) > small or (running is not None and last == running):
+            yield large(*rest[:3])
+            running, held = last, tuple(x[:0] for x in rest)
+        else:
+            held = rest
+    yield from whole(*held)
+
+
+LINKS = "cid long, links long, to long"
+
+
+def _gathered(cid: np.ndarray, n: np.ndarray, a: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """From links between rows ``a`` and ``c``: each linked row's number of links, and the smallest id they lead to."""
+    links = np.bincount(a, n[c], len(cid)) + np.bincount(c, n[a], len(cid))
+    to = cid.copy()
+    while True:
+        low = np.minimum(to[a], to[c])
+        before = to.copy()
+        np.minimum.at(to, a, low)
+        np.minimum.at(to, c, low)
+        if np.array_equal(before, to):
+            break
+    found = np.flatnonzero(links > 0)
+    return pa.RecordBatch.from_arrays([pa.array(cid[found]), pa.array(links[found].astype(np.int64)), pa.array(to[found])], ["cid", "links", "to"])
+
+
+def _reranked(candidates: DataFrame, classes: DataFrame, shared, threshold: float) -> DataFrame:
+    """Links among candidates (a, b, t)."""
+    side = lambda name: classes.select(F.col("cid").alias(name), F.col("label").alias(f"label_{name}"), F.col("n").alias(f"n_{name}"), F.col("vec").alias(f"vec_{name}"))
+    rows = candidates.join(side("a"), "a").join(side("b"), "b").where("label_a = label_b AND size(vec_a) = size(vec_b)")
 
-    return classes.select("cid", "label", "n", "vec").mapInArrow(run, "cid long, label string, n long, vec array<double>, t int, key int, keys binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            (x, size), (y, _) = _units(b.column(5)), _units(b.column(6))
+            near = np.einsum("ij,ij->i", x, y) >= threshold
+            keep = np.flatnonzero(near)
+            first = own.first_meeting(own.signs(x[keep], size[keep]), own.signs(y[keep], size[keep]))
+            keep = keep[first == b.column(2).to_numpy()[keep]]
+            cid, back = np.unique(np.concatenate([b.column(c).to_numpy()[keep] for c in (0, 1)]), return_inverse=True)
+            n = np.zeros(len(cid), np.int64)
+            n[back] = np.concatenate([b.column(c).to_numpy()[keep] for c in (3, 4)])
+            yield _gathered(cid, n, back[: len(keep)], back[len(keep) :])
 
+    return rows.select("a", "b", "t", "n_a", "n_b", "vec_a", "vec_b").mapInArrow(run, LINKS)
 
-def _cells(index: DataFrame) -> DataFrame:
-    """Index rows by cell: a bucket, or two blocks of a large bucket."""
-    bucket = ["label", "t", "key"]
-    large = index.groupBy(*bucket).agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).select(*bucket, F.ceil(F.col("_n") / BLOCK).alias("_blocks"))
-    rows = index.join(large, bucket, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("cid"), "_blocks"), F.lit(0)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_blocks"), F.lit(1)).cast("int") - 1)).alias("_other")
-    rows = rows.select("*", others).withColumns({"_i": F.least("block", "_other"), "_j": F.greatest("block", "_other")})
-    return rows.select(F.xxhash64(*bucket, "_i", "_j").alias("cell"), "label", "t", "block", (F.col("_i") != F.col("_j")).alias("cross"), "cid", "n", "vec", "keys")
 
+def _cells(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (bucket, t, cid) of large buckets by cell, with their vectors: a bucket, or two blocks of it."""
+    counts = large.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    rows = split_join(large, counts, "bucket", "cid").withColumn("block", F.pmod(F.xxhash64("cid"), "_blocks").cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1)).alias("_other")).withColumns({"_i": F.least("block", "_other"), "_j": F.greatest("block", "_other")})
+    rows = rows.select(F.xxhash64("bucket", "_i", "_j").alias("cell"), "bucket", "t", "block", (F.col("_i") != F.col("_j")).alias("cross"), "cid")
+    return rows.join(classes.select("cid", "label", "n", "vec"), "cid").select("cell", "bucket", "t", "block", "cross", "cid", "label", "n", "vec")
 
-def _links(cells: DataFrame, threshold: float) -> DataFrame:
-    """(cid, links, to): linked vectors found in each cell, and the smallest one they lead to there."""
 
-    def of(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _links(cells: DataFrame, shared, threshold: float) -> DataFrame:
+    """Links found in cells."""
+
+    def of(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        cell, t, block, cross, cid, n = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("cell", "t", "block", "cross", "cid", "n"))
-        label = np.unique(np.array(b.column(1).to_pylist(), object).astype(str), return_inverse=True)[1]
-        size = np.array([len(x) for x in b.column(7).to_pylist()])
-        out_a, out_b = [], []
-        units = np.zeros((len(cell), int(size.max())))
-        for d in np.unique(size):
-            units[size == d, :d] = unit(_matrix(b.column(7).filter(pa.array(size == d))))
-        keys = np.frombuffer(b"".join(b.column(8).to_pylist()), np.int32).reshape(len(cell), -1)
-        step, i = 1, np.flatnonzero(cell[1:] == cell[:-1])
-        while len(i):
-            j = i + step
-            ok = (label[i] == label[j]) & (t[i] == t[j]) & (size[i] == size[j]) & (cid[i] != cid[j]) & (~cross[i] | (block[i] != block[j]))
-            a, c = i[ok], j[ok]
-            for k in range(0, len(a), 65536):
-                x, y = a[k : k + 65536], c[k : k + 65536]
-                near = np.einsum("ij,ij->i", units[x], units[y]) >= threshold
-                x, y = x[near], y[near]
-                earlier = (keys[x] == keys[y]) & (np.arange(keys.shape[1])[None, :] < t[x][:, None])
-                first = ~earlier.any(1)
-                out_a.append(x[first])
-                out_b.append(y[first])
-            step += 1
-            i = i[i + step < len(cell)]
-            i = i[cell[i] == cell[i + step]]
-        a, c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        links = np.bincount(a, n[c], len(cell)) + np.bincount(c, n[a], len(cell))
-        to = cid.copy()
-        while True:
-            low = np.minimum(to[a], to[c])
-            before = to.copy()
-            np.minimum.at(to, a, low)
-            np.minimum.at(to, c, low)
-            if np.array_equal(before, to):
-                break
-        found = np.flatnonzero(links > 0)
-        return pa.RecordBatch.from_arrays([pa.array(cid[found]), pa.array(links[found].astype(np.int64)), pa.array(to[found])], ["cid", "links", "to"])
+        cell, bucket, t, block, cross, cid, n = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("cell", "bucket", "t", "block", "cross", "cid", "n"))
+        label = np.unique(np.array(b.column(6).to_pylist(), object).astype(str), return_inverse=True)[1]
+        units, size = _units(b.column(8))
+        own = shared.value
+        signs = own.signs(units, size)
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        out_a, out_c = [], []
+        for i, j in zip(starts, [*starts[1:], len(cell)], strict=True):
+            for k in range(i, j, 256):  # some rows against the rest of the cell
+                stop = min(k + 256, j)
+                near = units[k:stop] @ units[k:j].T >= threshold
+                x, y = np.nonzero(np.triu(near, 1))
+                x, y = x + k, y + k
+                ok = (bucket[x] == bucket[y]) & (label[x] == label[y]) & (size[x] == size[y]) & (cid[x] != cid[y]) & (~cross[x] | (block[x] != block[y]))
+                x, y = x[ok], y[ok]
+                for m in range(0, len(x), 16384):
+                    p, q = x[m : m + 16384], y[m : m + 16384]
+                    first = own.first_meeting(signs[p], signs[q]) == t[p]
+                    out_a.append(p[first])
+                    out_c.append(q[first])
+        if out_a:
+            yield _gathered(cid, n, np.concatenate(out_a), np.concatenate(out_c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -164,49 +296,67 @@ def _links(cells: DataFrame, threshold: float) -> DataFrame:
             if not b.num_rows:
                 continue
             cell = b.column(0).to_numpy(zero_copy_only=False)
-            start = int(np.searchsorted(cell, cell[-1])) if np.all(cell[:-1] <= cell[1:]) else 0
-            if held and held[0].column(0)[-1].as_py() != cell[0].item() or start:
-                first = [*held, b.slice(0, start)] if start else held
-                first = [x for x in first if x.num_rows]
+            start = int(np.searchsorted(cell, cell[-1]))
+            if start or (held and held[0].column(0)[-1].as_py() != cell[0].item()):
+                first = [x for x in (*held, b.slice(0, start)) if x.num_rows]
                 if first:
-                    yield of(first)
+                    yield from of(first)
                 held = []
             held.append(b.slice(start))
         if held:
-            yield of(held)
+            yield from of(held)
 
-    return cells.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(run, "cid long, links long, to long")
+    return cells.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(run, LINKS)
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
-    """Key, ``n_links``, ``component_id`` and ``kept`` of every row."""
-    spark = df.sparkSession
-    fine = usable(F.col(vector)) & F.col(label).isNotNull() & F.col(key).isNotNull()
-    rows = df.select(F.col(key).alias("id"), F.when(fine, F.col(label).cast("string")).alias("label"), F.when(fine, F.transform(vector, lambda x: x.cast("double"))).alias("vec"))
-    rows = rows.withColumns({"h": F.when(F.col("vec").isNotNull(), F.xxhash64("vec")), "g": F.when(F.col("vec").isNotNull(), F.xxhash64(F.lit(1), "vec"))})
-    classes = settled(rows.where("vec IS NOT NULL").groupBy("label", "h", "g").agg(F.min("id").alias("cid"), F.count("*").alias("n"), F.first("vec").alias("vec")), "vector-classes")
+def _linked(classes: DataFrame, threshold: float) -> DataFrame:
+    """(cid, links, to) of all classes that link with others, in several rows each."""
+    spark = classes.sparkSession
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     sample = [r.vec for r in classes.select("vec", "h").orderBy("h").limit(FIT_ROWS).collect()]
     dim = max(map(len, sample), default=1)
     fitted = unit(np.array([v for v in sample if len(v) == dim] or np.zeros((0, dim))))
-    bits, tables, count = layout(most, dim, threshold)
-    dims = [r[0] for r in classes.select(F.size("vec")).distinct().collect()]
-    parts = []
-    for d in dims:  # vectors of one length have rotations of that size; there is one length as a rule
+    bits, tables, _ = layout(most, dim, threshold)
+    turned = {}
+    for (d,) in classes.select(F.size("vec")).distinct().collect():  # one length as a rule
         own = fit_rotations(fitted if d == dim else np.zeros((0, d)), math.ceil(bits * tables / d))
-        parts.append(_index(classes.where(F.size("vec") == d), spark.sparkContext.broadcast(own), bits, tables))
-    if parts:
-        index = parts[0]
-        for p in parts[1:]:
-            index = index.unionByName(p)
-        found = settled(_links(_cells(settled(index, "vector-index")), threshold), "vector-links")
-        near = components(found, "cid", "to")
-        links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    else:
+        turned[d] = np.concatenate(list(own), 1)[:, : bits * tables]
+    shared = spark.sparkContext.broadcast(Tables(turned, bits, tables))
+    most_apart, small = far(threshold), RUN
+    met = _index(classes, shared).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _meetings(batches, most_apart, small), MEETINGS)
+    met = settled(met, "vector-meetings")
+    candidates = met.where("b IS NOT NULL").groupBy("a", "b").agg(F.min("t").alias("t"))
+    found = _reranked(candidates, classes, shared, threshold)
+    large = met.where("b IS NULL").select("bucket", "t", F.col("a").alias("cid"))
+    if not large.isEmpty():
+        found = found.unionByName(_links(_cells(large, classes), shared, threshold))
+    return settled(found, "vector-links")
+
+
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
+    """Key, ``n_links``, ``component_id`` and ``kept`` of every row."""
+    spark = df.sparkSession
+    fine = usable(F.col(vector)) & F.col(label).isNotNull() & F.col(key).isNotNull()
+    kind = df.schema[vector].dataType.simpleString()
+    vec = F.col(vector) if kind in ("array<float>", "array<double>") else F.transform(vector, lambda x: x.cast("double"))
+    rows = df.select(F.col(key).alias("id"), F.when(fine, F.col(label).cast("string")).alias("label"), F.when(fine, vec).alias("vec"))
+    rows = rows.withColumns({"h": F.when(F.col("vec").isNotNull(), F.xxhash64("vec")), "g": F.when(F.col("vec").isNotNull(), F.xxhash64(F.lit(1), "vec"))})
+    classes = rows.where("vec IS NOT NULL").groupBy("label", "h", "g").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+    classes = settled(classes.withColumn("place", F.xxhash64("label")), "vector-classes")
+    plain = classes.select("least").distinct().count() == classes.count()  # else different vectors share an id
+    classes = classes.withColumn("cid", F.col("least") if plain else F.xxhash64("label", "h", "g"))
+    if classes.isEmpty():
         near = spark.createDataFrame([], "node long, component long")
         links = spark.createDataFrame([], "cid long, links long")
-    known = classes.select("label", "h", "g", "cid", "n").join(links, "cid", "left").join(near.withColumnRenamed("node", "cid"), "cid", "left")
-    known = known.select("label", "h", "g", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
+    else:
+        found = _linked(classes, threshold)
+        near = components(found, "cid", "to")
+        if not plain:
+            least = near.join(classes.select(F.col("cid").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("least"))
+            near = near.join(least, "component").select("node", F.col("least").alias("component"))
+        links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    known = classes.select("label", "h", "g", "cid", "n", "least").join(links, "cid", "left").join(near.withColumnRenamed("node", "cid"), "cid", "left")
+    known = known.select("label", "h", "g", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
     out = rows.drop("vec").join(known, ["label", "h", "g"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
