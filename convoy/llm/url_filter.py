@@ -9,13 +9,15 @@ threshold is calibrated on the last fifth, where the two error rates' sum is
 least.  URLs without a rule are judged by the score.
 
 Models live as a table of distinct character windows with one log ratio each; it
-is broadcast only if its counted size allows, else joined by shuffle.  Scores are
-kept per distinct URL, so that repeated URLs meet in pre-aggregated rows.
+is broadcast if its counted size allows, else only its frequent windows are, and the
+others joined by shuffle.  So are the counts of the shortest contexts, which all
+windows share.  Scores are kept per distinct URL, so that repeated URLs meet in
+pre-aggregated rows.
 
 Null URLs, and those without ``://``, have empty host and path; a null URL is
 blocked, an empty one is scored.  With labels of one kind only, the threshold
-is 0 and an untrained model is uniform.  Repeated rows are each judged.  Further
-columns are kept.
+is 0 and an untrained model is uniform.  Repeated rows are each judged.  Columns of
+the operator's own names are replaced, all others kept.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ PRIOR = 4.0
 ALPHABET = 256.0
 #: Distinct windows up to which their table is broadcast.
 BROADCAST_WINDOWS = 300_000
+#: Longest contexts whose counts are broadcast in any case that allows it.
+SHARED = 1
 #: Width of the calibration's score bins.
 BIN = 0.01
 
@@ -103,7 +107,15 @@ def window_ratios(windows: DataFrame, trained: DataFrame) -> DataFrame:
     totals = grams.groupBy("k", "context").agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"))
     rows = windows.select("window", F.explode(_suffixes(F.col("window"))).alias("s")).select("window", "s.*")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c)
-    seen = rows.join(counts, "gram", "left").join(totals, ["k", "context"], "left").select("window", "k", *[zero(c) for c in ("yes", "no", "all_yes", "all_no")])
+    low = F.col("k") <= SHARED  # contexts so short that very many windows have them
+    parts = []
+    for rank, grams_of in ((low, F.length("gram") <= SHARED + 1), (~low, F.length("gram") > SHARED + 1)):
+        own = rows.where(rank)
+        for table, on in ((counts.where(grams_of), ["gram"]), (totals.where(rank), ["k", "context"])):
+            few = rank is low and settled(table, "url-contexts").count() <= BROADCAST_WINDOWS
+            own = own.join(F.broadcast(table) if few else table, on, "left")
+        parts.append(own)
+    seen = parts[0].unionByName(parts[1]).select("window", "k", *[zero(c) for c in ("yes", "no", "all_yes", "all_no")])
     levels = seen.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("k", "yes", "no", "all_yes", "all_no"))).alias("levels"))
 
     def probability(n: str, total: str) -> Column:
@@ -118,11 +130,17 @@ def scores(urls: DataFrame, label: str = "label", fold: str = "train") -> DataFr
     # distinct URLs are few bytes and much work: they are dealt to as many tasks as shuffles have, not to as few as their size asks for
     rows = urls.groupBy("url").agg(F.count("*").alias("n"), F.max(label).alias("label"), F.max(fold).alias("train")).repartition(parts)
     cut = rows.select("url", F.explode(_windows(F.col("url"))).alias("window"), F.when(F.col("train") & F.col("label"), F.col("n")).otherwise(0).alias("yes"), F.when(F.col("train") & ~F.col("label"), F.col("n")).otherwise(0).alias("no"))
-    counted = settled(cut.groupBy("window").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")), "url-windows")
+    counted = settled(cut.groupBy("window").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.count("*").alias("n")), "url-windows")
     ratios = window_ratios(counted.select("window"), counted.where("yes + no > 0"))
-    if counted.count() <= BROADCAST_WINDOWS:
-        ratios = F.broadcast(ratios)
-    return cut.join(ratios, "window").groupBy("url").agg(F.avg("ratio").alias("score"))
+    size = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if size[0] <= BROADCAST_WINDOWS:
+        found = cut.join(F.broadcast(ratios), "window")
+    else:  # windows of so many occurrences that there are few of them
+        often = F.broadcast(counted.where(F.col("n") > size[1] // BROADCAST_WINDOWS).select("window"))
+        ratios = settled(ratios, "url-ratios")
+        some = F.broadcast(ratios.join(often, "window", "left_semi"))
+        found = cut.join(some, "window").unionByName(cut.join(some.select("window"), "window", "left_anti").join(ratios, "window"))
+    return found.groupBy("url").agg(F.avg("ratio").alias("score"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -139,15 +157,18 @@ def threshold(scored: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds host, path, rule, verdict and score to every row."""
-    row = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    row = row.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns])  # apart from the operator's own columns, whatever its columns are called
+    parts = pages.select(row.alias("_row"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    parts = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     allowed = F.col("rule").isin([r.text for r in rules if r.allow])
-    labelled = row.where(F.col(url).isNotNull()).select(F.col(url).alias("url"), F.when(F.col("rule").isNotNull(), allowed).alias("label"), trains(F.col(url)).alias("train"))
+    labelled = parts.where("url IS NOT NULL").select("url", F.when(F.col("rule").isNotNull(), allowed).alias("label"), trains(F.col("url")).alias("train"))
     scored = settled(scores(labelled), "url-scores")
     held = labelled.where("NOT train AND label IS NOT NULL").distinct().join(scored, "url")
-    judged = row.join(scored.withColumnRenamed("url", "_url"), F.col(url) == F.col("_url"), "left").drop("_url").crossJoin(F.broadcast(threshold(held)))
+    judged = parts.join(scored, "url", "left").crossJoin(F.broadcast(threshold(held)))
     accepted = F.when(F.col("rule").isNotNull(), allowed).otherwise(F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
-    return judged.withColumn("verdict", F.when(accepted, "allow").otherwise("block")).drop("threshold")
+    own = ["host", "path", "rule", "verdict", "score"]
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in pages.columns if c not in own]
+    return judged.withColumn("verdict", F.when(accepted, "allow").otherwise("block")).select(*kept, *own)
 
 
 def op1_character_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
