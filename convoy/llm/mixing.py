@@ -14,7 +14,8 @@ order value per leaf, and the selection itself is a filter that shuffles nothing
 
 Nulls: a null level is a node of its own, named ''; a null key orders as ''; a
 null text has no tokens.  A leaf without tokens gives no rows.  Rows with equal
-keys stand or fall together.  Nodes without a weight in ``weights`` weigh 1; a
+keys stand or fall together.  Columns of the operator's own names are replaced, all
+others kept.  Nodes without a weight in ``weights`` weigh 1; a
 weight of 0 or less takes nothing.  An empty table gives no rows.
 """
 
@@ -94,24 +95,26 @@ def plan(sized: DataFrame, levels: list[str], weights: list[dict[str, float]], b
     return ends.select(*levels, "epochs", F.coalesce("_last", F.concat("_full", F.lit("g")), F.lit("")).alias("last"))
 
 
-def mix(docs: DataFrame, key: str, text: str, levels: dict[str, Column], weights: list[dict[str, float]], budget_share: float, max_epochs: int = 1, seed: int = 11, tokens: Column | None = None) -> DataFrame:
-    """The selected documents with all their columns, the epoch, and ``mix_tokens``.
+def mix(docs: DataFrame, key: str, text: str, levels: dict[str, Column], weights: list[dict[str, float]], budget_share: float, max_epochs: int = 1, seed: int = 11, tokens: Column | None = None, added: tuple[str, str] = ("epoch", "mix_tokens")) -> DataFrame:
+    """The selected documents with all their columns, the epoch, and the tokens counted; ``added`` names these two.
 
     levels: named columns of the tree, from the root; budget_share: of all tokens;
     tokens: per row, a quarter of the text's bytes where not given.
     """
     amount = tokens if tokens is not None else F.ceil(F.octet_length(F.col(text)) / 4)
     names = [f"_level_{k}" for k in range(len(levels))]
-    columns = {n: F.coalesce(c.cast("string"), F.lit("")) for n, c in zip(names, levels.values(), strict=True)}
-    marked = docs.withColumns(columns | {"mix_tokens": F.coalesce(amount, F.lit(0)).cast("long")})
-    sized = settled(marked.select(F.col(key).alias("_key"), *names, F.col("mix_tokens").alias("_tokens")), "mix-sizes")
+    columns = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # apart from the operator's own columns, whatever its columns are called
+    marked = docs.select(row.alias("_row"), F.col(key).alias("_key"), *columns, F.coalesce(amount, F.lit(0)).cast("long").alias("_tokens"))
+    sized = settled(marked.select("_key", *names, "_tokens"), "mix-sizes")
     budget = F.floor(F.sum("have") * F.lit(budget_share))
     leaves = settled(plan(sized, names, weights, budget, max_epochs, seed), "mix-plan")
     small = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
-    times = F.col("epochs") + F.when(order_value(F.col(key), F.col("epochs"), seed) <= F.col("last"), 1).otherwise(0)
+    times = F.col("epochs") + F.when(order_value(F.col("_key"), F.col("epochs"), seed) <= F.col("last"), 1).otherwise(0)
     out = marked.join(small, names).withColumn("_times", times.cast("int")).where("_times > 0")
-    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)) if max_epochs > 1 else F.lit(0))
-    return out.select(*docs.columns, "epoch", "mix_tokens")
+    epoch = F.explode(F.sequence(F.lit(0), F.col("_times") - 1)) if max_epochs > 1 else F.lit(0)
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in added]
+    return out.select(*kept, epoch.alias(added[0]), F.col("_tokens").alias(added[1]))
 
 
 # ---- the query ---------------------------------------------------------------
