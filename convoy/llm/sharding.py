@@ -3,8 +3,8 @@
 Every row descends from the root over region and rack to its shard.  At each
 node the children draw exponential clocks from the row's key, ``-ln(u) / weight``,
 and the earliest wins; so a child gets its weight's share, and a changed weight
-moves rows only into or out of the child it belongs to.  A new shard opens a
-region of its own where its rack is full, so rows move only into it.
+moves rows only into or out of the child it belongs to.  ``Tree.grown`` puts a new
+shard in a region of its own, so rows move only into it, however often that is done.
 
 All draws are built-in expressions over 64-bit hashes.  Slots are numbered within
 hash buckets of a shard and offset by the buckets before, so that no task holds
@@ -41,6 +41,12 @@ class Tree:
         """Shards 0.. in racks and regions of fixed width; the last ones may be part-filled."""
         return Tree.weighted([1.0] * shards, per_rack, racks_per_region)
 
+    def grown(self, weight: float = 1.0) -> Tree:
+        """The tree with one shard more, in a rack and a region of its own: no weight of before changes."""
+        (regions,), racks, shards = self.levels
+        region, rack, shard = len(racks), len(shards), sum(map(len, shards))
+        return Tree(((regions + ((region, weight),),), (*racks, ((rack, weight),)), (*shards, ((shard, weight),))))
+
     @staticmethod
     def weighted(weights: list[float], per_rack: int = 4, racks_per_region: int = 3) -> Tree:
         racks = [list(range(i, min(i + per_rack, len(weights)))) for i in range(0, len(weights), per_rack)]
@@ -95,11 +101,16 @@ def shard(df: DataFrame, key: str, tree: Tree, grown: Tree | None = None, keep:
     )
 
 
+def place_documents(docs: DataFrame) -> DataFrame:
+    """Documents in shards 0 to 23 by the law ``key``, and where they go with one shard more."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    sized = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = shard(sized, "doc_id", Tree.regular(24), Tree.regular(24).grown(), keep=("size", "text_crc32"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op5_hash_tree(spark, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 23, and where they go with one shard more."""
     from convoy.llm.shared import table
 
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = shard(docs, "doc_id", Tree.regular(24), Tree.regular(25), keep=("size", "text_crc32"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return place_documents(table(spark, sf_dir, "documents"))
