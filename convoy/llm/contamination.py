@@ -15,7 +15,8 @@ what is broadcast stays bounded and no document is shuffled.
 Shingles: A-Z lower-cased, words outside 0x20 and 0x09-0x0D.  A text of fewer
 words than a shingle has its whole sequence as its one shingle; a null or empty
 text has none, matches nothing and is never dropped.  Equal documents and equal
-items are each reported.  Null ids are kept as nulls.
+items are each reported.  Null ids are kept as nulls; ids may be of any type.  Further
+columns are dropped by ``matches`` and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ BLOCK_SHINGLES = 2_000_000
 class Index:
     """Items of one block: their shingles, and the MinHash values that find them."""
 
-    item: list  #: item ids
+    item: pa.Array  #: item ids
     first: np.ndarray  #: first shingle of each item
     shingle: np.ndarray  #: sorted distinct shingles, item after item
     need: np.ndarray  #: shingles that make a match
@@ -54,13 +55,13 @@ def need_of(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.maximum(1, np.ceil(n * threshold - 1e-9)).astype(np.int64)
 
 
-def build_index(ids: list, texts: pa.Array, width: int = WIDTH, threshold: float = THRESHOLD) -> Index:
+def build_index(ids: pa.Array, texts: pa.Array, width: int = WIDTH, threshold: float = THRESHOLD) -> Index:
     item, sets = [], []
     for w in W.words(texts, lower=True):
         shingle, first = W.shingles(w, width)
         for k in range(len(first) - 1):
             if first[k] < first[k + 1]:
-                item.append(ids[w.rows.start + k])
+                item.append(w.rows.start + k)
                 sets.append(np.unique(shingle[first[k] : first[k + 1]]))
     sizes = np.array([len(x) for x in sets], np.int64)
     value, owner = [], []
@@ -80,7 +81,7 @@ def build_index(ids: list, texts: pa.Array, width: int = WIDTH, threshold: float
     seen = np.zeros(1 << bits, bool)
     seen[(value & np.uint64(len(seen) - 1)).astype(np.int64)] = True
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    return Index(item, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat, need_of(sizes, threshold), value[order], owner[order], seen)
+    return Index(ids.take(pa.array(item, pa.int64())), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat, need_of(sizes, threshold), value[order], owner[order], seen)
 
 
 def search(index: Index, texts: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, int, int]]:
@@ -105,7 +106,7 @@ def search(index: Index, texts: pa.Array, width: int = WIDTH) -> Iterator[tuple[
                 yield w.rows.start + d, k, shared
 
 
-def blocks(items: DataFrame, item: str, text: str) -> Iterator[tuple[list, pa.Array]]:
+def blocks(items: DataFrame, item: str, text: str) -> Iterator[tuple[pa.Array, pa.Array]]:
     """The items in blocks of bounded size, one block in the driver at a time."""
     sized = items.select(F.col(item).alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     total = sized.agg(F.sum(F.octet_length("t") + 1)).first()[0] or 0
@@ -113,7 +114,7 @@ def blocks(items: DataFrame, item: str, text: str) -> Iterator[tuple[list, pa.Ar
     for k in range(n):
         part = sized if n == 1 else sized.where(F.pmod(F.xxhash64("t", "i"), F.lit(n)) == k)
         rows = part.toArrow()
-        yield rows.column("i").to_pylist(), rows.column("t").combine_chunks()
+        yield rows.column("i").combine_chunks(), rows.column("t").combine_chunks()
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -132,17 +133,13 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                 row, k, shared = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
                 n = np.diff(ix.first)[k]
                 names = [key, item, "n_item_shingles", "n_shared", "containment"]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array([ix.item[x] for x in k], item_kind(ix)), pa.array(n, pa.int64()), pa.array(shared, pa.int64()), pa.array(shared / np.maximum(n, 1))], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), ix.item.take(pa.array(k)), pa.array(n, pa.int64()), pa.array(shared, pa.int64()), pa.array(shared / np.maximum(n, 1))], names)
 
         part = docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def item_kind(index: Index) -> pa.DataType:
-    return pa.string() if any(isinstance(x, str) for x in index.item) else pa.int64()
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents in which no item is found, with all their columns; nothing is shuffled."""
     spark = docs.sparkSession
