@@ -11,11 +11,13 @@ a bounded cache, and every byte of every text still counts.
 Training is numpy back-propagation through time with Adam.  It sees the text and
 language of at most ``TRAIN_DOCS`` documents per language, chosen by a hash of
 their ids (the documented bound of the classifier's sample): Spark counts their
-words by language, and the ``TRAIN_WORDS`` most frequent reach the driver.
+words by language, and each language's most frequent reach the driver,
+``TRAIN_WORDS`` shared out evenly, so that every language with a word is learned.
 
 Null texts and texts without a letter give ``und`` with score 0, as do all texts
 when nothing labelled is there to learn from.  Null languages are not learned
-from.  Repeated rows are each predicted; further columns can be kept.
+from.  Repeated rows are each predicted; further columns can be kept.  Of rows that
+share a key and a language one text is learned from.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convoy.llm import words as W
-from convoy.llm.shared import table
+from convoy.llm.shared import settled, table
 
 HIDDEN, SPAN = 16, 24
 TRAIN_DOCS, TRAIN_WORDS, STEPS, BATCH = 400, 24_000, 700, 768
+#: Languages up to which their shares are broadcast.
+BROADCAST_LANGS = 10_000
 #: Share of a language's clean documents that may score below its mark, and the part of the way from chance to it that is asked for.
 LOW_SHARE, LOW_PART = 0.005, 0.9
 #: Distinct words whose sums a worker keeps.
@@ -233,12 +237,24 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _chosen(rows: DataFrame, most: int) -> DataFrame:
+    """``key``, ``lang`` and rank ``_n`` of the first ``most`` keys of each language in the order of a hash.
+
+    Each language's count gives a hash value below which lie some more rows than wanted; only those are ranked, so that no
+    task ranks a language.
+    """
+    keys = settled(rows.select("key", "lang").distinct(), "language-keys")
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+    shares = keys.groupBy("lang").agg(F.count("*").alias("_all")).select("lang", F.least(F.lit(1.0), F.lit(2.0 * most + 200) / F.col("_all")).alias("_share"))
+    few = keys.join(F.broadcast(shares) if shares.count() <= BROADCAST_LANGS else shares, "lang").where(place < F.col("_share") * (1 << 40))
+    order = Window.partitionBy("lang").orderBy(place, "key")
+    return few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("key", "lang", "_n")
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
     """A network fitted on a bounded sample of the rows given; None where nothing is labelled."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    chosen = rows.select("key", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= TRAIN_DOCS).select("key", "lang").distinct()
-    sample = rows.join(F.broadcast(chosen), ["key", "lang"]).select("text", "lang")
+    sample = rows.join(F.broadcast(_chosen(rows, TRAIN_DOCS)), ["key", "lang"]).groupBy("key", "lang").agg(F.min("text").alias("text")).select("text", "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,12 +265,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 words = [raw[a:z] for a, z in zip(start.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), langs.slice(w.rows.start, w.rows.stop - w.rows.start).take(pa.array(doc))], ["word", "lang"])
 
-    counted = sample.mapInArrow(cut, "word binary, lang string").groupBy("word", "lang").count()
-    words = counted.groupBy("word").agg(F.sum("count").alias("n"), F.collect_list(F.struct("lang", "count")).alias("by"))
-    top = words.orderBy(F.desc("n"), "word").limit(TRAIN_WORDS).collect()
-    langs = sorted({x["lang"] for r in top for x in r["by"]})
+    counted = settled(sample.mapInArrow(cut, "word binary, lang string").groupBy("word", "lang").count(), "language-words")
+    langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
     if not langs:
         return None
+    most = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+    listed = counted.withColumn("_n", F.row_number().over(most)).where(F.col("_n") <= max(1, TRAIN_WORDS // len(langs))).select("word").distinct()
+    top = counted.join(F.broadcast(listed), "word").groupBy("word").agg(F.collect_list(F.struct("lang", "count")).alias("by")).orderBy("word").collect()
     counts = np.zeros((len(top), len(langs)))
     at = {v: k for k, v in enumerate(langs)}
     for k, r in enumerate(top):
@@ -265,11 +282,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def samples(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """A bounded sample of the labelled rows, in the order of ``train``; ``check`` marks a third of each language's, to be kept from training."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL AND key IS NOT NULL")
-    ranked = rows.select("key", "lang").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= TRAIN_DOCS * 3 // 2)
-    chosen = ranked.select("key", "lang", (F.col("_n") % 3 == 0).alias("check"))
-    return rows.join(F.broadcast(chosen), ["key", "lang"]).select(F.col("key").alias(key), F.col("text").alias(text), F.col("lang").alias(lang), "check")
+    chosen = _chosen(rows, TRAIN_DOCS * 3 // 2).select("key", "lang", (F.col("_n") % 3 == 0).alias("check"))
+    one = rows.join(F.broadcast(chosen), ["key", "lang"]).groupBy("key", "lang", "check").agg(F.min("text").alias("text"))
+    return one.select(F.col("key").alias(key), F.col("text").alias(text), F.col("lang").alias(lang), "check")
 
 
 def least_scores(checked: DataFrame, net: Network | None, text: str = "text", lang: str = "lang") -> dict[str, float]:
