@@ -191,7 +191,7 @@ def _meetings(batches: Iterator[pa.RecordBatch], most: int, small: int) -> Itera
             i = np.flatnonzero(bucket[step:] == bucket[:-step])
             if not len(i):
                 break
-            i = i[(np.bitwise_count(code[i] ^ code[i + step]) <= most) & (cid[i] != cid[i + step])]
+            i = i[(np.bitwise_count((code[i] ^ code[i + step]).view(np.uint64)) <= most) & (cid[i] != cid[i + step])]
             x, y = cid[i], cid[i + step]
             cols = (bucket[i], t[i], np.minimum(x, y), np.maximum(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "t", "a", "b"])
