@@ -2,21 +2,29 @@
 
 A document's words are recompressed in rounds: maximal runs of one symbol get a
 name of their own, then neighbours whose names' coins say left and right are
-paired.  Names are hashes of what they stand for, so every task names the same
-runs and pairs alike and no round needs a shuffle.  Only symbols of bounded length
-take part in a round, and each symbol carries the stretch of words that settled
-how it was made: wherever those words occur, the same symbol arises at the same
-place.  Equal windows therefore hold the same settled symbols; each window is
-filed under the one of least name (or under itself where none is inside), and
-consecutive windows of one symbol make a stretch.
-
-One shuffle brings the stretches of a symbol together.  A stretch that also occurs
+paired; symbols over a round's length stand aside.  Names are hashes of what they
+stand for, so every task names the same runs and pairs alike, equal passages get
+the same symbols inside, and no round needs a shuffle.
+
+1.  Long repeats: after all rounds (``HIGH_ROUNDS``) symbols hold some tens of words.
+    One shuffle brings the occurrences of each symbol of at least a window together,
+    verified by a second hash over its words.  Where it also stands in a smaller
+    document, all windows inside are removed at once.
+2.  Short repeats and what is left: after two rounds (``ROUNDS``) symbols are small
+    enough to be settled within a window: each carries the stretch of words that
+    settled how it was made, and wherever those words occur the same symbol arises.
+    Each window is filed under the settled symbol of least name inside it (or under
+    itself where none is), and consecutive windows of one symbol make a stretch.
+    Windows inside a long symbol go on only from the smallest document that has it.
+
+A second shuffle brings the stretches of a symbol together.  A stretch that also occurs
 in a smaller document is removed there and then.  The others of symbols that occur
 in different surroundings are opened: their single windows are compared.  A window
-whose symbol occurs in one surrounding only has no copy.  Every task first settles
-what repeats within its own batch, so a symbol of very many documents sends one
-row per batch.  Names of windows have 128 bits, those of stretches 64 beside the
-64 of their symbol.
+whose symbol occurs in one surrounding only has no copy.  Symbols that are frequent in
+a bounded sample of documents are split over tasks by stretch, and always opened; that
+sets cost, never results.  Every task first settles what repeats within its own batch,
+so a passage of very many documents sends one row per batch.  Names of windows have
+128 bits, those of long symbols and stretches 64 beside the 64 of their key.
 
 Null and empty texts have no words.  A null key neither gives nor loses windows.
 Texts that repeat under one key are told apart by a checksum and do not count
@@ -38,8 +46,12 @@ from convoy.llm import words as W
 from convoy.llm.shared import settled, table
 
 WINDOW = 13
-#: Longest symbol, in words, that takes part in each round.
-ROUNDS = (1, 1)
+#: Longest symbol, in words, that takes part in each round: of the rounds whose symbols a window settles, and of those that follow.
+ROUNDS, HIGH_ROUNDS = (1, 1), (4, 4, 8, 8, 16, 16, 32, 32, 32)
+#: A symbol is frequent if it files one in so many stretches of the sample, and LEAST_HOT at least; there are as many frequent ones at most (8 bytes each).
+HOT_SHARE, LEAST_HOT = 20_000, 64
+#: The sample: one document in SAMPLE_PART, of SAMPLE_LEAST documents at least and SAMPLE_MOST at most; tasks that share a frequent symbol.
+SAMPLE_PART, SAMPLE_LEAST, SAMPLE_MOST, SPLIT = 16, 4000, 200_000, 64
 
 
 @dataclass
@@ -100,12 +112,17 @@ def _name_pairs(s: Symbols, cap: int, first: np.ndarray, seed: int) -> Symbols:
 
 
 def recompress(w: W.Words, rounds: tuple[int, ...] = ROUNDS) -> Symbols:
-    """The symbols of a chunk of documents after all rounds."""
+    """The symbols of a chunk of documents after the first rounds."""
     place = np.arange(len(w.hash))
     s = Symbols(w.hash, place, place + 1, place, place + 1, np.repeat(np.arange(len(w.first) - 1), np.diff(w.first)))
+    return climb(s, w.first, rounds, 0)
+
+
+def climb(s: Symbols, first: np.ndarray, rounds: tuple[int, ...] = HIGH_ROUNDS, seed: int = len(ROUNDS)) -> Symbols:
+    """The symbols after further rounds, each naming runs and pairs of the symbols of the one before."""
     for k, cap in enumerate(rounds):
         if len(s.name):
-            s = _name_pairs(_name_runs(s, cap, w.first), cap, w.first, k)
+            s = _name_pairs(_name_runs(s, cap, first), cap, first, seed + k)
     return s
 
 
@@ -123,9 +140,24 @@ class Ranges:
             return W.mix((self.total[end] - self.total[start]) * self.down[start] ^ W.mix((end - start).astype(np.uint64), 31), 32)
 
 
-def stretches(w: W.Words, width: int = WINDOW, rounds: tuple[int, ...] = ROUNDS) -> tuple[np.ndarray, ...]:
-    """(symbol key, stretch hash, document, first window within the document, windows) of a chunk."""
+@dataclass
+class Cut:
+    """Stretches of a chunk: symbol key, hash of the stretch, document, first window within it, windows, and the long symbol around it or -1;
+    and the long symbols: name, hash of the words, document, first window within it, windows."""
+
+    key: np.ndarray
+    code: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    within: np.ndarray
+    long: tuple[np.ndarray, ...]
+
+
+def stretches(w: W.Words, width: int = WINDOW, rounds: tuple[int, ...] = ROUNDS) -> Cut:
     s = recompress(w, rounds)
+    top = climb(s, w.first)
+    top = top.pick(top.end - top.start >= width)
     s = s.pick(s.high - s.low <= width)
     count = np.maximum(np.diff(w.first) - width + 1, 0)
     doc = np.repeat(np.arange(len(count)), count)
@@ -139,11 +171,14 @@ def stretches(w: W.Words, width: int = WINDOW, rounds: tuple[int, ...] = ROUNDS)
         at = np.minimum(a + k, max(len(prio) - 1, 0))
         better = (a + k < b) & (prio[at] < best)
         best[better], choice[better] = prio[at[better]], at[better]
+    around = np.searchsorted(top.start, window, "right") - 1
+    if len(top.start):
+        around[window + width > top.end[np.maximum(around, 0)]] = -1
     new = np.ones(len(window), bool)
-    new[1:] = (choice[1:] != choice[:-1]) | (choice[1:] < 0) | (doc[1:] != doc[:-1])
+    new[1:] = (choice[1:] != choice[:-1]) | (choice[1:] < 0) | (doc[1:] != doc[:-1]) | (around[1:] != around[:-1])
     begin = np.flatnonzero(new)
     size = np.diff(np.concatenate([begin, [len(window)]]))
-    start, own, sym = window[begin], doc[begin], choice[begin]
+    start, own, sym, within = window[begin], doc[begin], choice[begin], around[begin]
     ranges = Ranges(w.hash, 30)
     inside = sym >= 0
     at = np.maximum(sym, 0)
@@ -153,12 +188,14 @@ def stretches(w: W.Words, width: int = WINDOW, rounds: tuple[int, ...] = ROUNDS)
         low, high, shift = start, start + width, np.zeros(len(start), np.int64)
     key = W.mix(ranges.of(low, high) ^ W.mix(shift.astype(np.uint64), 33), 34)
     code = W.mix(ranges.of(start, start + size - 1 + width) ^ W.mix((low - start).astype(np.uint64), 35), 36)
-    return key, code, own, start - w.first[own], size
+    long = (top.name, ranges.of(top.start, top.end), top.doc, top.start - w.first[top.doc], top.end - top.start - width + 1)
+    return Cut(key, code, own, start - w.first[own], size, within, long)
 
 
 # ---- rows ------------------------------------------------------------------
 
 _SIZE, _TAG = 8, 24
+_MOST = (1 << _SIZE) - 1
 
 
 def _pack(start: np.ndarray, size: np.ndarray, tag: np.ndarray) -> np.ndarray:
@@ -188,22 +225,115 @@ def _settle_batch(key: np.ndarray, code: np.ndarray, doc: np.ndarray) -> np.ndar
     return out
 
 
-ROWS = "key long, code long, doc long, pos long, done boolean"
+ROWS = "key long, code long, doc long, pos long, state int"
+#: States of a row of stretches: to be judged, removed already, and of a frequent symbol.
+OPEN, DONE, HOT = 0, 1, 2
+LONG = "key long, code long, doc long, pos long, size long, state int, inside binary"
+#: A stretch inside a long symbol: symbol key, hash, first window within the long symbol, windows, state.
+INSIDE = np.dtype([("key", "<u8"), ("code", "<u8"), ("at", "<u4"), ("size", "u1"), ("state", "u1")])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of texts; those already settled go under a key of their own."""
+def _chunks(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[tuple]:
+    """Stretches of texts with a key, cut to pieces of a bounded number of windows and with frequent symbols split; and the documents' ids and checksums."""
     for b in batches:
         valid, ids = pc.is_valid(b.column(0)).to_numpy(zero_copy_only=False), pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
         for w in W.words(b.column(1)):
-            key, code, own, start, size = stretches(w)
-            keep = valid[w.rows][own]
-            key, code, own, start, size = (x[keep] for x in (key, code, own, start, size))
-            doc, pos = ids[w.rows][own], _pack(start, size, _tags(w)[own])
-            done = _settle_batch(key, code, doc)
-            key = np.where(done, W.mix(doc.astype(np.uint64) ^ W.mix(pos.astype(np.uint64), 51), 52), key)
-            cols = (pa.array(key.view(np.int64)), pa.array(code.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(done))
-            yield pa.RecordBatch.from_arrays(list(cols), ["key", "code", "doc", "pos", "done"])
+            cut = stretches(w)
+            state = np.zeros(len(cut.key), np.int32)
+            if len(hot):
+                often = hot[np.minimum(np.searchsorted(hot, cut.key), len(hot) - 1)] == cut.key
+                state[often] = HOT
+                cut.key[often] = W.mix(cut.key[often] ^ W.mix(cut.code[often] % np.uint64(SPLIT), 53), 54)
+            yield cut, state, valid[w.rows], ids[w.rows], _tags(w)
+
+
+def _rows(key: np.ndarray, code: np.ndarray, doc: np.ndarray, pos: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
+    """Rows of stretches; those that are removed already go under a key of their own."""
+    key = np.where(state == DONE, W.mix(doc.view(np.uint64) ^ W.mix(pos.view(np.uint64), 51), 52), key)
+    cols = (key.view(np.int64), code.view(np.int64), doc, pos, state.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "code", "doc", "pos", "state"])
+
+
+def _cut_outside(hot):
+    """Stretches of texts that are not inside a long symbol."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cut, state, valid, ids, tags in _chunks(batches, hot.value):
+            keep = valid[cut.doc] & (cut.within < 0)
+            key, code, own, start, size, state = (x[keep] for x in (cut.key, cut.code, cut.doc, cut.start, cut.size, state))
+            doc, pos = ids[own], _pack(start, size, tags[own])
+            yield _rows(key, code, doc, pos, np.where(_settle_batch(key, code, doc), DONE, state))
+
+    return run
+
+
+def _cut_long(hot):
+    """Long symbols of texts with the stretches inside; of those that repeat a smaller document's within the batch, the place only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cut, state, valid, ids, tags in _chunks(batches, hot.value):
+            name, code, own, start, size = cut.long
+            keep = np.flatnonzero(valid[own])
+            inside = np.zeros(len(cut.key), INSIDE)
+            at = np.maximum(cut.within, 0)
+            for field, values in (("key", cut.key), ("code", cut.code), ("at", cut.start - (start[at] if len(start) else 0)), ("size", cut.size), ("state", state)):
+                inside[field] = values
+            inside = inside[cut.within >= 0]
+            first = np.searchsorted(cut.within[cut.within >= 0], np.arange(len(name) + 1))
+            doc = ids[own[keep]]
+            done = _settle_batch(name[keep], code[keep], doc)
+            held = [None if gone else inside[first[k] : first[k + 1]].tobytes() for k, gone in zip(keep.tolist(), done.tolist(), strict=True)]
+            pos = _pack(start[keep], np.zeros(len(keep)), tags[own[keep]])
+            key = np.where(done, W.mix(doc.view(np.uint64) ^ W.mix(pos.view(np.uint64), 51), 52), name[keep])
+            cols = (key.view(np.int64), code[keep].view(np.int64), doc, pos, size[keep].astype(np.int64), np.where(done, DONE, OPEN).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array(held, pa.binary())], ["key", "code", "doc", "pos", "size", "state", "inside"])
+
+    return run
+
+
+def _resolve_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From long symbols sorted by key, code and document: what is removed, and the stretches inside those of the smallest documents."""
+    open_run = None  # key, code and smallest document of the run that a batch's end cuts
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, code, doc, pos, size, state = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (code[1:] != code[:-1])
+        least = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        if open_run is not None and open_run[:2] == (key[0], code[0]):
+            least[np.cumsum(new) == 1] = open_run[2]
+        open_run = (key[-1], code[-1], least[-1])
+        gone = (state == DONE) | (doc > least)
+        parts = (size[gone] + _MOST - 1) // _MOST
+        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, _, tag = _unpack(np.repeat(pos[gone], parts))
+        at = _pack(start + k * _MOST, np.minimum(np.repeat(size[gone], parts) - k * _MOST, _MOST), tag)
+        yield _rows(np.zeros(len(at), np.uint64), np.repeat(code[gone], parts).view(np.uint64), np.repeat(doc[gone], parts), at, np.full(len(at), DONE))
+        kept = np.flatnonzero(~gone)
+        for some in np.array_split(kept, max(1, len(kept) // 4096)):
+            raw = b.column(6).take(pa.array(some))
+            inside = np.frombuffer(b"".join(raw.to_pylist()), INSIDE)
+            each = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) // INSIDE.itemsize
+            start, _, tag = _unpack(np.repeat(pos[some], each))
+            at = _pack(start + inside["at"], inside["size"], tag)
+            yield _rows(inside["key"].copy(), inside["code"].copy(), np.repeat(doc[some], each), at, inside["state"])
+
+
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """Keys of symbols that are frequent in the sample, sorted."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cut, *_ in _chunks(batches, np.zeros(0, np.uint64)):
+            key, n = np.unique(cut.key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    total = docs.count()
+    wanted = min(SAMPLE_MOST, max(SAMPLE_LEAST, total // SAMPLE_PART))
+    sample = docs.where(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(1 << 20)) < int(min(1.0, wanted / max(total, 1)) * (1 << 20)))
+    counts = settled(sample.mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_HOT), "frequent")
+    least = (counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    return np.sort(counts.where(F.col("n") > least).select("key").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +350,8 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held is not None:
             mark = np.concatenate([np.ones(len(held[0]), bool), mark])
             cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-        key, code, doc, pos, done = cols
+        key, code, doc, pos, state = cols
+        done = state == DONE
         n = len(key)
         new_key = np.ones(n, bool)
         new_key[1:] = key[1:] != key[:-1]
@@ -229,15 +360,15 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = doc[np.maximum.accumulate(np.where(new_code, np.arange(n), 0))]
         gone = done | ((doc > least) & ~mark)
         run = np.cumsum(new_key) - 1
-        several = np.bincount(run, new_code)[run] > 1
+        several = (np.bincount(run, new_code)[run] > 1) | (state == HOT)
         last = run == run[-1]
         opened = ~gone & several & ~last & ~done
         yield _kept(doc, pos, gone & ~mark, opened)
         stay = last & ~gone & ~done
         held = [x[stay] for x in cols] if stay.any() else None
     if held is not None:
-        key, code, doc, pos, done = held
-        several = np.full(len(key), len(np.unique(code)) > 1)
+        key, code, doc, pos, state = held
+        several = (len(np.unique(code)) > 1) | (state == HOT)
         yield _kept(doc, pos, np.zeros(len(key), bool), several)
 
 
@@ -308,7 +439,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     A word goes if a window of 13 words around it also starts in a text with a smaller key.
     """
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    found = docs.mapInArrow(_cut, ROWS).repartition("key").sortWithinPartitions("key", "code", "doc").mapInArrow(_resolve, "doc long, pos long, open boolean")
+    hot = df.sparkSession.sparkContext.broadcast(_frequent(docs))
+    long = docs.mapInArrow(_cut_long(hot), LONG).repartition("key").sortWithinPartitions("key", "code", "doc").mapInArrow(_resolve_long, ROWS)
+    rows = long.unionByName(docs.mapInArrow(_cut_outside(hot), ROWS))
+    found = rows.repartition("key").sortWithinPartitions("key", "code", "doc").mapInArrow(_resolve, "doc long, pos long, open boolean")
     found = settled(found, "stretches")
     opened = found.where("open").groupBy("doc").agg(F.collect_list("pos").alias("list"))
     windows = docs.join(opened.hint("shuffle_hash"), "doc").mapInArrow(_open_windows, "h long, g long, doc long, pos long")
