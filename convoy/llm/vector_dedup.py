@@ -96,7 +96,7 @@ def signs_of(units: np.ndarray, turned: np.ndarray) -> np.ndarray:
 
 def keys_of(signs: np.ndarray, bits: int) -> np.ndarray:
     """Key of each vector in each table: vectors x tables."""
-    return (signs.reshape(len(signs), -1, bits) * (np.int64(1) << np.arange(bits, dtype=np.int64))).sum(2)
+    return (signs.reshape(len(signs), signs.shape[1] // bits, bits) * (np.int64(1) << np.arange(bits, dtype=np.int64))).sum(2)
 
 
 def usable(vector: Column) -> Column:

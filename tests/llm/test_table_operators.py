@@ -22,6 +22,19 @@ def test_hosts_paths_and_rules(spark):
     assert got == {0: ("", "", None), 1: ("", "", None), 2: ("", "", None), 3: ("a.example.com", "/en/7", "example.com/en/7"), 4: ("com", "", None), 5: ("xcom", "/en/1", None), 6: ("com", "/en/", "com/en/"), 7: ("b:", "//c/d", None), 8: ("é.net", "/de/8", "net/de/")}
 
 
+def test_clashing_columns_and_no_pages(spark, monkeypatch):
+    rows = [(k, f"http://{'a' if k % 2 else 'b'}.{'com/en' if k % 2 else 'net/de'}/{k}", k) for k in range(40)] + [(40, "http://x.org/q", 40), (40, "http://x.org/q", 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, n long").withColumns({c: F.lit("mine") for c in ("score", "threshold", "host", "label", "window", "bin", "_url", "a.b")})
+    got = url_filter.judge(pages)
+    assert sorted(got.columns) == sorted([*[c for c in pages.columns if c not in ("host", "score")], "host", "path", "rule", "verdict", "score"])
+    one = {(r.page_id, r.threshold, r["a.b"], r.host, r.verdict, round(r.score, 9)) for r in got.collect()}
+    assert got.count() == 42 and {x[1:3] for x in one} == {("mine", "mine")} and (0, "mine", "mine", "b.net", "allow") in {x[:5] for x in one}
+    monkeypatch.setattr(url_filter, "BROADCAST_WINDOWS", 5)  # frequent windows broadcast, the others shuffled
+    two = {(r.page_id, r.threshold, r["a.b"], r.host, r.verdict, round(r.score, 9)) for r in url_filter.judge(pages).collect()}
+    assert one == two
+    assert url_filter.judge(pages.where("false")).count() == 0
+
+
 def _models(labelled):
     """Log ratio of a window from counts of all contexts, by plain loops."""
     counts = {True: Counter(), False: Counter()}
@@ -105,6 +118,11 @@ def test_selection_is_a_prefix_of_the_order(spark, tricky, nothing):
     assert {(r.doc_id, r.epoch) for r in chosen} == {(r.doc_id, r.epoch) for r in again}
     out = mixing.mix(tricky, "doc_id", "text", mixing.tree(), [mixing.DOMAINS, mixing.LANGUAGES, {}], 1.0)
     assert set(tricky.columns) < set(out.columns) and out.count() > 0
+    clash = docs.withColumns({"epoch": F.lit("mine"), "mix_tokens": F.lit("mine"), "_key": F.lit("mine"), "_tokens": F.lit("mine"), "epochs": F.lit("mine"), "last": F.lit("mine"), "_level_0": F.lit("mine")})
+    named = mixing.mix(clash, "doc_id", "text", tree, [{"s0": 3.0, "s1": 1.0}], 0.5, 2, 9, added=("_e", "_t"))
+    assert named.columns == [*clash.columns, "_e", "_t"] and {(r.doc_id, r._e) for r in named.collect()} == {(r.doc_id, r.epoch) for r in chosen}
+    assert {(r.epoch, r.mix_tokens, r._key, r.last) for r in named.collect()} == {("mine",) * 4}
+    assert mixing.mix(clash, "doc_id", "text", tree, [{}], 0.5).select("epoch", "mix_tokens").dtypes == [("epoch", "int"), ("mix_tokens", "bigint")]
     assert mixing.mix(nothing, "doc_id", "text", mixing.tree(), [{}, {}, {}], 0.5).count() == 0
 
 
@@ -127,6 +145,46 @@ def test_shards_hold_their_law(spark, tricky, nothing):
     assert sharding.shard(nothing, "doc_id", sharding.Tree.regular(3)).count() == 0
 
 
+def _plain_shard(key, levels, seed=17):
+    """The tree's descent in plain Python, with the public xxHash of Spark's function of that name."""
+    import struct
+
+    import xxhash
+
+    node = 0
+    for level, parents in enumerate(levels):
+        best = None
+        for child, weight in parents[node]:
+            h = 42
+            for kind, v in (("<q", key), ("<i", child), ("<i", level), ("<i", seed)):
+                h = xxhash.xxh64_intdigest(struct.pack(kind, v), seed=h)
+            ring = -math.log(((h >> 11) + 0.5) / 2**53) / weight
+            best = min(best or (math.inf, 0), (ring, child))
+        node = best[1]
+    return node
+
+
+def test_shards_equal_plain_draws_and_grow_into_the_new_one_only(spark):
+    import zlib
+
+    docs = spark.createDataFrame([(k * 977 - 3000, None if k % 50 == 0 else f"té{k}" * (k % 9)) for k in range(600)], "doc_id long, text string")
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    tree = sharding.Tree.regular(24)
+    for r in sharding.place_documents(docs).collect():
+        own = _plain_shard(r.doc_id, tree.levels)
+        assert (r.size, r.text_crc32, r.law, r.shard) == (len(text[r.doc_id]) + 8, zlib.crc32(text[r.doc_id]), "key", own)
+        assert r.grown_shard == _plain_shard(r.doc_id, tree.grown().levels) and r.grown_shard in (own, 24)
+    keys = spark.range(5000).select(F.col("id").alias("k"))
+    place = lambda t: {r.k: r.shard for r in sharding.shard(keys, "k", t).collect()}
+    before = place(tree)
+    for new in range(24, 30):
+        tree = tree.grown()
+        after = place(tree)
+        moved = [k for k in before if before[k] != after[k]]
+        assert moved and {after[k] for k in moved} == {new} and abs(len(moved) - 5000 / (new + 1)) < 75
+        before = after
+
+
 def test_weights_move_rows_only_where_they_change(spark):
     weights = [1.0] * 24
     docs = spark.range(8000).select(F.col("id").alias("k"))
@@ -141,8 +199,10 @@ def test_weights_move_rows_only_where_they_change(spark):
 # ---- 9: vectors
 
 
-def test_links_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("run", [4, 32])
+def test_links_equal_brute_force(spark, monkeypatch, run):
     monkeypatch.setattr(vector_dedup, "BLOCK", 16)
+    monkeypatch.setattr(vector_dedup, "RUN", run)
     rng = np.random.default_rng(3)
     rows = []
     for _ in range(30):
@@ -174,6 +234,35 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert sum(got[k].component_id == find(k) for k, *_ in fine) >= 0.97 * len(fine)
 
 
+@pytest.mark.parametrize("bits", [8, 16, 24])
+def test_recall_around_the_threshold(spark, monkeypatch, bits):
+    monkeypatch.setattr(vector_dedup, "LEAST_BITS", bits)
+    monkeypatch.setattr(vector_dedup, "MOST_BITS", bits)
+    rng, n = np.random.default_rng(bits), 5500
+    x = vector_dedup.unit(rng.normal(size=(n, 64)))
+    z = rng.normal(size=(n, 64))
+    z = vector_dedup.unit(z - (z * x).sum(1, keepdims=True) * x)
+    c = rng.uniform(0.90, 0.97, (n, 1))
+    rows = np.concatenate([x, c * x + np.sqrt(1 - c * c) * z]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), "a") for k, v in enumerate(rows)], "vec_id long, embedding array<float>, label string")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(df).collect()}
+    units = vector_dedup.unit(rows)
+    want = np.zeros(2 * n, int)
+    for k in range(0, 2 * n, 500):
+        want[k : k + 500] = (units[k : k + 500] @ units.T >= 0.93).sum(1) - 1
+    assert all(got[k] <= want[k] for k in range(2 * n)) and want.sum() > 6000
+    assert sum(got.values()) >= 0.98 * want.sum()
+
+
+def test_vectors_that_repeat_or_share_an_id(spark):
+    rng = np.random.default_rng(9)
+    a, b = (rng.normal(size=64).tolist() for _ in range(2))
+    rows = [(5, a, "x", "mine"), (5, a, "x", "mine"), (9, a, "x", "mine"), (5, b, "x", "mine"), (2, b, "x", "mine"), (1, a, "y", "mine"), (None, a, "x", "mine")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, n_links string").withColumns({"cid": F.lit(1), "t": F.lit(1), "vec": F.lit(1)})
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in vector_dedup.near_duplicates(df).collect())
+    assert got == [(-1, 0, -1, False), (1, 0, 1, True), (2, 1, 2, True), (5, 1, 2, False), (5, 2, 5, True), (5, 2, 5, True), (9, 2, 5, False)]
+
+
 def test_no_vectors(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -208,6 +297,14 @@ def test_each_stage_does_its_work(spark, corpus):
     assert [r.start for r in out] == list(np.cumsum([0, *[r.n_tokens for r in out]])[:-1])
 
 
+def test_stages_over_no_documents(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, corpus)
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, corpus).count() == 0
+
+
 @pytest.mark.parametrize("languages", [2, 4])
 def test_unlearned_languages_go(spark, languages):
     rnd = random.Random(5)

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from convoy.llm import contamination, jaccard_join, language_id, substring_dedup, token_counts, token_files
+from convoy.llm import contamination, jaccard_join, language_id, shared, substring_dedup, token_counts, token_files
 from convoy.llm.graph import components
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +41,34 @@ def test_every_prefix_has_its_count(text):
     assert token_counts.counter(BYTE).prefix_counts(text).tolist() == want
 
 
+def test_long_pieces_take_time_in_proportion():
+    import random
+    import time
+
+    library, rnd = Tokenizer.from_file(BYTE), random.Random(4)
+    texts = ["".join(rnd.choices(letters, k=100_000)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ACGT", " ", "-=", "日é")]
+    token_counts.count_texts(token_counts.counter(BYTE), pa.array(["x" * 100]))  # builds the tables
+    for text in texts:
+        began = time.process_time()
+        assert token_counts.count_texts(token_counts.counter(BYTE), pa.array([text])).tolist() == [len(library.encode(text, add_special_tokens=False).ids)]
+        assert time.process_time() - began < 5
+
+
+def test_truncation_of_a_long_text_from_stored_tables(spark):
+    import random
+
+    library, rnd = Tokenizer.from_file(BYTE), random.Random(5)
+    text = "\xa0" + " ".join("".join(rnd.choices("etaoinshé'", k=rnd.randrange(1, 9))) for _ in range(20_000))
+    stored = token_counts.prefix_tables(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), "doc_id", "text", BYTE).cache()
+    assert stored.where("doc_id = 1").first().prefix_tokens[-1] == len(library.encode(text, add_special_tokens=False).ids)
+    for budget in (0, 1, 1000, 10**6):
+        rows = {r.doc_id: r for r in token_counts.truncate_stored(stored, "doc_id", "text", budget).collect()}
+        kept = rows[1].text
+        assert text.startswith(kept) and len(library.encode(kept, add_special_tokens=False).ids) == rows[1].n_tokens <= budget
+        assert kept == text or len(library.encode(text[: len(kept) + 1], add_special_tokens=False).ids) > budget
+        assert (rows[2].text, rows[2].n_tokens, rows[3].text, rows[3].n_tokens) == (None, 0, "", 0)
+
+
 def test_counts_of_tricky_rows(spark, tricky, nothing):
     rows = {(r.doc_id, r.n_bytes): r.n_tokens for r in token_counts.token_counts(tricky, "doc_id", "text", BYTE).collect()}
     assert rows[(0, 0)] == 0 and rows[(1, 0)] == 0 and len(token_counts.token_counts(tricky, "doc_id", "text", BYTE).collect()) == tricky.count()
@@ -75,6 +103,29 @@ def test_files_round_trip(spark, tricky, nothing, tmp_path):
     assert token_files.read(empty, "doc_id").count() == 0
 
 
+def test_files_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_ENTRIES", 10)
+    monkeypatch.setattr(shared, "BATCH_ROWS", 4)
+    shared.small_batches(spark)
+    docs = spark.createDataFrame([(k - 20, f"text {k}") for k in range(80)] + [(None, "a"), (None, "b")] + [(3, f"again {k}") for k in range(25)], "doc_id long, text string")
+    manifest = token_files.write(docs, "doc_id", "text", WORD, f"file://{tmp_path}/a", end_id=1, partitions=4)
+    files = manifest.count()
+    assert files >= 8
+    rows = token_files.read(manifest, "doc_id").withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows}) >= min(files, spark.sparkContext.defaultParallelism)
+    placed = sorted(rows, key=lambda r: r.start)
+    assert [r.start for r in placed] == list(np.cumsum([0, *[r.n_tokens for r in placed]])[:-1]) and [r.doc_id for r in placed] == sorted((r.doc_id for r in rows), key=lambda k: (k is not None, k))
+    library = Tokenizer.from_file(WORD)
+    wanted = spark.createDataFrame([(-20,), (-1,), (3,), (59,), (60,), (-21,), (None,)], "doc_id long")
+    for block in (1_000_000, 1):
+        monkeypatch.setattr(token_files, "BROADCAST_FILES", block)
+        found = token_files.lookup(spark, manifest, wanted, "doc_id").collect()
+        want = [(k - 20, f"text {k}") for k in (0, 19, 23, 79)] + [(3, f"again {k}") for k in range(25)]
+        assert sorted((r.doc_id, tuple(r.ids)) for r in found) == sorted((k, (*library.encode(t, add_special_tokens=False).ids, 1)) for k, t in want)
+    monkeypatch.undo()
+    shared.small_batches(spark)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.sets(st.integers(-(2**63), 2**63 - 1), min_size=1, max_size=400))
 def test_the_hash_is_minimal_and_perfect(keys):
@@ -119,6 +170,21 @@ def test_languages_of_held_out_texts(spark):
     assert [got[k].lang_pred for k in (1000, 1001, 1002)] == ["und"] * 3 and got[1003].lang_pred == "en"
 
 
+def test_rare_languages_and_hot_keys_are_learned(spark):
+    import random
+
+    rnd, stems = random.Random(2), {"en": ["the", "ing", "wh", "tion"], "xx": ["zk", "vyp", "jem"]}
+    text = lambda lang, n: " ".join("".join(rnd.choices(stems[lang], k=2)) for _ in range(n))
+    rows = [(k, text("en", 300) + "".join(f" q{rnd.random()}" for _ in range(60)), "en") for k in range(300)] + [(9000 + k, text("xx", 3), "xx") for k in range(3)]
+    docs = spark.createDataFrame(rows + [(7, "the same key", "en")] * 2000, "doc_id long, text string, lang string")
+    assert language_id._chosen(docs.select(F.col("doc_id").alias("key"), "text", "lang"), 10).count() == 13
+    assert language_id.samples(docs).count() == 303
+    net = language_id.train(docs)
+    assert net.langs == ["en", "xx"]
+    long = spark.createDataFrame([(1, "z" * 200_000 + " " + text("en", 40_000)), (2, text("xx", 30))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(long, net).collect()} == {1: "en", 2: "xx"}
+
+
 def test_nothing_to_learn_from(spark, tricky, nothing):
     assert language_id.train(nothing) is None
     assert {r.lang_pred for r in language_id.predict(tricky, None).collect()} == {"und"}
@@ -162,6 +228,44 @@ def test_repeats_equal_brute_force(spark, seed):
     assert got == _without_repeats(docs)
 
 
+def test_long_symbols_arise_and_decide(spark):
+    import random
+
+    rnd = random.Random(6)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passage = [word() for _ in range(400)]
+    docs = [(k, " ".join([*(word() for _ in range(40)), *passage[k * 7 :], *(word() for _ in range(40))])) for k in range(6)]
+    named = []
+    for _, t in docs:
+        (w,) = substring_dedup.W.words(pa.array([t]))
+        name, code, _, start, size = substring_dedup.stretches(w).long
+        assert len(size) and size.min() >= 1  # of 13 words or more
+        named.append(set(zip(name.tolist(), code.tolist(), strict=True)))
+    assert all(len(named[0] & other) >= 5 for other in named[1:])
+    df = spark.createDataFrame(docs, "doc long, text string")
+    hot = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    rows = df.mapInArrow(substring_dedup._cut_long(hot), substring_dedup.LONG).repartition("key").sortWithinPartitions("key", "code", "doc").mapInArrow(substring_dedup._resolve_long, substring_dedup.ROWS)
+    decided = sum(int(substring_dedup._unpack(np.array([r.pos]))[1][0]) for r in rows.where(f"state = {substring_dedup.DONE}").collect())
+    assert decided > 600
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(df.withColumnRenamed("doc", "doc_id")).collect()}
+    assert got == _without_repeats(docs)
+
+
+def test_frequent_symbols_are_split(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(7)
+    monkeypatch.setattr(substring_dedup, "LEAST_HOT", 4)
+    word = lambda: f"w{rnd.randrange(30)}"
+    stock = "every one of these texts has this line".split()
+    docs = [(k, " ".join([*(word() for _ in range(rnd.randrange(20))), *stock, *(word() for _ in range(rnd.randrange(30)))])) for k in range(120)]
+    docs += [(200 + k, docs[k][1]) for k in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert len(substring_dedup._frequent(df.withColumnRenamed("doc_id", "doc")))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == _without_repeats(docs)
+
+
 def test_repeats_in_tricky_rows(tricky, nothing):
     rows = substring_dedup.remove_repeats(tricky).collect()
     assert len(rows) == tricky.count() and sum(r.n_removed for r in rows if r.doc_id == 11) == 15
@@ -196,7 +300,7 @@ def test_components_equal_brute_force(spark, small, monkeypatch):
     import random
 
     rnd = random.Random(small)
-    for name, value in (("SMALL", small), ("FEW_MEMBERS", 3), ("BLOCK", 4), ("CENTRES", 1)):
+    for name, value in (("SMALL", small), ("BLOCK", 4), ("CENTRES", 1)):
         monkeypatch.setattr(jaccard_join, name, value)
     vocabulary = [f"W{k}" for k in range(300)]
     docs = []
@@ -213,6 +317,40 @@ def test_components_equal_brute_force(spark, small, monkeypatch):
     assert got == _similar(docs)
 
 
+def test_links_beside_null_and_repeated_keys(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = [*words[:50], "other", *words[51:]]
+    rows = [(0, " ".join(words)), (1, " ".join(near)), (None, "short text"), (None, " ".join(words)), (0, "quite another text"), (5, "quite another text"), (7, "a b c"), (7, " ".join(near)), (7, "a b c")]
+    got = sorted((r.doc_id is not None, r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect() if r.doc_id is not None)
+    assert got == [(True, 0, 1, 0), (True, 0, 96, 0), (True, 1, 96, 0), (True, 5, 1, 0), (True, 7, 1, 0), (True, 7, 1, 0), (True, 7, 96, 0)]
+    nulls = [r for r in jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id is None]
+    assert sorted((r.n_shingles, r.component_id is None) for r in nulls) == [(1, True), (96, True)]
+
+
+def test_groups_are_bounded_and_opened(spark, monkeypatch):
+    """At production parameters, a chain of texts that change step by step goes through the token-group matrix."""
+    import random
+
+    rnd, seen = random.Random(3), {}
+    docs, w = [], [f"w{k}" for k in range(120)]
+    for _ in range(240):
+        w = list(w)
+        w[rnd.randrange(len(w))] = f"n{rnd.random()}"
+        docs += [(len(docs) + k, " ".join(w[:60] + [f"x{rnd.random()}"] * k + w[60:])) for k in range(2)]
+    own = jaccard_join._bounded
+
+    def counted(asked, unions, sets):
+        out = own(asked, unions, sets)
+        seen.update(asked=asked.count(), opened=out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_bounded", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(df).collect()}
+    assert got == _similar(docs)
+    assert 0 < seen["opened"] <= seen["asked"]
+
+
 def test_similarity_of_tricky_rows(tricky, nothing):
     rows = jaccard_join.similar_components(tricky).collect()
     assert len(rows) == tricky.count() and {r.component_id for r in rows if r.doc_id in (10, 11)} == {10}
@@ -267,6 +405,11 @@ def test_matches_equal_brute_force(spark, monkeypatch):
 def test_contamination_of_tricky_rows(spark, tricky, nothing):
     items = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
     assert contamination.matches(tricky, items).count() == 0 and contamination.drop_contaminated(tricky, items).count() == tricky.count()
+    short = tricky.where("doc_id = 10")
+    for kind in ("int", "short", "string", "double", "decimal(10,2)", "date"):
+        one = short.select(F.lit(1 if kind != "date" else "2026-01-02").cast(kind).alias("item_id"), "text")
+        found = contamination.matches(tricky, one).collect()
+        assert {r.doc_id for r in found} == {10, 11} and {r.item_id for r in found} == {one.first().item_id}
     assert contamination.matches(nothing, items).count() == 0 and contamination.drop_contaminated(tricky, items.where("false")).columns == tricky.columns
 
 
