@@ -2,7 +2,7 @@
 
 Every round hangs each node's neighbours on the smallest node it knows, first
 the larger ones, then the smaller ones; a few rounds leave each node hanging on
-its component's smallest.  Minima are pre-aggregated; those of hubs, the nodes of
+its component's smallest, which is when the edges are stars.  Minima are pre-aggregated; those of hubs, the nodes of
 more than a share of all edges, are so few that they are broadcast, so a hub's
 edges stay where they are and fill no task.  Each round is a table in the shared
 folder.
@@ -19,8 +19,12 @@ from convoy.llm.shared import settled
 HUB_SHARE = 2048
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _mark(edges: DataFrame) -> tuple[int, bool]:
+    """Number of edges, and whether they are stars: each ``u`` has one ``v``, which is no ``u``."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    count, bad = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+    return count, not bad
 
 
 def _with_least(edges: DataFrame, least: DataFrame, count: int) -> DataFrame:
@@ -34,17 +38,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (its smallest node) for every node of some edge; nulls and loops count as no edge."""
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}").distinct()
     pairs = settled(pairs, "edges")
-    mark = _mark(pairs)
-    while mark[0]:
+    count, done = _mark(pairs)
+    while not done:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _with_least(both, least, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = settled(large, "edges")
+        large = _with_least(both, least, 2 * count).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, least, mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _with_least(large, least, 2 * count).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        before, mark = mark, _mark(pairs)
-        if before == mark:
-            break
+        count, done = _mark(pairs)
     roots = pairs.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -11,9 +11,11 @@ threshold or more; each document gets its component under these links.
     pairs; the others keep their rows, and meet a few centres first.
 3.  Candidates are checked for size, then by parity sketches (their distance bounds
     the sets' difference), then exactly.  Linked documents form groups.
-4.  The matrix: for each frequent shingle, the groups that hold it.  A document that
-    meets a group other than its own is bounded by its overlap with the union of the
-    group's shingles; only groups that pass are opened, and their members verified.
+4.  The matrix: for each frequent shingle, the groups that hold it.  A group, cut by the
+    size of its sets, keeps the union of its shingles as a bit table.  A document that
+    meets a group other than its own is bounded by its overlap with that union: a bit
+    that only the document has stands for a shingle that no member has.  Only groups
+    that pass are opened, and their members verified.
     Documents that are no longer apart are not compared at all.
 
 Equal sets within a batch become one at once, so large groups of copies send few
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoy.llm import words as W
@@ -75,45 +77,74 @@ def shown(n: int) -> int:
     return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
 
 
-def sketch(tokens: np.ndarray, wide: int = 1) -> bytes:
+def _slots(tokens: np.ndarray, wide: int) -> tuple[np.ndarray, int]:
+    count = max(64, 1 << int(wide * len(tokens) - 1).bit_length())
+    return (W.mix(tokens, 71) & np.uint64(count - 1)).astype(np.int64), count
+
+
+def sketch(tokens: np.ndarray) -> bytes:
     """Parity of the shingles in each of some slots; the distance of two never exceeds their sets' difference.
 
-    There are as many slots as the next power of two from ``wide`` times the set's size on, so a sketch costs an eighth to a
-    quarter of a byte per shingle; a longer one folds to a shorter one's slots.
+    There are as many slots as the next power of two from the set's size on, so a sketch costs an eighth to a quarter of a byte
+    per shingle; a longer one folds to a shorter one's slots.
     """
-    slots = max(64, 1 << int(wide * len(tokens) - 1).bit_length())
-    odd = np.bincount((W.mix(tokens, 71) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    slot, count = _slots(tokens, 1)
+    return np.packbits((np.bincount(slot, minlength=count) & 1).astype(np.uint8)).tobytes()
+
+
+#: Slots of a bit table for each shingle.
+TABLE_SLOTS = 8
+
+
+def bit_table(tokens: np.ndarray) -> bytes:
+    """Which of some slots have a shingle; a slot that only one of two tables has stands for a shingle that only one has."""
+    slot, count = _slots(tokens, TABLE_SLOTS)
+    bits = np.zeros(count, np.uint8)
+    bits[slot] = 1
+    return np.packbits(bits).tobytes()
 
 
-def _stack(marks: list[bytes], rows: np.ndarray, size: int) -> np.ndarray:
-    """Sketches of some rows as words, folded to ``size`` bytes."""
+def _stack(marks: list[bytes], rows: np.ndarray, size: int, fold=np.bitwise_xor) -> np.ndarray:
+    """Sketches (or, with ``bitwise_or``, bit tables) of some rows as words, folded to ``size`` bytes."""
     out = np.frombuffer(b"".join(marks[k] for k in rows), np.uint64).reshape(len(rows), -1)
     while out.shape[1] * 8 > size:
         half = out.shape[1] // 2
-        out = out[:, :half] ^ out[:, half:]
+        out = fold(out[:, :half], out[:, half:])
     return out
 
 
+def _by_size(x: list[bytes], y: list[bytes]) -> Iterator[tuple[np.ndarray, int]]:
+    """Which pairs have marks of the same two sizes, and the smaller size."""
+    size = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)]).reshape(-1, 2)
+    for la, lb in np.unique(size, axis=0):
+        yield np.flatnonzero((size[:, 0] == la) & (size[:, 1] == lb)), min(la, lb)
+
+
 def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
     """Distance of each pair of sketches."""
-    size = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)]).reshape(-1, 2)
     out = np.zeros(len(x), np.int64)
-    for la, lb in np.unique(size, axis=0):
-        rows = np.flatnonzero((size[:, 0] == la) & (size[:, 1] == lb))
-        out[rows] = np.bitwise_count(_stack(x, rows, min(la, lb)) ^ _stack(y, rows, min(la, lb))).sum(1, dtype=np.int64)
+    for rows, size in _by_size(x, y):
+        out[rows] = np.bitwise_count(_stack(x, rows, size) ^ _stack(y, rows, size)).sum(1, dtype=np.int64)
+    return out
+
+
+def missing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Slots that only the first of each pair of bit tables has: shingles that the other lacks, at least."""
+    out = np.zeros(len(x), np.int64)
+    for rows, size in _by_size(x, y):
+        out[rows] = np.bitwise_count(_stack(x, rows, size, np.bitwise_or) & ~_stack(y, rows, size, np.bitwise_or)).sum(1, dtype=np.int64)
     return out
 
 
-def all_apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
-    """Distance of every sketch of one list and every one of another."""
+def all_apart(x: list[bytes], y: list[bytes], fold=np.bitwise_xor) -> np.ndarray:
+    """Distance of every sketch (or bit table) of one list and every one of another."""
     sx, sy = np.array([len(a) for a in x]), np.array([len(b) for b in y])
     out = np.zeros((len(x), len(y)), np.int64)
     for la in np.unique(sx):
         for lb in np.unique(sy):
             i, j = np.flatnonzero(sx == la), np.flatnonzero(sy == lb)
-            b = _stack(y, j, min(la, lb))
-            for k, a in zip(i, _stack(x, i, min(la, lb)), strict=True):
+            b = _stack(y, j, min(la, lb), fold)
+            for k, a in zip(i, _stack(x, i, min(la, lb), fold), strict=True):
                 out[k, j] = np.bitwise_count(a[None, :] ^ b).sum(1, dtype=np.int64)
     return out
 
@@ -257,6 +288,11 @@ def fits(n, m):
     return (n * DENOMINATOR >= m * NUMERATOR) & (m * DENOMINATOR >= n * NUMERATOR)
 
 
+def fits_any(n: Column, least: Column, most: Column) -> Column:
+    """Whether a set of size ``n`` can link with one of ``least`` to ``most``."""
+    return (most * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= least * NUMERATOR)
+
+
 # ---- verification ---------------------------------------------------------------
 
 
@@ -332,7 +368,7 @@ def _asked(often: DataFrame, sizes: DataFrame, groups: DataFrame) -> tuple[DataF
     queries = rows.select("token", "doc", "n", "component").join(of_group.select("component", F.col("size").alias("own")), "component")
     # the smaller group asks the larger one
     asks = (F.col("component") != F.col("group")) & (F.struct("own", "component") < F.struct(F.col("size"), F.col("group")))
-    possible = (F.col("most") * DENOMINATOR >= F.col("n") * NUMERATOR) & (F.col("n") * DENOMINATOR >= F.col("least") * NUMERATOR)
+    possible = fits_any(F.col("n"), F.col("least"), F.col("most"))
     return settled(split_join(queries, matrix, "token").where(asks & possible).select("doc", "n", "group", "size").distinct(), "asked"), members
 
 
@@ -343,8 +379,8 @@ def _blocks(rows: DataFrame, by: list[str], name: str, size: int) -> DataFrame:
     return placed.groupBy(*by, f"{name}_block").agg(F.collect_list(F.struct("doc", "n", "sketch")).alias(name))
 
 
-def _near_in_blocks(pairs: DataFrame) -> DataFrame:
-    """From rows with two blocks ``x`` and ``y``, the pairs (a, b) whose sizes and sketches allow a link."""
+def _near_in_blocks(pairs: DataFrame, fold=np.bitwise_xor) -> DataFrame:
+    """From rows with two blocks ``x`` and ``y``, the pairs (a, b) whose sizes and sketches (or bit tables) allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -352,7 +388,7 @@ def _near_in_blocks(pairs: DataFrame) -> DataFrame:
                 (dx, nx, mx), (dy, ny, my) = ([z.values.field(k) for k in range(3)] for z in (x, y))
                 dx, nx, dy, ny = (z.to_numpy() for z in (dx, nx, dy, ny))
                 near = fits(nx[:, None], ny[None, :]) & (dx[:, None] != dy[None, :])
-                near &= all_apart(mx.to_pylist(), my.to_pylist()) * (NUMERATOR + DENOMINATOR) <= (nx[:, None] + ny[None, :]) * (DENOMINATOR - NUMERATOR)
+                near &= all_apart(mx.to_pylist(), my.to_pylist(), fold) * (NUMERATOR + DENOMINATOR) <= (nx[:, None] + ny[None, :]) * (DENOMINATOR - NUMERATOR)
                 i, j = np.nonzero(near)
                 found = np.unique(np.stack([np.minimum(dx[i], dy[j]), np.maximum(dx[i], dy[j])], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
@@ -360,16 +396,58 @@ def _near_in_blocks(pairs: DataFrame) -> DataFrame:
     return pairs.select("x", "y").mapInArrow(run, "a long, b long")
 
 
-def _bounded(asked: DataFrame, unions: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of documents and the groups they ask, those whose overlap with the group's token union allows a link with a member.
+def _tables(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, n, sketch) of the documents named, with the bit table of their shingles as ``sketch``; equal rows become one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(r, len(t), bit_table(t)) for r, t in _sets(b.column(1))]
+            row, n, bits = (list(x) for x in zip(*got, strict=True)) if got else ([], [], [])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["doc", "n", "sketch"])
+
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi").mapInArrow(run, "doc long, n long, sketch binary").distinct()
+
+
+def _unions(rows: DataFrame) -> DataFrame:
+    """The union of the bit tables of each cell; rows: ``cell``, ``sketch``, of one size in a cell.  Every batch is added up before the shuffle."""
 
-    asked: ``doc``, ``n``, ``group``; unions: ``doc``, ``group`` of the members; sets: ``doc``, ``tokens``.
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, np.ndarray] | None = None  # the cell that may go on in the next batch, where rows are sorted
+        for b in batches:
+            cell = b.column(0).to_numpy()
+            order = np.argsort(cell, kind="stable")
+            marks, found = b.column(1), []
+            for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
+                both = np.bitwise_or.reduce([np.frombuffer(marks[int(k)].as_buffer(), np.uint64) for k in rows])
+                if last is not None and last[0] == cell[rows[0]]:
+                    both, last = both | last[1], None
+                found.append((int(cell[rows[0]]), both))
+            if last is not None:
+                found.insert(0, last)
+            last = found.pop() if found else None
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([u.tobytes() for _, u in found], pa.binary())], ["cell", "bits"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1].tobytes()], pa.binary())], ["cell", "bits"])
+
+    kind = "cell long, bits binary"
+    return rows.select("cell", "sketch").mapInArrow(add, kind).repartition("cell").sortWithinPartitions("cell").mapInArrow(add, kind)
+
+
+def _bounded(asks: DataFrame, unions: DataFrame) -> DataFrame:
+    """Of documents and the cells that they ask, those whose overlap with the cell's union of shingles allows a link with a member.
+
+    asks: ``doc``, ``n``, ``cell``, ``sketch``; unions: ``cell``, ``bits``.
     """
-    union = unions.select("doc", "group").join(sets, "doc").select("doc", "group", "tokens").mapInArrow(_spread(["doc", "group"]), "doc long, group long, token long").select("group", "token").distinct()
-    wanted = asked.select("doc", "n", "group").join(sets.withColumn("m", F.octet_length("tokens") / 8), "doc").where("n = m").select("doc", "n", "group", "tokens")
-    wanted = wanted.mapInArrow(_spread(["doc", "n", "group"]), "doc long, n long, group long, token long")
-    overlap = wanted.join(union, ["group", "token"]).groupBy("doc", "n", "group").agg(F.count("*").alias("overlap"))
-    return overlap.where(F.col("overlap") * DENOMINATOR >= F.col("n") * NUMERATOR).select("doc", "n", "group")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(1).to_numpy()
+            overlap = n - missing(b.column(3).to_pylist(), b.column(4).to_pylist())
+            yield b.select(["doc", "n", "cell", "sketch"]).filter(pa.array(overlap * DENOMINATOR >= n * NUMERATOR))
+
+    rows = split_join(asks, unions, "cell").select("doc", "n", "cell", "sketch", "bits")
+    return rows.mapInArrow(run, "doc long, n long, cell long, sketch binary")
 
 
 def _lone_pairs(often: DataFrame, lone: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -380,51 +458,32 @@ def _lone_pairs(often: DataFrame, lone: DataFrame, sketches: DataFrame) -> DataF
     """
     band = F.floor(F.log(F.col("n").cast("double")) / float(1.001 * np.log(DENOMINATOR / NUMERATOR)))
     rows = often.join(lone, "doc", "left_semi").select("token", "doc").join(sketches, "doc").withColumn("band", band)
-    blocks = settled(_blocks(rows, ["token", "band"], "x", BLOCK), "lone-blocks")
+    blocks = _blocks(rows, ["token", "band"], "x", BLOCK)
     other = blocks.withColumnsRenamed({"x": "y", "x_block": "y_block"})
     meets = other.select("token", "band", F.col("band").alias("own"), "y_block", "y").unionByName(other.select("token", F.col("band") - 1, F.col("band").alias("own"), "y_block", "y").toDF("token", "band", "own", "y_block", "y"))
     return _near_in_blocks(blocks.join(meets, ["token", "band"]).where("own > band OR x_block <= y_block"))
 
 
-def _opened(often: DataFrame, asked: DataFrame, members: DataFrame, sketches: DataFrame, token_sets, known: DataFrame) -> DataFrame:
+def _opened(often: DataFrame, asked: DataFrame, members: DataFrame, sketches: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     """Near pairs (a, b) of documents and members of the groups that are opened, and of documents that are groups of their own.
 
-    Askers and members of an opened group meet block by block, by wider sketches.
+    Askers and members of an opened group meet block by block.  A cell is what a group has of one size of bit tables.
     """
     lone = members.groupBy("component").agg(F.count("*").alias("k")).where("k = 1").select(F.col("component").alias("doc"))
     near = _lone_pairs(often, lone, sketches)
     if not asked.isEmpty():
-        unions = members.join(asked.select(F.col("group").alias("component")).distinct(), "component").select("doc", "n", F.col("component").alias("group"))
-        sets = token_sets(unions.select("doc").unionByName(asked.select("doc")).distinct())
-        bound = settled(_bounded(asked, unions, sets), "bounded")
-        held = unions.join(bound.select("group").distinct(), "group")
-        wide = _wide(sets)
-        asks, inside = (df.select("group", "doc", "n").join(wide, "doc") for df in (bound, held))
-        near = near.unionByName(_near_in_blocks(split_join(_blocks(inside, ["group"], "y", BLOCK), _blocks(asks, ["group"], "x", BLOCK // 4), "group", "y_block")))
+        inside = members.join(asked.select(F.col("group").alias("component")).distinct(), "component").select("doc", F.col("component").alias("group"))
+        tables = settled(_tables(docs, inside.select("doc").unionByName(asked.select("doc")).distinct()), "bit-tables")
+        inside = inside.distinct().join(tables, "doc").withColumn("cell", F.xxhash64("group", F.octet_length("sketch")))
+        cells = inside.groupBy("cell", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        asks = asked.select("doc", "n", "group").distinct().join(tables, ["doc", "n"])
+        asks = split_join(asks, cells, "group").where(fits_any(F.col("n"), F.col("least"), F.col("most"))).select("doc", "n", "cell", "sketch")
+        bound = settled(_bounded(asks, _unions(inside)), "bounded")
+        held = inside.join(bound.select("cell").distinct(), "cell").select("cell", "doc", "n", "sketch")
+        near = near.unionByName(_near_in_blocks(split_join(_blocks(held, ["cell"], "y", BLOCK), _blocks(bound, ["cell"], "x", BLOCK // 4), "cell", "y_block"), np.bitwise_or))
     return near.distinct().join(known, ["a", "b"], "left_anti")
 
 
-def _wide(sets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            marks = [sketch(np.frombuffer(t.as_buffer(), np.uint64), 8) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary())], ["doc", "sketch"])
-
-    return sets.mapInArrow(run, "doc long, sketch binary")
-
-
-def _spread(columns: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(len(columns))]
-                rows = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-                yield pa.RecordBatch.from_arrays([*[part.column(c).take(rows) for c in range(len(columns))], pa.array(np.concatenate(sets))], [*columns, "token"])
-
-    return run
-
-
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, ``n_shingles`` and ``component_id`` of every row."""
     spark = df.sparkSession
@@ -443,18 +502,15 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     sketches = settled(marked.distinct(), "sketches")
     repeated = sketches.count() < marked.count()
 
-    def token_sets(ids: DataFrame) -> DataFrame:
-        return settled(_token_sets(docs, ids, repeated), "token-sets")
-
     def verified(near: DataFrame) -> DataFrame:
         near = settled(near, "near")
-        return _verified(near, token_sets(_ids(near)))
+        return _verified(near, settled(_token_sets(docs, _ids(near), repeated), "token-sets"))
 
     groups = settled(components(settled(verified(_near(pairs, sketches)).unionByName(equal), "links")), "groups")
     asked, members = _asked(often, sketches.select("doc", "n").distinct(), groups)
     final = groups
     if not members.isEmpty():
-        more = settled(verified(_opened(often, asked, members, sketches, token_sets, pairs)), "links")
+        more = settled(verified(_opened(often, asked, members, sketches, docs, pairs)), "links")
         if not more.isEmpty():
             final = components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     rows = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc"), F.col("n").alias("n_shingles"))
