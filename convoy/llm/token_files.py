@@ -310,19 +310,6 @@ def write(df: DataFrame, key: str, text: str, tokenizer: str, folder: str, end_i
     return manifest.join(parts, "part").withColumn("base", F.col("_base") + before(Window.partitionBy("part").orderBy("number"))).drop("_base")
 
 
-def with_counts(df: DataFrame, text: str, tokenizer: str, name: str) -> DataFrame:
-    """The rows, repeated ones too, with the number of their text's ids, without end ids, behind their columns; no shuffle."""
-    at = df.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = encoder(tokenizer)
-        for b in batches:
-            sizes = [tok.encode(w)[1] for w in tok.cut(b.column(at))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]), pa.int64())], [*b.schema.names, name])
-
-    return df.mapInArrow(run, df.withColumn(name, F.lit(0).cast("long")).schema)
-
-
 def _tasks(spark: SparkSession, files: int) -> int:
     return max(1, min(files, READ_TASKS * spark.sparkContext.defaultParallelism))
 

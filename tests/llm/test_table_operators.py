@@ -318,23 +318,18 @@ def test_unlearned_languages_go(spark, languages):
     assert len([k for k in kept if 1000 <= k < 2000]) <= 4 and len([k for k in kept if k >= 2000]) <= 4
 
 
-def test_mixing_budgets_real_tokens(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    # as many bytes in both languages, but far more tokens in one
-    rows = [(k, "the of and that with " * 20 if k % 2 else "qzx jvk wqy xzk vvq  " * 20, "en" if k % 2 else "es", "src1") for k in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    library = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
-    size = {r[0]: len(library.encode(r[1], add_special_tokens=False).ids) for r in rows}
-    kept = [r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+def test_mixing_budgets_estimated_tokens(spark):
+    rows = [(k, "word " * (10 + k % 40), "en" if k % 3 else "es", "src1") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"_epoch": F.lit("mine"), "epoch": F.lit("mine")})
+    size = {r[0]: math.ceil(len(r[1]) / 4) for r in rows}
+    out = corpus_pipeline.mix_sources(spark, docs, "")
+    kept = [r.doc_id for r in out.collect()]
+    assert out.columns == docs.columns and {r.epoch for r in out.collect()} == {"mine"} and len(kept) == len(set(kept))
     used = {lang: sum(size[k] for k in kept if rows[k][2] == lang) for lang in ("en", "es")}
     have = {lang: sum(size[r[0]] for r in rows if r[2] == lang) for lang in ("en", "es")}
     budget = math.floor(sum(have.values()) * mixing.SHARE)
-    level = {"en": min(have["en"], budget * 5 / 6)}
-    level["es"] = min(have["es"], budget - level["en"])
-    assert have["es"] > 1.5 * have["en"]
-    assert all(level[v] - max(size[k] for k in size if rows[k][2] == v) < used[v] <= level[v] for v in used)
+    level = _water(budget, {v: (have[v], mixing.LANGUAGES[v]) for v in have})
+    assert all(level[v] - max(size.values()) < used[v] <= level[v] for v in used)
 
 
 def test_the_registry_names_all_ten():
