@@ -15,7 +15,7 @@ the same symbols inside, and no round needs a shuffle.
     settled how it was made, and wherever those words occur the same symbol arises.
     Each window is filed under the settled symbol of least name inside it (or under
     itself where none is), and consecutive windows of one symbol make a stretch.
-    Windows inside a long symbol go on only from the smallest document that has it.
+    Stretches inside a long symbol go on only from the smallest document that has it.
 
 A second shuffle brings the stretches of a symbol together.  A stretch that also occurs
 in a smaller document is removed there and then.  The others of symbols that occur
@@ -49,7 +49,7 @@ WINDOW = 13
 #: Longest symbol, in words, that takes part in each round: of the rounds whose symbols a window settles, and of those that follow.
 ROUNDS, HIGH_ROUNDS = (1, 1), (4, 4, 8, 8, 16, 16, 32, 32, 32)
 #: A symbol is frequent if it files one in so many stretches of the sample, and LEAST_HOT at least; there are as many frequent ones at most (8 bytes each).
-HOT_SHARE, LEAST_HOT = 20_000, 64
+HOT_SHARE, LEAST_HOT = 1000, 64
 #: The sample: one document in SAMPLE_PART, of SAMPLE_LEAST documents at least and SAMPLE_MOST at most; tasks that share a frequent symbol.
 SAMPLE_PART, SAMPLE_LEAST, SAMPLE_MOST, SPLIT = 16, 4000, 200_000, 64
 
@@ -175,10 +175,11 @@ def stretches(w: W.Words, width: int = WINDOW, rounds: tuple[int, ...] = ROUNDS)
     if len(top.start):
         around[window + width > top.end[np.maximum(around, 0)]] = -1
     new = np.ones(len(window), bool)
-    new[1:] = (choice[1:] != choice[:-1]) | (choice[1:] < 0) | (doc[1:] != doc[:-1]) | (around[1:] != around[:-1])
+    new[1:] = (choice[1:] != choice[:-1]) | (choice[1:] < 0) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
     size = np.diff(np.concatenate([begin, [len(window)]]))
-    start, own, sym, within = window[begin], doc[begin], choice[begin], around[begin]
+    start, own, sym = window[begin], doc[begin], choice[begin]
+    within = np.where(around[begin] == around[begin + size - 1], around[begin], -1)  # stretches stay whole, so that they are cut alike everywhere
     ranges = Ranges(w.hash, 30)
     inside = sym >= 0
     at = np.maximum(sym, 0)
