@@ -54,8 +54,8 @@ SAMPLE_PART, SAMPLE_LEAST, SAMPLE_MOST, SAMPLE_COUNT, LATE_MOST = 16, 8000, 200_
 CENTRES = 6
 #: Documents of a block.
 BLOCK = 256
-#: Documents with candidates up to which their ids are broadcast (8 bytes each).
-BROADCAST_IDS = 2_000_000
+#: Documents with candidates up to which their ids are broadcast (8 bytes each), and bytes of group unions up to which they are.
+BROADCAST_IDS, BROADCAST_BYTES = 2_000_000, 16 << 20
 
 
 def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -93,7 +93,7 @@ def sketch(tokens: np.ndarray) -> bytes:
 
 
 #: Slots of a bit table for each shingle.
-TABLE_SLOTS = 8
+TABLE_SLOTS = 4
 
 
 def bit_table(tokens: np.ndarray) -> bytes:
@@ -446,7 +446,8 @@ def _bounded(asks: DataFrame, unions: DataFrame) -> DataFrame:
             overlap = n - missing(b.column(3).to_pylist(), b.column(4).to_pylist())
             yield b.select(["doc", "n", "cell", "sketch"]).filter(pa.array(overlap * DENOMINATOR >= n * NUMERATOR))
 
-    rows = split_join(asks, unions, "cell").select("doc", "n", "cell", "sketch", "bits")
+    few = (unions.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= BROADCAST_BYTES
+    rows = (asks.join(F.broadcast(unions), "cell") if few else split_join(asks, unions, "cell")).select("doc", "n", "cell", "sketch", "bits")
     return rows.mapInArrow(run, "doc long, n long, cell long, sketch binary")
 
 
@@ -476,10 +477,11 @@ def _opened(often: DataFrame, asked: DataFrame, members: DataFrame, sketches: Da
         tables = settled(_tables(docs, inside.select("doc").unionByName(asked.select("doc")).distinct()), "bit-tables")
         inside = inside.distinct().join(tables, "doc").withColumn("cell", F.xxhash64("group", F.octet_length("sketch")))
         cells = inside.groupBy("cell", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        asks = asked.select("doc", "n", "group").distinct().join(tables, ["doc", "n"])
-        asks = split_join(asks, cells, "group").where(fits_any(F.col("n"), F.col("least"), F.col("most"))).select("doc", "n", "cell", "sketch")
-        bound = settled(_bounded(asks, _unions(inside)), "bounded")
-        held = inside.join(bound.select("cell").distinct(), "cell").select("cell", "doc", "n", "sketch")
+        asks = split_join(asked.select("doc", "n", "group").distinct(), cells, "group").where(fits_any(F.col("n"), F.col("least"), F.col("most")))
+        asks = asks.select("doc", "n", "cell").join(tables, ["doc", "n"])
+        bound = settled(_bounded(asks, settled(_unions(inside), "unions")), "bounded")
+        opened = bound.select("cell").distinct()
+        held = inside.join(F.broadcast(opened) if opened.count() <= BROADCAST_IDS else opened, "cell").select("cell", "doc", "n", "sketch")
         near = near.unionByName(_near_in_blocks(split_join(_blocks(held, ["cell"], "y", BLOCK), _blocks(bound, ["cell"], "x", BLOCK // 4), "cell", "y_block"), np.bitwise_or))
     return near.distinct().join(known, ["a", "b"], "left_anti")
 
