@@ -198,6 +198,16 @@ class View:
         allowed = F.lit(bool(set(self.principal.roles) & set(WRITERS)))
         return self.incident(incident_id).where(allowed).withColumn("status", F.lit("acknowledged"))
 
+    def create_incident(self, title: str, severity: str, district: str, driver_ids: list[str], at: Column) -> DataFrame:
+        """A new incident over some of the tenant's drivers in scope, for an append; none for roles that may not write, or without such drivers."""
+        mine = self._rows("drivers").where(F.col("driver_id").isin(*driver_ids)).agg(F.sort_array(F.collect_set("driver_id")).alias("driver_ids"))
+        allowed = F.lit(bool(set(self.principal.roles) & set(WRITERS))) & (F.size("driver_ids") > 0)
+        key = text.content_id(F.lit(self.principal.tenant_id), F.lit(title), F.array_join("driver_ids", ","), at)
+        return mine.where(allowed).select(
+            F.lit(self.principal.tenant_id).alias("tenant_id"), key.alias("incident_id"), F.lit(title).alias("title"), F.lit(severity).alias("severity"), F.lit("open").alias("status"),
+            F.lit(district).alias("district_id"), "driver_ids", F.array().cast("array<string>").alias("exception_ids"), at.alias("opened_at"),
+        )
+
     def reassignable(self, driver_id: str) -> DataFrame:
         """Whether a driver has the hours to take a load over."""
         return self.driver(driver_id).select("driver_id", (F.col("hos_remaining_minutes") > 60).alias("can_take_over"))
@@ -206,3 +216,8 @@ class View:
 def hos_board(drivers: DataFrame) -> DataFrame:
     minutes = F.col("hos_remaining_minutes")
     return drivers.select("tenant_id", "driver_id", rules.hos_level(minutes).alias("level"), rules.format_hours(minutes).alias("left"))
+
+
+def since(rows: DataFrame, at: str, mark: Column | None) -> DataFrame:
+    """What an incremental poll reads: rows later than the mark of the poll before, oldest first; all of them at the first."""
+    return (rows if mark is None else rows.where(F.col(at) > mark)).orderBy(at)

@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convoy.operators.sizes import small
+
+#: Subscriptions without a first field up to which they are broadcast.
+BROADCAST_SUBSCRIPTIONS = 100_000
+
 
 def matches(pattern: dict, envelope: dict[str, Column] | None = None, detail: Column | None = None) -> Column:
     """A pattern as a column: all named fields have to fit, each by one of its listed values; nested dicts go into ``detail``.
@@ -46,12 +51,12 @@ def fan_out(payloads: DataFrame, subscriptions: DataFrame, fields: dict[str, boo
     """Payloads with the subscriptions that take them.
 
     fields: names of the filter columns (``want_<name>`` in subscriptions), true for list fields.  Subscriptions with the first
-    field given meet payloads by an equi-join on it; the others, which take all its values, are a broadcast list.
+    field given meet payloads by an equi-join on it; the others, which take all its values, each meet every payload, as they have to.
     """
     first, is_list = next(iter(fields.items()))
     named, open_ = subscriptions.where(F.col(f"want_{first}").isNotNull()), subscriptions.where(F.col(f"want_{first}").isNull())
     keyed = payloads.withColumn("_key", F.explode(F.array_distinct(first)) if is_list else F.col(first))
     met = keyed.join(named, F.col("_key") == F.col(f"want_{first}")).drop("_key")
-    loose = payloads.crossJoin(F.broadcast(open_))
+    loose = payloads.crossJoin(small(open_, BROADCAST_SUBSCRIPTIONS))
     both = met.unionByName(loose)
     return both.where(reduce(lambda a, b: a & b, [wants(F.col(f"want_{n}"), F.col(n), many) for n, many in fields.items()]))

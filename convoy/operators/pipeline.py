@@ -6,7 +6,7 @@ which they count within a batch.
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from convoy import schema
 from convoy.functions import rules, spatial, text
+from convoy.operators.sizes import blocks
 
 WITH_ORDER = ["tenant_id", "driver_id"]
 
@@ -25,18 +26,28 @@ def resolve_territory(readings: DataFrame, places: list[tuple[str, float, float]
     return readings.withColumn("location", F.when(F.col("location").isNotNull(), named))
 
 
+#: Corridors that are gathered into one broadcast array.
+CORRIDOR_BLOCK = 5000
+
+
 def nearest_corridor(points: DataFrame, corridors: DataFrame, lon: Column, lat: Column, district: Column) -> DataFrame:
     """Points with the nearest corridor of their district (all corridors where the district is empty), none without candidates.
 
-    The corridors are a short dimension: gathered once into an array per district and one of all, and folded per row.
+    The corridors are a dimension: gathered into an array per district, and for points without one into arrays of bounded
+    size, and folded per row, so that no pairs are made.
     """
     item = F.struct(F.col("corridor_id"), F.col("name"), F.col("path"))
-    lists = corridors.groupBy("district_id").agg(F.sort_array(F.collect_list(item)).alias("_own"))
-    everything = corridors.agg(F.sort_array(F.collect_list(item)).alias("_all"))
-    rows = points.withColumn("_district", F.nullif(district, F.lit(""))).join(F.broadcast(lists), F.col("_district") == F.col("district_id"), "left").crossJoin(F.broadcast(everything))
-    choice = F.when(F.col("_district").isNull(), F.col("_all")).otherwise(F.col("_own"))
-    best = F.array_min(F.transform(choice, lambda c, i: F.struct(spatial.metres_from_path(lon, lat, c["path"]).alias("metres"), i.alias("ord"), c["corridor_id"].alias("corridor_id"), c["name"].alias("name"))))
-    return rows.withColumn("nearest", best).where("nearest IS NOT NULL AND nearest.metres IS NOT NULL").drop("_district", "_own", "_all", "district_id")
+    known = corridors.where(F.size("path") > 1)
+    lists = known.groupBy("district_id").agg(F.collect_list(item).alias("_own"))
+    parts = list(blocks(known, "corridor_id", CORRIDOR_BLOCK))
+    own = F.broadcast(lists) if len(parts) == 1 else lists
+    rows = points.withColumn("_district", F.nullif(district, F.lit(""))).join(own, F.col("_district") == F.col("district_id"), "left").drop("district_id")
+    every = [f"_all{k}" for k in range(len(parts))]
+    for name, part in zip(every, parts, strict=True):
+        rows = rows.crossJoin(F.broadcast(part.agg(F.collect_list(item).alias(name))))
+    choice = F.when(F.col("_district").isNull(), F.concat(*every) if len(every) > 1 else F.col(every[0])).otherwise(F.col("_own"))
+    best = F.array_min(F.transform(choice, lambda c: F.struct(spatial.metres_from_path(lon, lat, c["path"]).alias("metres"), c["corridor_id"].alias("corridor_id"), c["name"].alias("name"))))
+    return rows.withColumn("nearest", best).where("nearest IS NOT NULL").drop("_district", "_own", *every)
 
 
 def route_adherence(readings: DataFrame, corridors: DataFrame) -> DataFrame:
@@ -107,8 +118,6 @@ def corroborated(exceptions: DataFrame, seconds: int = schema.CORROBORATE_SECOND
 
 def _lead(rows: pd.DataFrame) -> pd.DataFrame:
     """Assigns every row, in order, to the first leader that it matches, or makes it one."""
-    import numpy as np
-
     rows = rows.sort_values(["at", "seq"], kind="stable")
     at, lon, lat, seq = (rows[c].to_numpy() for c in ("at", "lon", "lat", "seq"))
     rlon, rlat = np.radians(lon), np.radians(lat)
@@ -168,12 +177,34 @@ def detect(exceptions: DataFrame, order: list[str] | None = None, opened_at: Col
     return incidents(merge(corroborated(exceptions), keys), [k for k in keys if k != "exception_id"], opened_at)
 
 
+def _farthest(lons: list, lats: list) -> float:
+    """The largest distance between two of some places, in km.
+
+    Two sweeps give a distance that some pair has; a pair that is farther apart has both ends so far from the middle that
+    most places drop out, and only the rest are compared.
+    """
+    lon, lat = np.unique(np.radians(np.array([lons, lats], float)), axis=1)
+    far = lambda i, j: 2 * spatial.EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, np.sin((lat[j] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lon[j] - lon[i]) / 2) ** 2)))
+    every = np.arange(len(lon))
+    end = int(np.argmax(far(0, every)))
+    other = int(np.argmax(far(end, every)))
+    best = float(far(end, other))
+    middle = int(np.argmin(np.maximum(far(end, every), far(other, every))))
+    reach = far(middle, every)
+    rim = every[reach >= best - reach.max() - 1e-9]
+    return max([best, *[float(far(i, rim).max()) for i in rim]])
+
+
 def spread_km(found: DataFrame, drivers: DataFrame) -> DataFrame:
     """Incidents with the largest distance between two of their drivers, to one decimal; 0 for fewer than two places."""
-    members = found.select("tenant_id", "incident_id", F.explode("driver_ids").alias("driver_id")).join(drivers.select(*WITH_ORDER, "lon", "lat"), WITH_ORDER)
-    points = members.groupBy("tenant_id", "incident_id").agg(F.collect_list(F.struct("lon", "lat")).alias("p"))
-    far = F.array_max(F.flatten(F.transform("p", lambda a: F.transform("p", lambda b: spatial.haversine_km(a["lon"], a["lat"], b["lon"], b["lat"])))))
-    sizes = points.select("tenant_id", "incident_id", F.when(F.size("p") < 2, F.lit(0.0)).otherwise(rules.half_up(far, 1)).alias("spread_km"))
+    members = found.select("tenant_id", "incident_id", F.explode("driver_ids").alias("driver_id")).join(drivers.select(*WITH_ORDER, "lon", "lat"), WITH_ORDER).where("lon IS NOT NULL AND lat IS NOT NULL")
+    points = members.groupBy("tenant_id", "incident_id").agg(F.collect_list("lon").alias("lons"), F.collect_list("lat").alias("lats"))
+
+    @F.pandas_udf("double")
+    def farthest(lons: pd.Series, lats: pd.Series) -> pd.Series:
+        return pd.Series([_farthest(x, y) for x, y in zip(lons, lats, strict=True)], dtype=float)
+
+    sizes = points.select("tenant_id", "incident_id", F.when(F.size("lons") < 2, F.lit(0.0)).otherwise(rules.half_up(farthest("lons", "lats"), 1)).alias("spread_km"))
     return found.join(sizes, ["tenant_id", "incident_id"], "left").withColumn("spread_km", F.coalesce("spread_km", F.lit(0.0)))
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convoy.functions import rules, spatial
+from convoy.operators.sizes import blocks
 
 
 def within_radius(points: DataFrame, lon: Column, lat: Column, km: float, key: str, limit: int | None = 50) -> DataFrame:
@@ -66,43 +68,65 @@ def containing(points: DataFrame, areas: DataFrame, ring: str = "boundary", cell
     return met.where(spatial.in_ring(F.col("lon"), F.col("lat"), F.col(ring))).drop("_px", "_py", "_x", "_y")
 
 
-def nearest_place(points: DataFrame, places: DataFrame, key: str, place: str, top: int = 1) -> DataFrame:
-    """Points with their nearest places by great-circle distance, ties by place id; places are a short dimension.
+#: Places that are gathered into one broadcast array.
+PLACE_BLOCK = 5000
 
-    points: ``key``, ``lon``, ``lat``; places: ``place``, ``lon``, ``lat``.  The places are gathered into one broadcast array and
-    folded per point, so nothing is shuffled and no pairs are made.
+
+def nearest_place(points: DataFrame, places: DataFrame, key: str, place: str, top: int = 1, km: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Points with their nearest places, ties by place id; by great-circle distance, or by what ``km`` makes of a place.
+
+    points: ``key``, ``lon``, ``lat``; places: ``place`` and what ``km`` takes, ``lon`` and ``lat`` as a rule.  Places are a dimension:
+    gathered into broadcast arrays of bounded size and folded per point, so nothing is shuffled and no pairs are made.
     """
-    gathered = places.agg(F.collect_list(F.struct(F.col(place).alias("place"), F.col("lon").alias("plon"), F.col("lat").alias("plat"))).alias("_places"))
-    scored = F.transform("_places", lambda p: F.struct(spatial.haversine_km(F.col("lon"), F.col("lat"), p["plon"], p["plat"]).alias("km"), p["place"].alias("place")))
-    rows = points.crossJoin(F.broadcast(gathered)).withColumn("_best", F.slice(F.sort_array(scored), 1, top))
-    return rows.select(*points.columns, F.posexplode("_best").alias("_pos", "_hit")).select(*points.columns, (F.col("_pos") + 1).alias("rank"), F.col("_hit.place").alias(place), F.col("_hit.km").alias("km"))
+    distance = km or (lambda p: spatial.haversine_km(F.col("lon"), F.col("lat"), p["lon"], p["lat"]))
+    rows = points.select(F.struct(*points.columns).alias("_point"), *points.columns)
+    best = F.lit(None)
+    for k, part in enumerate(blocks(places, place, PLACE_BLOCK)):
+        rows = rows.crossJoin(F.broadcast(part.agg(F.collect_list(F.struct(*places.columns)).alias(f"_places{k}"))))
+        scored = F.transform(f"_places{k}", lambda p: F.struct(distance(p).alias("km"), p[place].alias("place")))
+        scored = F.filter(scored, lambda p: p["km"].isNotNull())
+        best = F.slice(F.sort_array(scored if k == 0 else F.concat(best, scored)), 1, top)
+    hits = rows.withColumn("_best", best).select("_point", F.posexplode("_best").alias("_pos", "_hit")).select("_point.*", "_pos", "_hit")
+    return hits.select(*points.columns, (F.col("_pos") + 1).alias("rank"), F.col("_hit.place").alias(place), F.col("_hit.km").alias("km"))
 
 
 def clusters(points: DataFrame, key: str, metres: float, by: list[str]) -> DataFrame:
     """Density clusters with at least two points: connected components of the graph of points within a distance.
 
     Every point that is not alone is a core point at two points, so the components are the clusters; points alone
-    have a null cluster.  The graph comes from the grid join; the smallest key spreads along edges, and with it the label
-    of the label, until nothing changes.  ``cluster`` is the smallest key of the cluster.
+    have a null cluster.  Points of one cell, whose diagonal is the distance, belong together at once; only cells side by side
+    are compared by points, and the graph has a node per cell.  The smallest label spreads along its edges, and with it the
+    label of the label, until nothing changes.  ``cluster`` is the smallest key of the cluster.
     """
     spark = points.sparkSession
-    slim = points.select(*by, key, "lon", "lat")
-    pairs = radius_join(slim, slim, metres / 1000).where(F.col(f"l.{key}") != F.col(f"r.{key}"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="convoy-"))
+    side = metres / 1000 / spatial.KM_PER_DEGREE / math.sqrt(2) * 0.999
+    # a degree of longitude is nowhere longer than at the equator, so a square of degrees is never wider than one there
+    cell = [F.floor(F.col("lon") / side).alias("_cx"), F.floor(F.col("lat") / side).alias("_cy")]
+    placed = points.where(spatial.valid_point(F.col("lon"), F.col("lat"))).select(*by, key, "lon", "lat", *cell)
+    home = [*by, "_cx", "_cy"]
+    cells = placed.groupBy(*home).agg(F.min(key).alias("_cell"), F.count("*").alias("_n")).checkpoint()
+    slim = placed.join(cells.select(*home, "_cell"), home).select(*by, "_cell", "lon", "lat")
+    pairs = radius_join(slim, slim, metres / 1000).where("l._cell <> r._cell")
     for b in by:
         pairs = pairs.where(F.col(f"l.{b}") == F.col(f"r.{b}"))
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="convoy-"))
-    edges = pairs.select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b")).checkpoint()
-    labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+    edges = pairs.select(*[F.col(f"l.{b}").alias(b) for b in by], F.col("l._cell").alias("a"), F.col("r._cell").alias("b")).distinct().checkpoint()
+    labels = edges.groupBy(*by, "a").agg(F.min("b").alias("m")).select(*by, F.col("a").alias("node"), F.least("a", "m").alias("label"))
     while True:
         labels = labels.checkpoint()
-        seen = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        new = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "other").alias("label"), F.col("label").alias("old"))
-        jump = new.join(labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old").checkpoint()
-        labels = jump.select("node", "label")
+        seen = edges.join(labels.select(*by, F.col("node").alias("b"), F.col("label").alias("other")), [*by, "b"]).groupBy(*by, "a").agg(F.min("other").alias("other"))
+        new = labels.join(seen.withColumnRenamed("a", "node"), [*by, "node"]).select(*by, "node", F.least("label", "other").alias("label"), F.col("label").alias("old"))
+        jump = new.join(labels.select(*by, F.col("node").alias("label"), F.col("label").alias("further")), [*by, "label"], "left").select(*by, "node", F.least("label", F.coalesce("further", "label")).alias("label"), "old").checkpoint()
+        labels = jump.select(*by, "node", "label")
         if jump.where("label <> old").isEmpty():
             break
-    return points.join(labels.select(F.col("node").alias(key), F.col("label").alias("cluster")), key, "left")
+    named = cells.join(labels.withColumnRenamed("node", "_cell"), [*by, "_cell"], "left").where("_n > 1 OR label IS NOT NULL")
+    named = named.select(*home, F.coalesce("label", "_cell").alias("cluster"))
+    return points.withColumns({"_cx": F.floor(F.col("lon") / side), "_cy": F.floor(F.col("lat") / side)}).join(named, home, "left").drop("_cx", "_cy")
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from convoy.functions import text
 
 VECTOR_SHARE, WORD_SHARE = 0.7, 0.3
+#: Questions that are broadcast at once (some 3 KB each), and words whose hashes a worker keeps.
+QUESTION_BLOCK, KNOWN_WORDS = 2000, 500_000
 
 
 def chunk_markdown(docs: DataFrame) -> DataFrame:
@@ -59,28 +69,112 @@ def retrieve(chunks: DataFrame, question: str, tenant: str, top: int = 3) -> Dat
     return row.withColumn("score", VECTOR_SHARE * vector + WORD_SHARE * shared).orderBy(F.desc("score"), "chunk_id").limit(top)
 
 
-def retrieve_many(chunks: DataFrame, questions: DataFrame, top: int = 3, by: list[str] | None = None) -> DataFrame:
-    """The best chunks of every question of a table, by joins on hashed words; no pairs without a common word are made.
-
-    chunks: ``tenant_id``, ``chunk_id``, ``text``; questions: ``tenant_id``, ``question_id``, ``text``.
+@dataclass
+class _Questions:
+    """Questions of one tenant: unit vectors (dims x questions), their words' hashes (sorted), which have which word, and their numbers of words."""
+
+    ids: list
+    vectors: np.ndarray
+    words: np.ndarray
+    has: np.ndarray
+    sizes: np.ndarray
+
+
+def _word_hash(words: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.sha256(w.encode()).digest()[:8]) for w in words], np.uint64)
+
+
+def _dense(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """Unit vectors over hashed buckets, one of each of ``n`` rows: the bucket is that of ``embedding_bucket``."""
+    out = np.zeros((n, text.EMBED_DIMS))
+    np.add.at(out, (rows, ((hashes >> np.uint64(48)) % np.uint64(text.EMBED_DIMS)).astype(np.int64)), 1)
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1)
+
+
+def _question_block(rows: list) -> dict[str, _Questions]:
+    out = {}
+    for tenant in sorted({r.tenant_id for r in rows}):
+        own = [r for r in rows if r.tenant_id == tenant]
+        hashes = [_word_hash(r.words) for r in own]
+        at = np.repeat(np.arange(len(own)), [len(h) for h in hashes]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        words, back = np.unique(flat, return_inverse=True)
+        has = np.zeros((len(words), len(own)))
+        has[back, at] = 1
+        out[tenant] = _Questions([r.question_id for r in own], _dense(at, flat, len(own)).T, words, has, np.maximum(has.sum(0), 1))
+    return out
+
+
+def _best(shared, top: int, schema: pa.Schema):
+    """Per task and tenant, the best chunks of every question so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[str, _Questions] = shared.value
+        best: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # rounded scores, scores, ids: some rows x questions
+        known: dict[str, int] = {}
+        for b in batches:
+            tenants = np.array(b.column(0).to_pylist(), object)
+            for tenant, q in asked.items():
+                part = b.filter(pa.array(tenants == tenant))
+                if not part.num_rows:
+                    continue
+                coded = part.column(2).flatten().dictionary_encode()
+                fresh = [w for w in coded.dictionary.to_pylist() if w not in known]
+                if len(known) + len(fresh) > KNOWN_WORDS:
+                    known.clear()
+                    fresh = coded.dictionary.to_pylist()
+                known.update(zip(fresh, _word_hash(fresh).tolist(), strict=True))
+                hashes = np.array([known[w] for w in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64)
+                rows = np.repeat(np.arange(part.num_rows), part.column(2).value_lengths().to_numpy(zero_copy_only=False))
+                cosine = _dense(rows, hashes, part.num_rows) @ q.vectors
+                place = np.minimum(np.searchsorted(q.words, hashes), max(len(q.words) - 1, 0))
+                hit = q.words[place] == hashes if len(q.words) else np.zeros(len(hashes), bool)
+                held = np.zeros((part.num_rows, len(q.words)))
+                held[rows[hit], place[hit]] = 1
+                score = VECTOR_SHARE * cosine + WORD_SHARE * (held @ q.has) / q.sizes
+                rounded = np.where(cosine > 0, np.floor(score * 1e9 + 0.5), -np.inf)  # without a common bucket, a chunk is not found
+                ids = np.array(part.column(1).to_pylist(), object)[:, None].repeat(len(q.ids), 1)
+                before = best.get(tenant)
+                if before is not None:
+                    rounded, score, ids = (np.concatenate(x) for x in zip(before, (rounded, score, ids), strict=True))
+                order = np.unique(ids[:, :1] if before is None else ids, return_inverse=True)[1].reshape(len(ids), -1)
+                first = np.lexsort((np.broadcast_to(order, rounded.shape), -rounded), axis=0)[:top]
+                best[tenant] = tuple(np.take_along_axis(x, first, 0) for x in (rounded, score, ids))
+        for tenant, (rounded, score, ids) in best.items():
+            i, j = np.nonzero(rounded > -np.inf)
+            if len(i):
+                columns = ([tenant] * len(i), [asked[tenant].ids[k] for k in j], ids[i, j].tolist(), score[i, j], rounded[i, j])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def retrieve_many(chunks: DataFrame, questions: DataFrame, top: int = 3) -> DataFrame:
+    """The best chunks of every question of a table, and their rank; a chunk that has no hashed word of a question is not found.
+
+    chunks: ``tenant_id``, ``chunk_id``, ``text``; questions: ``tenant_id``, ``question_id``, ``text``.  Questions are broadcast in
+    blocks; each task keeps the best chunks of every question of its tenant, so chunks are neither paired nor shuffled.
     """
-    left, right, both = ["tenant_id", "question_id"], ["tenant_id", "chunk_id"], ["tenant_id", "question_id", "chunk_id"]
-    asked, held = word_counts(questions, left, "text"), word_counts(chunks, right, "text")
-    meet = vectors_of(asked, left).join(vectors_of(held, right).withColumnRenamed("weight", "w"), ["tenant_id", "bucket"])
-    cosine = meet.groupBy(*both).agg(F.sum(F.col("weight") * F.col("w")).alias("cosine"))
-    shared = asked.select(*left, "t").join(held.select(*right, "t"), ["tenant_id", "t"]).groupBy(*both).agg(F.count("*").alias("shared"))
-    sizes = asked.groupBy(*left).agg(F.count("*").alias("asked"))
-    scored = cosine.join(shared, both, "left").join(sizes, left)
-    scored = scored.withColumn("score", VECTOR_SHARE * F.col("cosine") + WORD_SHARE * F.coalesce("shared", F.lit(0)) / F.greatest("asked", F.lit(1)))
-    order = Window.partitionBy(*left).orderBy(F.desc(F.floor(F.col("score") * 1e9 + 0.5)), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    spark = chunks.sparkSession
+    asked = questions.where("tenant_id IS NOT NULL").select("tenant_id", "question_id", text.tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    number = max(1, -(-asked.count() // QUESTION_BLOCK))
+    held = chunks.where("tenant_id IS NOT NULL").select("tenant_id", "chunk_id", text.tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    schema = T.StructType([asked.schema["tenant_id"], asked.schema["question_id"], held.schema["chunk_id"], T.StructField("score", T.DoubleType()), T.StructField("order", T.DoubleType())])
+    found = None
+    for k in range(number):
+        rows = asked.where(F.pmod(F.xxhash64("tenant_id", "question_id"), F.lit(number)) == k) if number > 1 else asked
+        part = held.mapInArrow(_best(spark.sparkContext.broadcast(_question_block(rows.collect())), top, to_arrow_schema(schema)), schema)
+        found = part if found is None else found.unionByName(part)
+    order = Window.partitionBy("tenant_id", "question_id").orderBy(F.desc("order"), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("order")
 
 
 def answer(found: DataFrame, answer_text: Column) -> DataFrame:
-    """Citations of retrieved chunks beside the guarded answer."""
-    context = F.array_join(F.collect_list("text").over(Window.partitionBy()), " ")
-    reason = text.output_reason(answer_text, context)
-    return found.select(
+    """Citations of the chunks retrieved for one question, which are a few rows, beside the guarded answer."""
+    context = found.agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("_context"))
+    reason = text.output_reason(answer_text, F.col("_context"))
+    return found.crossJoin(F.broadcast(context)).select(
         "source", "section", (F.floor(F.col("score") * 1000 + 0.5) / 1000).alias("score"), text.snippet(F.col("text")).alias("snippet"),
         F.when(reason.isNull(), text.redact(answer_text)).otherwise(F.concat(F.lit("Answer withheld: "), reason)).alias("answer"),
     )

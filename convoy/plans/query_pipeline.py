@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoy.functions import rules
-from convoy.operators import pipeline
+from convoy.operators import pipeline, sinks
+from convoy.operators.access import Engine, Principal
 from convoy.plans.registered import LEVEL, RANK, km, query, up
 
 _KINDS = "CASE kind WHEN 'harsh-brake' THEN 'harsh-braking' WHEN 'idle' THEN 'prolonged-idle' WHEN 'hos-remaining' THEN 'hos-risk' WHEN 'route-adherence' THEN 'route-deviation' WHEN 'panic' THEN 'panic' END"
@@ -119,3 +120,15 @@ def route_adherence(t):
     rows = t.readings.where("kind = 'position'").withColumns({"unit": F.lit("kph"), "attributes": F.create_map(F.lit("a"), F.lit("b"))})
     derived = pipeline.route_adherence(rows, t.corridors).where("kind = 'route-adherence'")
     return derived.groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@query("recent_exceptions", "WITH " + EXCEPTIONS.strip() + " SELECT exception_id, kind, raised_s FROM (SELECT * FROM e WHERE tenant_id = '1' ORDER BY raised_s DESC, exception_id DESC LIMIT 40)")
+def recent_exceptions(t):
+    view = Engine({"exceptions": exceptions_of(t)}).seen_by(Principal("1"))
+    return view.exceptions(limit=40).select("exception_id", "kind", F.unix_timestamp("raised_at").alias("raised_s"))
+
+
+@query("retained_rows", "SELECT telemetry_id, observed_s FROM {telemetry} WHERE observed_s >= 1788877800 + 1800")
+def retained_rows(t):
+    as_of = F.to_timestamp_ntz(F.lit("2026-09-10 15:00:00"))  # 48 hours after the view's thirtieth minute
+    return sinks.retained(t.telemetry, "observed_at", as_of).select("telemetry_id", "observed_s")

@@ -9,6 +9,7 @@ from convoy.functions import rules, text
 from convoy.operators import access, events, exports, retrieval
 from convoy.plans.registered import LEVEL, RANK, query, up
 from convoy.plans.views import severity
+from convoy.streaming import jobs
 
 STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 TOKENS = "list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda t: length(t) > 2 AND NOT list_contains([" + STOP + "], t))"
@@ -231,10 +232,9 @@ def sub_filter(t):
 
 @query("sessions", "WITH g AS (SELECT *, CASE WHEN observed_s - lag(observed_s) OVER w <= 120 THEN 0 ELSE 1 END AS new FROM {telemetry} WINDOW w AS (PARTITION BY tenant_id, driver_id ORDER BY observed_s, seq)), s AS (SELECT *, sum(new) OVER (PARTITION BY tenant_id, driver_id ORDER BY observed_s, seq) AS k FROM g) SELECT driver_id, min(observed_s) AS begins, max(observed_s) AS last, count(*) AS n FROM s GROUP BY tenant_id, driver_id, k")
 def sessions(t):
-    along = Window.partitionBy("tenant_id", "driver_id").orderBy("observed_s", "seq")
-    fresh = F.when(F.col("observed_s") - F.lag("observed_s").over(along) <= 120, 0).otherwise(1)
-    runs = t.telemetry.withColumn("new", fresh).withColumn("k", F.sum("new").over(along))
-    return runs.groupBy("tenant_id", "driver_id", "k").agg(F.min("observed_s").alias("begins"), F.max("observed_s").alias("last"), F.count("*").alias("n")).select("driver_id", "begins", "last", "n")
+    readings = t.telemetry.withColumn("observed_at", F.timestamp_seconds("observed_s"))
+    runs = jobs.sessions(readings, "120 seconds")
+    return runs.select("driver_id", F.unix_seconds("begins").alias("begins"), (F.unix_seconds("ends") - 120).alias("last"), "n")
 
 
 @query("severity_cube", "SELECT district_id, kind, severity, count(*) AS n FROM {telemetry} GROUP BY CUBE (district_id, kind, severity)")

@@ -35,17 +35,22 @@ def _sql(provider: str, key: str, kind: str, value: str, where: str = "true", le
 _MPH = up("value * 1.609344::DOUBLE", 1)
 
 
+def samsara_raw(t):
+    """Raw records of vehicles, one for each event."""
+    engine = F.when(F.col("event_type") == "click", "Idle").otherwise("On")
+    gps = _named(time=F.lit(_AT), latitude=F.lit(30.5), longitude=F.lit(-97.5), speedMilesPerHour="value", headingDegrees=F.lit(10), reverseGeo=_named(formattedLocation=F.lit("x")))
+    harsh = F.when(F.col("event_type") == "error", _named(time=F.lit(_AT), behaviourLabel=F.lit("Harsh"), gForce=F.col("value") / 300))
+    vehicle = _named(id=_key(), name=_key("v"), externalIds=_named(driverId=F.col("user_id").cast("string")), gps=gps, engineStates=_named(time=F.lit(_AT), value=engine), idleMinutes=F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 40), harshEvent=harsh)
+    return _raw(t, "samsara", _named(data=F.array(vehicle)))
+
+
 @query("norm_fanout", " UNION ALL ".join([
     _sql("samsara", "event_id || ':gps'", "position", _MPH),
     _sql("samsara", "event_id || ':idle'", "idle", "CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 40 END", "event_type = 'click'"),
     _sql("samsara", "event_id || ':harsh'", "harsh-brake", "value / 300", "event_type = 'error'"),
 ]))
 def norm_fanout(t):
-    engine = F.when(F.col("event_type") == "click", "Idle").otherwise("On")
-    gps = _named(time=F.lit(_AT), latitude=F.lit(30.5), longitude=F.lit(-97.5), speedMilesPerHour="value", headingDegrees=F.lit(10), reverseGeo=_named(formattedLocation=F.lit("x")))
-    harsh = F.when(F.col("event_type") == "error", _named(time=F.lit(_AT), behaviourLabel=F.lit("Harsh"), gForce=F.col("value") / 300))
-    vehicle = _named(id=_key(), name=_key("v"), externalIds=_named(driverId=F.col("user_id").cast("string")), gps=gps, engineStates=_named(time=F.lit(_AT), value=engine), idleMinutes=F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 40), harshEvent=harsh)
-    return _out(adapters.normalise(_raw(t, "samsara", _named(data=F.array(vehicle))), ("samsara",)))
+    return _out(adapters.normalise(samsara_raw(t), ("samsara",)))
 
 
 @query("norm_passthrough", _sql("geotab", "event_id || ':gps'", "position", "value"))

@@ -8,6 +8,7 @@ from convoy.functions import rules, spatial
 from convoy.operators import exports, pipeline, places
 from convoy.operators.access import Engine, Principal
 from convoy.plans.registered import LEVEL, RANK, km, query, up
+from convoy.sources import fleet
 from convoy.sources.fleet import US_SOUTH
 
 HOME = "{drivers} d JOIN {territories} h USING (district_id)"
@@ -87,11 +88,9 @@ def point_along(t):
 @query("trace_cross", f"WITH {_EDGE_VIEW}, {_ALONG}, s AS (SELECT d.driver_id, c.*, i AS tick, fmod(CAST(d.driver_id AS BIGINT) % 97 / 97.0::DOUBLE + i * 0.03::DOUBLE, 1) * total AS target FROM {{drivers}} d JOIN c ON c.corridor_id = d.district_id || '-0', (SELECT unnest(range(0, 10)) AS i) WHERE d.status = 'driving'), h AS (SELECT *, row_number() OVER (PARTITION BY driver_id, tick ORDER BY pos) AS k FROM s WHERE target <= upto OR pos = last) SELECT driver_id, CAST(tick AS INT) AS tick, {up('ax + (bx - ax) * (target - upto + n) / n', 4)} AS lon, {up('ay + (b_y - ay) * (target - upto + n) / n', 4)} AS lat FROM h WHERE k = 1")
 def trace_cross(t):
     road = t.corridors.where("corridor_id = concat(district_id, '-0')").select("district_id", "path")
-    cars = t.drivers.where("status = 'driving'").join(F.broadcast(road), "district_id")
-    ticks = cars.select("driver_id", "path", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("tick"))
-    share = F.pmod(F.col("driver_id").cast("bigint") % 97 / 97.0 + F.col("tick") * 0.03, F.lit(1.0))
-    p = spatial.point_along(F.col("path"), share)
-    return ticks.select("driver_id", "tick", rules.half_up(p["lon"], 4).alias("lon"), rules.half_up(p["lat"], 4).alias("lat"))
+    cars = t.drivers.where("status = 'driving'").join(F.broadcast(road), "district_id").withColumns({"progress": F.col("driver_id").cast("bigint") % 97 / 97.0, "speed": F.lit(0.03)})
+    rows = fleet.moved(cars.select("driver_id", "path", "progress", "speed"), 10)
+    return rows.select("driver_id", F.col("tick_index").alias("tick"), rules.half_up(F.col("place.lon"), 4).alias("lon"), rules.half_up(F.col("place.lat"), 4).alias("lat"))
 
 
 @query("geojson_point", "SELECT district_id, '{\"type\":\"Point\",\"coordinates\":[' || lon || ',' || lat || ']}' AS shape FROM {territories}")
@@ -105,12 +104,19 @@ def nearest_depot(t):
     return places.nearest_place(spots, t.territories, "seq", "district_id").select("seq", "district_id")
 
 
-@query("knn_corridor", f"SELECT driver_id, CAST(n AS INT) AS rank, district_id, {up('km', 3)} AS km FROM (SELECT d.driver_id, h.district_id, {km('d.lon', 'd.lat', 'h.lon', 'h.lat')} AS km, row_number() OVER (PARTITION BY d.driver_id ORDER BY {km('d.lon', 'd.lat', 'h.lon', 'h.lat')}, h.district_id) AS n FROM {{drivers}} d, {{territories}} h) WHERE n <= 3")
-def knn_corridor(t):
+@query("knn_depot", f"SELECT driver_id, CAST(n AS INT) AS rank, district_id, {up('km', 3)} AS km FROM (SELECT d.driver_id, h.district_id, {km('d.lon', 'd.lat', 'h.lon', 'h.lat')} AS km, row_number() OVER (PARTITION BY d.driver_id ORDER BY {km('d.lon', 'd.lat', 'h.lon', 'h.lat')}, h.district_id) AS n FROM {{drivers}} d, {{territories}} h) WHERE n <= 3")
+def knn_depot(t):
     near = places.nearest_place(t.drivers.select("driver_id", "lon", "lat"), t.territories, "driver_id", "district_id", 3)
     return near.select("driver_id", "rank", "district_id", rules.half_up(F.col("km"), 3).alias("km"))
 
 
+@query("knn_corridor", f"WITH {_EDGE_VIEW}, {_METRES.replace('d.district_id = e.district_id', 'true')}, r AS (SELECT driver_id, corridor_id, {up('sqrt(sq)')} AS metres, row_number() OVER (PARTITION BY driver_id ORDER BY {up('sqrt(sq)')}, corridor_id) AS n FROM m) SELECT driver_id, CAST(n AS INT) AS rank, corridor_id, CAST(metres AS BIGINT) AS metres FROM r WHERE n <= 3")
+def knn_corridor(t):
+    metres = lambda c: spatial.metres_from_path(F.col("lon"), F.col("lat"), c["path"])
+    near = places.nearest_place(t.drivers.select("driver_id", "lon", "lat"), t.corridors.select("corridor_id", "path"), "driver_id", "corridor_id", 3, metres)
+    return near.select("driver_id", "rank", "corridor_id", F.col("km").alias("metres"))
+
+
 _FENCE = "SELECT district_id AS fence_id, lon AS cx, lat AS cy FROM {territories}"
 _CORNERS = ((-0.35, -0.21), (0.41, -0.33), (0.27, 0.37), (-0.13, 0.11))
 

@@ -57,7 +57,6 @@ VIEWS = {
     "drivers": lambda d: "SELECT CAST(c_custkey % 3 AS STRING) AS tenant_id, CAST(c_custkey AS STRING) AS driver_id, c_name AS name, CAST(c_nationkey AS STRING) AS district_id, concat('TRK-', CAST(c_custkey AS STRING)) AS vehicle_id, CASE c_custkey % 4 WHEN 0 THEN 'driving' WHEN 1 THEN 'stopped' WHEN 2 THEN 'on-break' ELSE 'off-duty' END AS status, CAST(c_custkey * 37 % 661 AS INT) AS hos_remaining_minutes, CAST(-110 + (c_nationkey % 5) * 6 AS DOUBLE) + (c_custkey % 201 - 100) * CAST(0.005 AS DOUBLE) AS lon, CAST(28 + floor(c_nationkey / 5) * 4 AS DOUBLE) + (c_custkey * 31 % 201 - 100) * CAST(0.005 AS DOUBLE) AS lat FROM {customer}",
     "telemetry": _telemetry,
     "incidents": lambda d: f"SELECT CAST(o_custkey % 3 AS STRING) AS tenant_id, lpad(CAST(o_orderkey AS STRING), 12, '0') AS incident_id, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'resolved' ELSE 'acknowledged' END AS status, CAST(o_custkey % 25 AS STRING) AS district_id, CASE o_orderkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'info' WHEN 2 THEN 'warning' ELSE 'critical' END AS severity, {d.array('CAST(o_custkey AS STRING)', 'CAST((o_custkey + 3) % 150 AS STRING)', 'CAST((o_custkey + 999999) AS STRING)', 'CAST((o_custkey * 7) % 150 AS STRING)')} AS driver_ids, o_orderdate AS opened_at FROM {{orders}}",
-    "chunks": lambda d: "SELECT lang AS tenant_id, doc_id AS chunk_id, source, text FROM {documents} WHERE doc_id < 200",
 }
 _NAMES = re.compile(r"\{([a-z_]\w*)\}")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoy.functions.text import email_domain
@@ -18,7 +18,7 @@ MEMBERSHIPS = (
     ("acme-freight.com", "acme-freight", ["dispatcher"], "dal"),
     ("safety.acme-freight.com", "acme-freight", ["safety"], None),
     ("northstar-logistics.com", "northstar-logistics", ["viewer"], None),
-    ("meridian.io", "acme-freight", ["admin"], None),
+    ("ops.acme-freight.com", "acme-freight", ["admin"], None),
 )
 
 
@@ -45,3 +45,13 @@ def memberships(spark: SparkSession) -> DataFrame:
 def with_membership(people: DataFrame, members: DataFrame, email: str = "email") -> DataFrame:
     """People with their tenant, roles and district by e-mail domain; null where the domain is unknown."""
     return people.withColumn("email_domain", email_domain(F.col(email))).join(members, "email_domain", "left")
+
+
+def identity_provider(email: Column, members: DataFrame, default: str = "hosted") -> Column:
+    """Which sign-in an address goes to: its carrier's own where the e-mail domain is registered, else the default one.
+
+    members: few rows, read into a literal list.
+    """
+    domains = [r.email_domain for r in members.select("email_domain").collect()]
+    domain = email_domain(email)
+    return F.when(domain.isin(*domains), F.concat(F.lit("carrier:"), domain)).otherwise(default)

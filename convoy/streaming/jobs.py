@@ -7,6 +7,7 @@ late rows, so this one does: a watermark of ``LATE``, beyond which rows are drop
 from __future__ import annotations
 
 import bisect
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -140,14 +141,14 @@ def _kept(rows: DataFrame, newest: object) -> DataFrame:
     return rows.withColumn("_age", age).where(F.col("_age").isNull() | (F.col("_age") <= HELD_SECONDS * 1_000_000)).drop("_age", "joined")
 
 
-def _held(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:
-    """Held exceptions; none where a stream from before they were held goes on."""
+def _written(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame | None:
+    """What an earlier batch wrote; None where a stream from before it did so goes on."""
     try:
         return spark.read.schema(columns).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], columns)
+        return None
 
 
 def current(found: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def ingest(raw: DataFrame, drivers: DataFrame, places: list[tuple[str, float, fl
     """Writer of a stream of raw records: per micro-batch, archive, normalise, judge, detect, and write everything.
 
     A batch that runs again overwrites its own folder, so every table has each row once, except that a batch writes the incidents
-    that it opened or that grew, whole: ``current`` gives each as it is.  Detection goes over the batch's exceptions and those held
+    that it opened or that grew, whole: ``current`` gives each as it is.  Drivers go on from where the batch before left them.  Detection goes over the batch's exceptions and those held
     from earlier ones, which alternate between two folders, so that a batch that runs again finds what it found before.  Records that
     do not parse, readings that cannot be judged and records fetched over an hour before the batch's newest go to folders of their own.
     """
@@ -170,14 +171,16 @@ def ingest(raw: DataFrame, drivers: DataFrame, places: list[tuple[str, float, fl
         batch.persist()
         newest = batch.agg(F.max("fetched_at")).first()[0]
         fresh = batch.where(F.col("fetched_at") >= F.lit(newest) - F.expr("INTERVAL 1 HOUR")) if newest else batch
-        out = pipeline.ingest(fresh, drivers, places, corridors)
+        known = _written(spark, f"{folder}/drivers/batch={number - 1}", drivers.schema) if number else None
+        out = pipeline.ingest(fresh, drivers if known is None else known, places, corridors)
         spot = f"batch={number}"
         batch.withColumns({"dt": F.date_format("fetched_at", "yyyy-MM-dd"), "hh": F.date_format("fetched_at", "HH")}).write.mode("overwrite").partitionBy("tenant_id", "provider", "dt", "hh").json(f"{folder}/raw/{spot}")
         for name in ("telemetry", "quarantined", "drivers", "exceptions"):
             out[name].write.mode("overwrite").parquet(f"{folder}/{name}/{spot}")
         new = spark.read.parquet(f"{folder}/exceptions/{spot}")
         columns = T.StructType([*new.schema.fields, T.StructField("leader_id", T.StringType()), T.StructField("lead_at", T.LongType())])
-        held = _held(spark, f"{folder}/held/{(number - 1) % 2}", columns) if number else spark.createDataFrame([], columns)
+        held = _written(spark, f"{folder}/held/{(number - 1) % 2}", columns) if number else None
+        held = held if held is not None else spark.createDataFrame([], columns)
         rows = correlate(held, new).persist()
         grown = rows.where("joined").select("tenant_id", "leader_id").distinct()
         pipeline.incidents(rows.join(grown, ["tenant_id", "leader_id"], "left_semi"), []).write.mode("overwrite").parquet(f"{folder}/incidents/{spot}")
@@ -208,3 +211,28 @@ def lag_seconds(progress: dict) -> float | None:
     if "max" not in times or "watermark" not in times:
         return None
     return (pd.Timestamp(times["max"]) - pd.Timestamp(times["watermark"])).total_seconds()
+
+
+class Lag(StreamingQueryListener):
+    """Keeps, per query name, how far event time is ahead of the watermark, and the rows and seconds of the last batch; a backlog
+    builds up where a batch takes longer than its trigger allows."""
+
+    def __init__(self) -> None:
+        self.latest: dict[str, dict] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = json.loads(event.progress.json)
+        took = progress.get("durationMs", {}).get("triggerExecution", 0) / 1000
+        self.latest[progress.get("name") or progress["id"]] = {"lag_seconds": lag_seconds(progress), "rows": progress.get("numInputRows", 0), "seconds": took}
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def backlog(landed: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Per tenant and provider, how many landed records no batch has archived yet, and the oldest of them."""
+    left = landed.join(done.select(*keys).distinct(), keys, "left_anti")
+    return left.groupBy("tenant_id", "provider").agg(F.count("*").alias("waiting"), F.min("fetched_at").alias("oldest"))

@@ -82,7 +82,7 @@ def test_an_event_that_spans_batches_is_one_incident(spark, tmp_path):
     def part(begin, end, minutes, names=("road-closure",)):
         rows = []
         for name in names:
-            for provider, payload in fleet.scenario(name):
+            for provider, payload in fleet.scenario(name, fleet.cars(spark)):
                 text = json.dumps(payload | {"data": payload["data"][begin:end]} if "data" in payload else payload)
                 rows.append((TENANT, provider, fleet.EPOCH + timedelta(minutes=minutes), text.replace("T14:30:", f"T14:{30 + minutes}:")))
         return spark.createDataFrame(rows, schema.RAW)
