@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convoy.llm import contamination, jaccard_join, language_id, mixing, sharding, substring_dedup, token_counts, token_files, url_filter, vector_dedup
+from convoy.llm import contamination, jaccard_join, language_id, merkle, mixing, packing, periodic_runs, sharding, substring_dedup, token_counts, token_files, url_filter, vector_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_containment": contamination.op8_containment,
         "op9_hamming_tables": vector_dedup.op9_hamming_tables,
         "op10_byte_network": language_id.op10_byte_network,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_cost_packing": packing.op13_cost_packing,
     }
 
 
@@ -28,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_hierarchical_budgets": mixing.ORACLE_SQL,
         "op8_containment": contamination.ORACLE_SQL,
         "op9_hamming_tables": vector_dedup.ORACLE_SQL,
+        "op11_merkle_manifest": merkle.ORACLE_SQL,
     }
