@@ -1,9 +1,8 @@
-"""Spatial joins and searches: radius, nearest, containment, density clusters."""
+"""Spatial joins and searches: radius, nearest, containment."""
 
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -90,45 +89,6 @@ def nearest_place(points: DataFrame, places: DataFrame, key: str, place: str, to
     return hits.select(*points.columns, (F.col("_pos") + 1).alias("rank"), F.col("_hit.place").alias(place), F.col("_hit.km").alias("km"))
 
 
-def clusters(points: DataFrame, key: str, metres: float, by: list[str]) -> DataFrame:
-    """Density clusters with at least two points: connected components of the graph of points within a distance.
-
-    Every point that is not alone is a core point at two points, so the components are the clusters; points alone
-    have a null cluster.  Points of one cell, whose diagonal is the distance, belong together at once; only cells side by side
-    are compared by points, and the graph has a node per cell.  The smallest label spreads along its edges, and with it the
-    label of the label, until nothing changes.  ``cluster`` is the smallest key of the cluster.
-    """
-    spark = points.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="convoy-"))
-    side = metres / 1000 / spatial.KM_PER_DEGREE / math.sqrt(2) * 0.999
-    # a degree of longitude is nowhere longer than at the equator, so a square of degrees is never wider than one there
-    cell = [F.floor(F.col("lon") / side).alias("_cx"), F.floor(F.col("lat") / side).alias("_cy")]
-    placed = points.where(spatial.valid_point(F.col("lon"), F.col("lat"))).select(*by, key, "lon", "lat", *cell)
-    home = [*by, "_cx", "_cy"]
-    cells = placed.groupBy(*home).agg(F.min(key).alias("_cell"), F.count("*").alias("_n")).checkpoint()
-    slim = placed.join(cells.select(*home, "_cell"), home).select(*by, "_cell", "lon", "lat")
-    pairs = radius_join(slim, slim, metres / 1000).where("l._cell <> r._cell")
-    for b in by:
-        pairs = pairs.where(F.col(f"l.{b}") == F.col(f"r.{b}"))
-    edges = pairs.select(*[F.col(f"l.{b}").alias(b) for b in by], F.col("l._cell").alias("a"), F.col("r._cell").alias("b")).distinct().checkpoint()
-    labels = edges.groupBy(*by, "a").agg(F.min("b").alias("m")).select(*by, F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    while True:
-        labels = labels.checkpoint()
-        seen = edges.join(labels.select(*by, F.col("node").alias("b"), F.col("label").alias("other")), [*by, "b"]).groupBy(*by, "a").agg(F.min("other").alias("other"))
-        new = labels.join(seen.withColumnRenamed("a", "node"), [*by, "node"]).select(*by, "node", F.least("label", "other").alias("label"), F.col("label").alias("old"))
-        jump = new.join(labels.select(*by, F.col("node").alias("label"), F.col("label").alias("further")), [*by, "label"], "left").select(*by, "node", F.least("label", F.coalesce("further", "label")).alias("label"), "old").checkpoint()
-        labels = jump.select(*by, "node", "label")
-        if jump.where("label <> old").isEmpty():
-            break
-    named = cells.join(labels.withColumnRenamed("node", "_cell"), [*by, "_cell"], "left").where("_n > 1 OR label IS NOT NULL")
-    named = named.select(*home, F.coalesce("label", "_cell").alias("cluster"))
-    return points.withColumns({"_cx": F.floor(F.col("lon") / side), "_cy": F.floor(F.col("lat") / side)}).join(named, home, "left").drop("_cx", "_cy")
-
-
 def latest_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return rows.where(F.col("_n") <= n).drop("_n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convoy.functions import rules, spatial
-from convoy.operators import exports, pipeline, places
+from convoy.operators import density, exports, pipeline, places
 from convoy.operators.access import Engine, Principal
 from convoy.plans.registered import LEVEL, RANK, km, query, up
 from convoy.sources import fleet
@@ -161,7 +161,7 @@ def radius_join(t):
 
 @query("dbscan_minpts2", f"WITH RECURSIVE e AS (SELECT a.tenant_id, a.driver_id AS a, b.driver_id AS b FROM {{drivers}} a JOIN {{drivers}} b ON a.tenant_id = b.tenant_id AND a.district_id = b.district_id AND a.driver_id <> b.driver_id AND {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 4), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a), c AS (SELECT node, min(reach) AS cluster FROM r GROUP BY node) SELECT driver_id, cluster FROM {{drivers}} LEFT JOIN c ON driver_id = node")
 def dbscan_minpts2(t):
-    return places.clusters(t.drivers, "driver_id", 4000, ["tenant_id", "district_id"]).select("driver_id", "cluster")
+    return density.clusters(t.drivers, "driver_id", 4000, ["tenant_id", "district_id"]).select("driver_id", "cluster")
 
 
 @query("centroid", f"SELECT district_id, {up('avg(lon)', 6)} AS lon, {up('avg(lat)', 6)} AS lat FROM {{drivers}} GROUP BY district_id")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from convoy.functions import rules, spatial, text
-from convoy.operators import access, exports, pipeline, places
+from convoy.operators import access, density, exports, pipeline, places
 from convoy.operators.access import Principal
 from convoy.sources import fleet
 
@@ -83,7 +83,7 @@ def test_fold_equals_the_greedy_loop(spark, seed):
 def test_clusters_are_components(spark):
     rows = [("a", 0.0, 0.0), ("b", 0.0, 0.009), ("c", 0.0, 0.018), ("z", 1.0, 1.0), ("y", 1.0, 1.005), ("n", 5.0, 5.0)]
     df = spark.createDataFrame(rows, "k string, lon double, lat double").withColumn("t", F.lit(1))
-    got = {r.k: r.cluster for r in places.clusters(df, "k", 1100, ["t"]).collect()}
+    got = {r.k: r.cluster for r in density.clusters(df, "k", 1100, ["t"]).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y", "n": None}
 
 
