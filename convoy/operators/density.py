@@ -16,12 +16,12 @@ million points cost anywhere else.
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoy.functions import spatial
+from convoy.operators.stored import stored
 
 #: Pairs of points up to which two boxes are compared point by point.
 FEW = 256
@@ -31,15 +31,6 @@ PARTS = 4
 SLACK = 1e-9
 
 
-def _shared_folder(points: DataFrame) -> None:
-    spark = points.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="convoy-"))
-
-
 class Grid:
     """Rows of equal height, each cut into columns that are no wider than high at its edge nearer to the equator."""
 
@@ -61,24 +52,24 @@ class Grid:
         n = self.columns(row)
         return F.least(F.floor((lon + 180) / 360 * n), n - 1)
 
-    def around(self, row: Column, box: Column) -> Column:
-        """Cells (row and column) in this and the next two rows that may hold points within reach of a box."""
+    def around(self, row: Column, box: Column, first: int = 0) -> Column:
+        """Cells (row and column) in the rows from ``first`` to two on that may hold points within reach of a box."""
         high = F.greatest(F.abs(box["south"]), F.abs(box["north"]))
         wide = F.when(F.radians(high) + self.reach >= math.pi / 2 - SLACK, 360.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(self.reach) / F.cos(F.radians(high))))))
 
         def cells(step: int) -> Column:
             n = self.columns(row + step)
-            first, last = F.floor((box["west"] - wide + 180) / 360 * n), F.floor((box["east"] + wide + 180) / 360 * n)
-            return F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda c: F.struct((row + step).alias("row"), F.pmod(c, n).alias("col")))
+            west, east = F.floor((box["west"] - wide + 180) / 360 * n), F.floor((box["east"] + wide + 180) / 360 * n)
+            return F.transform(F.sequence(west, F.least(east, west + n - 1)), lambda c: F.struct((row + step).alias("row"), F.pmod(c, n).alias("col")))
 
-        return F.concat(*[cells(k) for k in range(3)])
+        return F.concat(*[cells(k) for k in range(first, 3)])
 
 
-def _box() -> list[Column]:
+def box_of() -> list[Column]:
     return [F.struct(F.min("_lon").alias("west"), F.min("_lat").alias("south"), F.max("_lon").alias("east"), F.max("_lat").alias("north")).alias("box"), F.count("*").alias("n")]
 
 
-def _bounds(a: Column, b: Column) -> tuple[Column, Column]:
+def bounds(a: Column, b: Column) -> tuple[Column, Column]:
     """Distances in km that no pair of points of two boxes is below, or above."""
     straight, round_ = F.greatest(a["east"], b["east"]) - F.least(a["west"], b["west"]), 360 - F.abs(a["west"] - b["west"])
     apart = F.greatest(F.lit(0.0), F.least(F.greatest(a["west"] - b["east"], b["west"] - a["east"]), 360 - straight))
@@ -94,7 +85,7 @@ def _bounds(a: Column, b: Column) -> tuple[Column, Column]:
 
 def _judged(pairs: DataFrame, km: float) -> DataFrame:
     """Pairs of boxes (structs a and b with box and n) that are not far apart, with ``near``: true if wholly within the distance, null if open."""
-    low, high = _bounds(F.col("a.box"), F.col("b.box"))
+    low, high = bounds(F.col("a.box"), F.col("b.box"))
     point = lambda x: (F.col(f"{x}.box.west") == F.col(f"{x}.box.east")) & (F.col(f"{x}.box.south") == F.col(f"{x}.box.north"))
     exact = spatial.haversine_km(F.col("a.box.west"), F.col("a.box.south"), F.col("b.box.west"), F.col("b.box.south")) <= km
     near = F.when(point("a") & point("b"), exact).when(high <= km * (1 - SLACK), True).when(low > km * (1 + SLACK), False)
@@ -108,7 +99,7 @@ def _links(pairs: DataFrame, inside: DataFrame, km: float) -> DataFrame:
     pairs: l, r, ``both`` (two whole cells), structs a and b (x, y, box, n).  inside: ``site``, ``_lon``, ``_lat`` and ``_u``, ``_v``, the place in the cell as shares."""
     at = lambda level: {"_x": F.floor(F.col("_u") * PARTS**level).cast("long"), "_y": F.floor(F.col("_v") * PARTS**level).cast("long")}
     level, out = 0, []
-    todo = _judged(pairs, km).checkpoint()
+    todo = stored(_judged(pairs, km), "pairs")
     while True:
         out.append(todo.where("near").select("l", "r", F.col("b.n").alias("n")))
         rest = todo.where("near IS NULL")
@@ -128,10 +119,10 @@ def _links(pairs: DataFrame, inside: DataFrame, km: float) -> DataFrame:
             break
         level += 1
         used = rest.select(F.col("l").alias("site")).unionByName(rest.select(F.col("r").alias("site"))).distinct()
-        nodes = inside.join(used, "site", "left_semi").withColumns(at(level)).groupBy("site", "_x", "_y").agg(*_box()).checkpoint()
+        nodes = stored(inside.join(used, "site", "left_semi").withColumns(at(level)).groupBy("site", "_x", "_y").agg(*box_of()), "boxes")
         child = lambda side: nodes.select(F.col("site").alias(f"_{side}site"), F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"), "box", "n").alias(f"_{side}"), F.expr(f"_x div {PARTS}").alias(f"_{side}_x"), F.expr(f"_y div {PARTS}").alias(f"_{side}_y"))  # noqa: B023, E731
         cut = rest.join(child("a"), meet("a", "l")).join(child("b"), meet("b", "r")).select("l", "r", "both", F.col("_a").alias("a"), F.col("_b").alias("b"))
-        todo = _judged(cut, km).checkpoint()
+        todo = stored(_judged(cut, km), "pairs")
     total = out[0]
     for part in out[1:]:
         total = total.unionByName(part)
@@ -142,16 +133,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node`` and ``label``, the smallest node that edges lead to; nodes: ``node``; edges: ``a``, ``b``, both ways.
 
     The smallest label spreads along the edges, and with it the label of the label, until nothing changes."""
-    edges = edges.checkpoint()
-    labels = nodes.join(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")), "node", "left").select("node", F.least("node", "m").alias("label"))
-    while True:
-        labels = labels.checkpoint()
+    edges = stored(edges, "edges")
+    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    moved = not labels.isEmpty()
+    while moved:
         seen = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        new = labels.join(seen, "node", "left").select("node", F.least("label", "other").alias("label"), F.col("label").alias("old"))
-        jump = new.join(labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left").select("node", F.least("label", "further").alias("label"), "old").checkpoint()
-        labels = jump.select("node", "label")
-        if jump.where("label <> old").isEmpty():
-            return labels
+        new = labels.join(seen, "node").select("node", F.least("label", "other").alias("label"), F.col("label").alias("old"))
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        jump = stored(new.join(further, "label").select("node", F.least("label", "further").alias("label"), "old"), "labels")
+        moved, labels = not jump.where("label <> old").isEmpty(), jump.select("node", "label")
+    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def clusters(points: DataFrame, key: str, metres: float, by: list[str], min_points: int = 2) -> DataFrame:
@@ -161,14 +152,14 @@ def clusters(points: DataFrame, key: str, metres: float, by: list[str], min_poin
     the distance of each other share a cluster; others join that of the core points around them, of several the one with the
     smallest key.  Keys are unique within ``by``.  Points that are no places are noise.
     """
-    _shared_folder(points)
     km, grid = metres / 1000, Grid(metres / 1000)
     ok = spatial.valid_point(F.col("lon"), F.col("lat"))
     row = grid.row(F.col("lat"))
     cell = F.when(ok, F.struct(*by, row.alias("row"), grid.column(F.col("lon"), row).alias("col")))
     placed = points.withColumn("_cell", cell)
     slim = placed.where("_cell IS NOT NULL").select("_cell", F.struct(*by, F.col(key).alias("key")).alias("_id"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
-    cells = slim.groupBy("_cell").agg(*_box(), F.min("_id").alias("_first")).withColumn("whole", F.col("n") >= min_points).checkpoint()
+    cells = slim.groupBy("_cell").agg(*box_of(), F.min("_id").alias("_first")).withColumn("whole", F.col("n") >= min_points)
+    cells = stored(cells, "cells")
 
     # the sites of each cell: itself, or its few points
     lone = lambda p: F.struct(p["_id"].alias("site"), F.struct(p["_lon"].alias("west"), p["_lat"].alias("south"), p["_lon"].alias("east"), p["_lat"].alias("north")).alias("box"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("whole"))
@@ -183,7 +174,7 @@ def clusters(points: DataFrame, key: str, metres: float, by: list[str], min_poin
     asked = sites.select("_cell", F.col("box").alias("_box"), F.col("sites").alias("_a"), F.explode(grid.around(F.col("_cell.row"), F.col("box"))).alias("_to"))
     asked = asked.withColumn("_target", target).where("_target > _cell").drop("_to")
     met = asked.join(sites.select(F.col("_cell").alias("_target"), F.col("box").alias("_other"), F.col("sites").alias("_b")), "_target")
-    met = met.where(_bounds(F.col("_box"), F.col("_other"))[0] <= km * (1 + SLACK))
+    met = met.where(bounds(F.col("_box"), F.col("_other"))[0] <= km * (1 + SLACK))
     two = met.select(F.explode("_a").alias("_a"), "_b").select("_a", F.explode("_b").alias("_b"))
     same = sites.where(F.size("sites") > 1).select(F.explode("sites").alias("_a"), "sites").select("_a", F.explode("sites").alias("_b")).where("_a.site < _b.site")
     two = two.unionByName(same)
@@ -197,13 +188,12 @@ def clusters(points: DataFrame, key: str, metres: float, by: list[str], min_poin
     cellwise = slim.join(cells.select("_cell", "box", "whole", "_first"), "_cell")
     part = lambda v: F.when(F.col("whole"), v).otherwise(0.0)
     inside = cellwise.select(F.when(F.col("whole"), F.col("_first")).otherwise(F.col("_id")).alias("site"), "_lon", "_lat", part(share("_lon", "west", "east")).alias("_u"), part(share("_lat", "south", "north")).alias("_v"))
-    links = _links(pairs, inside, km).checkpoint()
+    links = stored(_links(pairs, inside, km), "links")
 
     each = sites.select(F.explode("sites").alias("s")).select(F.col("s.site").alias("site"), F.col("s.whole").alias("whole"))
     degree = links.select(F.col("l").alias("site"), "n").unionByName(links.select(F.col("r").alias("site"), F.lit(1).cast("long").alias("n"))).groupBy("site").agg(F.sum("n").alias("n"))
     core = each.join(degree, "site", "left").where(F.col("whole") | (F.coalesce("n", F.lit(0)) + 1 >= min_points)).select("site")
-    if min_points > 1:
-        core = core.checkpoint()
+    core = stored(core, "core")
     ways = links.select(F.col("l").alias("a"), F.col("r").alias("b")).unionByName(links.select(F.col("r").alias("a"), F.col("l").alias("b")))
     among = ways.join(core.select(F.col("site").alias("a")), "a", "left_semi").join(core.select(F.col("site").alias("b")), "b", "left_semi")
     labels = components(core.select(F.col("site").alias("node")), among.select("a", "b"))

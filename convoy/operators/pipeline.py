@@ -14,7 +14,9 @@ from pyspark.sql.window import Window
 
 from convoy import schema
 from convoy.functions import rules, spatial, text
+from convoy.operators import density
 from convoy.operators.sizes import blocks
+from convoy.operators.stored import stored
 
 WITH_ORDER = ["tenant_id", "driver_id"]
 
@@ -136,21 +138,56 @@ def _lead(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"exception_id": rows["exception_id"], "leader_id": rows["exception_id"].to_numpy()[out], "seq": seq})
 
 
+#: Rows of a piece from which it is cut in space as well; below, cutting takes longer than what it saves.
+LARGE_PIECE = 20_000
+
+
+def _apart(slim: DataFrame, keys: list[str]) -> DataFrame:
+    """``exception_id`` and ``part``: the part of its piece that it belongs to; rows of different parts can't merge.
+
+    Rows fall into cells of the merge radius across and the merge window long.  Cells are linked where their boxes come within
+    radius and window of each other; what hangs together is a part.
+    """
+    grid, window = density.Grid(schema.MERGE_KM), schema.MERGE_SECONDS * 1_000_000
+    row = grid.row(F.col("lat"))
+    cell = F.struct(*keys, F.expr(f"at div {window}").alias("time"), row.alias("row"), grid.column(F.col("lon"), row).alias("col"))
+    placed = slim.select("exception_id", "at", cell.alias("_cell"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    cells = stored(placed.groupBy("_cell").agg(*density.box_of(), F.min("at").alias("begins"), F.max("at").alias("ends")), "merge-cells")
+    at = F.col("_cell.row")
+    near = F.concat(*[F.transform(grid.around(at, F.col("box"), first), lambda c: F.struct(F.lit(step).alias("step"), c.alias("c"))) for step, first in ((0, 0), (1, -2))])  # noqa: B023
+    asked = cells.select("_cell", "box", "ends", F.explode(near).alias("_to"))
+    target = F.struct(*[F.col(f"_cell.{k}").alias(k) for k in keys], (F.col("_cell.time") + F.col("_to.step")).alias("time"), F.col("_to.c.row").alias("row"), F.col("_to.c.col").alias("col"))
+    asked = asked.withColumn("_target", target).where("_target > _cell")
+    met = asked.join(cells.select(F.col("_cell").alias("_target"), F.col("box").alias("_box"), "begins"), "_target")
+    low, _ = density.bounds(F.col("box"), F.col("_box"))
+    met = met.where((low <= schema.MERGE_KM * (1 + density.SLACK)) & (F.col("begins") - F.col("ends") <= window))
+    ways = met.select(F.col("_cell").alias("a"), F.col("_target").alias("b")).unionByName(met.select(F.col("_target").alias("a"), F.col("_cell").alias("b")))
+    parts = density.components(cells.select(F.col("_cell").alias("node")), ways)
+    return placed.join(parts.select(F.col("node").alias("_cell"), F.col("label").alias("part")), "_cell").select("exception_id", F.xxhash64("part").alias("part"))
+
+
 def merge(exceptions: DataFrame, order: list[str]) -> DataFrame:
     """Exceptions with ``leader_id``, the exception whose incident they belong to.
 
     Location-caused kinds join the first leader of their district within the radius and the window of it; others stand alone.
-    A gap longer than the window ends all leaders, so each tenant's district is cut at gaps and the pieces run apart.
+    A gap longer than the window ends all leaders, so each tenant's district is cut at gaps; large pieces are cut further into
+    parts that are apart in space and time, and pieces and parts run apart.  Exceptions are computed once, and stored.
     order: columns that settle the order of exceptions raised at one moment.
     """
     # a total order as a number within each moment keeps the pieces free of other columns
-    rows = exceptions.withColumn("_at", F.unix_micros(F.col("raised_at").cast("timestamp")))
+    rows = stored(exceptions.withColumn("_at", F.unix_micros(F.col("raised_at").cast("timestamp"))), "exceptions")
     moving = rows.where(F.col("kind").isin(*schema.LOCATION_CAUSED))
     along = Window.partitionBy("tenant_id", "district_id").orderBy("_at", *order)
     gap = (F.col("_at") - F.lag("_at").over(along) > schema.MERGE_SECONDS * 1_000_000).cast("int")
     cut = moving.withColumn("_gap", F.coalesce(gap, F.lit(0))).withColumn("_seq", F.row_number().over(along)).withColumn("_piece", F.sum("_gap").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    slim = cut.select("tenant_id", "district_id", "_piece", "exception_id", F.col("_at").alias("at"), F.col("_seq").cast("long").alias("seq"), F.col("location.lon").alias("lon"), F.col("location.lat").alias("lat"))
-    led = slim.groupBy("tenant_id", "district_id", "_piece").applyInPandas(lambda pdf: _lead(pdf), "exception_id string, leader_id string, seq long")
+    slim = stored(cut.select("tenant_id", "district_id", "_piece", "exception_id", F.col("_at").alias("at"), F.col("_seq").cast("long").alias("seq"), F.col("location.lon").alias("lon"), F.col("location.lat").alias("lat")), "pieces")
+    keys = ["tenant_id", "district_id", "_piece"]
+    large = slim.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE_PIECE)
+    slim = slim.withColumn("part", F.lit(None).cast("long"))
+    if not large.isEmpty():
+        big = slim.join(large.select(*keys), keys, "left_semi").drop("part")
+        slim = slim.join(large.select(*keys), keys, "left_anti").unionByName(big.join(_apart(big, keys), "exception_id").select(*slim.columns))
+    led = slim.groupBy(*keys, "part").applyInPandas(lambda pdf: _lead(pdf), "exception_id string, leader_id string, seq long")
     alone = rows.where(~F.col("kind").isin(*schema.LOCATION_CAUSED)).withColumn("leader_id", F.col("exception_id"))
     return moving.join(led.select("exception_id", "leader_id"), "exception_id").unionByName(alone).drop("_at")
 

@@ -81,3 +81,18 @@ def test_a_full_cell_costs_no_more_than_spread_points(spark):
 
     spread, (full, found) = seconds(20)[0], seconds(0.006)
     assert found == 1 and full < spread
+
+
+def test_a_district_without_gaps_is_merged_in_parts(spark, monkeypatch):
+    from convoy.operators import pipeline
+    from tests.fleet.test_operators import _greedy
+
+    rnd = random.Random(11)
+    spots = [(-97 + rnd.random(), 32 + rnd.random()) for _ in range(25)]
+    rows = sorted(((f"e{k:04d}", x + rnd.gauss(0, 0.02), y + rnd.gauss(0, 0.02), rnd.randrange(0, 20_000)) for k in range(700) for x, y in [rnd.choice(spots)]), key=lambda r: (r[3], r[0]))
+    df = spark.createDataFrame(rows, "exception_id string, x double, y double, s long").select("exception_id", F.lit("t").alias("tenant_id"), F.lit("d").alias("district_id"), F.lit("prolonged-idle").alias("kind"), F.timestamp_seconds("s").alias("raised_at"), F.struct(F.col("x").alias("lon"), F.col("y").alias("lat")).alias("location"))
+    monkeypatch.setattr(pipeline, "LARGE_PIECE", 100)
+    assert {r.exception_id: r.leader_id for r in pipeline.merge(df, ["exception_id"]).collect()} == _greedy(rows)
+    slim = df.select("tenant_id", "district_id", "exception_id", F.unix_micros("raised_at").alias("at"), "location.*")
+    parts = pipeline._apart(slim, ["tenant_id", "district_id"])
+    assert parts.count() == 700 and parts.select("part").distinct().count() > 10
