@@ -130,10 +130,9 @@ def _links(pairs: DataFrame, inside: DataFrame, km: float) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node`` and ``label``, the smallest node that edges lead to; nodes: ``node``; edges: ``a``, ``b``, both ways.
+    """``node`` and ``label``, the smallest node that edges lead to; nodes: ``node``; edges: ``a``, ``b``, both ways, stored.
 
     The smallest label spreads along the edges, and with it the label of the label, until nothing changes."""
-    edges = stored(edges, "edges")
     labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     moved = not labels.isEmpty()
     while moved:
@@ -193,10 +192,14 @@ def clusters(points: DataFrame, key: str, metres: float, by: list[str], min_poin
     each = sites.select(F.explode("sites").alias("s")).select(F.col("s.site").alias("site"), F.col("s.whole").alias("whole"))
     degree = links.select(F.col("l").alias("site"), "n").unionByName(links.select(F.col("r").alias("site"), F.lit(1).cast("long").alias("n"))).groupBy("site").agg(F.sum("n").alias("n"))
     core = each.join(degree, "site", "left").where(F.col("whole") | (F.coalesce("n", F.lit(0)) + 1 >= min_points)).select("site")
-    core = stored(core, "core")
+    if min_points > 2:
+        core = stored(core, "core")
     ways = links.select(F.col("l").alias("a"), F.col("r").alias("b")).unionByName(links.select(F.col("r").alias("a"), F.col("l").alias("b")))
-    among = ways.join(core.select(F.col("site").alias("a")), "a", "left_semi").join(core.select(F.col("site").alias("b")), "b", "left_semi")
-    labels = components(core.select(F.col("site").alias("node")), among.select("a", "b"))
+    among = ways  # of two points, both are core where two make a cluster
+    if min_points > 2:
+        among = ways.join(core.select(F.col("site").alias("a")), "a", "left_semi").join(core.select(F.col("site").alias("b")), "b", "left_semi").select("a", "b")
+        among = stored(among, "edges")
+    labels = components(core.select(F.col("site").alias("node")), among)
     if min_points > 2:
         edge = ways.join(core.select(F.col("site").alias("a")), "a", "left_anti").join(labels.select(F.col("node").alias("b"), "label"), "b")
         labels = labels.unionByName(edge.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label")))

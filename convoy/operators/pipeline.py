@@ -14,8 +14,7 @@ from pyspark.sql.window import Window
 
 from convoy import schema
 from convoy.functions import rules, spatial, text
-from convoy.operators import density
-from convoy.operators.sizes import blocks
+from convoy.operators import density, nearest
 from convoy.operators.stored import stored
 
 WITH_ORDER = ["tenant_id", "driver_id"]
@@ -28,28 +27,17 @@ def resolve_territory(readings: DataFrame, places: list[tuple[str, float, float]
     return readings.withColumn("location", F.when(F.col("location").isNotNull(), named))
 
 
-#: Corridors that are gathered into one broadcast array.
-CORRIDOR_BLOCK = 5000
-
-
 def nearest_corridor(points: DataFrame, corridors: DataFrame, lon: Column, lat: Column, district: Column) -> DataFrame:
     """Points with the nearest corridor of their district (all corridors where the district is empty), none without candidates.
 
-    The corridors are a dimension: gathered into an array per district, and for points without one into arrays of bounded
-    size, and folded per row, so that no pairs are made.
+    Points meet a list of corridors that may be their nearest (see ``nearest``) and fold it; no pairs are made.
     """
-    item = F.struct(F.col("corridor_id"), F.col("name"), F.col("path"))
-    known = corridors.where(F.size("path") > 1)
-    lists = known.groupBy("district_id").agg(F.collect_list(item).alias("_own"))
-    parts = list(blocks(known, "corridor_id", CORRIDOR_BLOCK))
-    own = F.broadcast(lists) if len(parts) == 1 else lists
-    rows = points.withColumn("_district", F.nullif(district, F.lit(""))).join(own, F.col("_district") == F.col("district_id"), "left").drop("district_id")
-    every = [f"_all{k}" for k in range(len(parts))]
-    for name, part in zip(every, parts, strict=True):
-        rows = rows.crossJoin(F.broadcast(part.agg(F.collect_list(item).alias(name))))
-    choice = F.when(F.col("_district").isNull(), F.concat(*every) if len(every) > 1 else F.col(every[0])).otherwise(F.col("_own"))
-    best = F.array_min(F.transform(choice, lambda c: F.struct(spatial.metres_from_path(lon, lat, c["path"]).alias("metres"), c["corridor_id"].alias("corridor_id"), c["name"].alias("name"))))
-    return rows.withColumn("nearest", best).where("nearest IS NOT NULL").drop("_district", "_own", *every)
+    # each corridor stands in its district's group and in that of all
+    groups = F.explode(F.array_distinct(F.array(F.col("district_id"), F.lit(""))))
+    known = corridors.where(F.size("path") > 1).select("corridor_id", "name", "path", groups.alias("_of"))
+    rows = nearest.candidates(points, lon, lat, F.coalesce(district, F.lit("")), known, nearest.path_box(F.col("path")), F.col("_of"), 1, nearest.flat_bounds)
+    best = F.array_min(F.transform("_near", lambda c: F.struct(spatial.metres_from_path(lon, lat, c["path"]).alias("metres"), c["corridor_id"].alias("corridor_id"), c["name"].alias("name"))))
+    return rows.withColumn("nearest", best).where("nearest IS NOT NULL").drop("_near")
 
 
 def route_adherence(readings: DataFrame, corridors: DataFrame) -> DataFrame:
@@ -162,7 +150,7 @@ def _apart(slim: DataFrame, keys: list[str]) -> DataFrame:
     low, _ = density.bounds(F.col("box"), F.col("_box"))
     met = met.where((low <= schema.MERGE_KM * (1 + density.SLACK)) & (F.col("begins") - F.col("ends") <= window))
     ways = met.select(F.col("_cell").alias("a"), F.col("_target").alias("b")).unionByName(met.select(F.col("_target").alias("a"), F.col("_cell").alias("b")))
-    parts = density.components(cells.select(F.col("_cell").alias("node")), ways)
+    parts = density.components(cells.select(F.col("_cell").alias("node")), stored(ways, "merge-edges"))
     return placed.join(parts.select(F.col("node").alias("_cell"), F.col("label").alias("part")), "_cell").select("exception_id", F.xxhash64("part").alias("part"))
 
 

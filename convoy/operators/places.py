@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convoy.functions import rules, spatial
-from convoy.operators.sizes import blocks
+from convoy.operators import density, nearest
 
 
 def within_radius(points: DataFrame, lon: Column, lat: Column, km: float, key: str, limit: int | None = 50) -> DataFrame:
@@ -67,25 +67,20 @@ def containing(points: DataFrame, areas: DataFrame, ring: str = "boundary", cell
     return met.where(spatial.in_ring(F.col("lon"), F.col("lat"), F.col(ring))).drop("_px", "_py", "_x", "_y")
 
 
-#: Places that are gathered into one broadcast array.
-PLACE_BLOCK = 5000
+def nearest_place(points: DataFrame, places: DataFrame, key: str, place: str, top: int = 1, km: Callable[[Column], Column] | None = None, path: str | None = None) -> DataFrame:
+    """Points with their nearest places, ties by place id; by great-circle distance, or by what ``km`` makes of a place with a ``path``.
 
-
-def nearest_place(points: DataFrame, places: DataFrame, key: str, place: str, top: int = 1, km: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Points with their nearest places, ties by place id; by great-circle distance, or by what ``km`` makes of a place.
-
-    points: ``key``, ``lon``, ``lat``; places: ``place`` and what ``km`` takes, ``lon`` and ``lat`` as a rule.  Places are a dimension:
-    gathered into broadcast arrays of bounded size and folded per point, so nothing is shuffled and no pairs are made.
+    points: ``key``, ``lon``, ``lat``; places: ``place`` and what ``km`` takes, ``lon`` and ``lat`` as a rule.  Points meet a list of places
+    that may be among their nearest (see ``nearest``), and fold it.
     """
     distance = km or (lambda p: spatial.haversine_km(F.col("lon"), F.col("lat"), p["lon"], p["lat"]))
+    at, bounds = (nearest.path_box(F.col(path)), nearest.flat_bounds) if path else (nearest.box(F.col("lon"), F.col("lat"), F.col("lon"), F.col("lat")), density.bounds)
+    places = places.where(F.size(path) > 1) if path else places  # what has no distance would count as near
     rows = points.select(F.struct(*points.columns).alias("_point"), *points.columns)
-    best = F.lit(None)
-    for k, part in enumerate(blocks(places, place, PLACE_BLOCK)):
-        rows = rows.crossJoin(F.broadcast(part.agg(F.collect_list(F.struct(*places.columns)).alias(f"_places{k}"))))
-        scored = F.transform(f"_places{k}", lambda p: F.struct(distance(p).alias("km"), p[place].alias("place")))
-        scored = F.filter(scored, lambda p: p["km"].isNotNull())
-        best = F.slice(F.sort_array(scored if k == 0 else F.concat(best, scored)), 1, top)
-    hits = rows.withColumn("_best", best).select("_point", F.posexplode("_best").alias("_pos", "_hit")).select("_point.*", "_pos", "_hit")
+    rows = nearest.candidates(rows, F.col("lon"), F.col("lat"), F.lit(""), places, at, F.lit(""), top, bounds)
+    scored = F.transform("_near", lambda p: F.struct(distance(p).alias("km"), p[place].alias("place")))
+    best = F.slice(F.sort_array(F.filter(scored, lambda p: p["km"].isNotNull())), 1, top)
+    hits = rows.select("_point", F.posexplode(best).alias("_pos", "_hit")).select("_point.*", "_pos", "_hit")
     return hits.select(*points.columns, (F.col("_pos") + 1).alias("rank"), F.col("_hit.place").alias(place), F.col("_hit.km").alias("km"))
 
 

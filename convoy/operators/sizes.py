@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +9,3 @@ from pyspark.sql import functions as F
 def small(df: DataFrame, most: int) -> DataFrame:
     """The rows, marked for a broadcast if there are at most so many."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def blocks(df: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
-    """The rows in parts of about ``size``, each small enough to be broadcast."""
-    number = max(1, -(-df.count() // size))
-    for k in range(number):
-        yield df.where(F.pmod(F.xxhash64(key), F.lit(number)) == k) if number > 1 else df

@@ -113,7 +113,7 @@ def knn_depot(t):
 @query("knn_corridor", f"WITH {_EDGE_VIEW}, {_METRES.replace('d.district_id = e.district_id', 'true')}, r AS (SELECT driver_id, corridor_id, {up('sqrt(sq)')} AS metres, row_number() OVER (PARTITION BY driver_id ORDER BY {up('sqrt(sq)')}, corridor_id) AS n FROM m) SELECT driver_id, CAST(n AS INT) AS rank, corridor_id, CAST(metres AS BIGINT) AS metres FROM r WHERE n <= 3")
 def knn_corridor(t):
     metres = lambda c: spatial.metres_from_path(F.col("lon"), F.col("lat"), c["path"])
-    near = places.nearest_place(t.drivers.select("driver_id", "lon", "lat"), t.corridors.select("corridor_id", "path"), "driver_id", "corridor_id", 3, metres)
+    near = places.nearest_place(t.drivers.select("driver_id", "lon", "lat"), t.corridors.select("corridor_id", "path"), "driver_id", "corridor_id", 3, metres, "path")
     return near.select("driver_id", "rank", "corridor_id", F.col("km").alias("metres"))
 
 

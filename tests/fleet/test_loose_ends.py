@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from convoy import schema
 from convoy.functions import text
-from convoy.operators import access, events, exports, pipeline, places, retrieval, sinks, sizes
+from convoy.operators import access, events, exports, nearest, pipeline, places, retrieval, sinks, sizes
 from convoy.operators.access import Engine, Principal
 from convoy.sources import fleet, readers, registry
 from convoy.streaming import jobs
@@ -145,15 +145,15 @@ def test_farthest_of_many_places():
     assert pipeline._farthest([1.0, 1.0], [2.0, 2.0]) == 0
 
 
-def test_blocks_give_what_one_array_gives(spark, monkeypatch):
+def test_the_index_gives_what_one_list_gives(spark, monkeypatch):
     corridors = fleet.corridors(spark)
     points = fleet.drivers(spark, TENANT).select("driver_id", "lon", "lat", F.when(F.col("driver_id") < "drv-1020", F.col("district_id")).alias("at"))
     near = lambda: sorted((r.driver_id, r.nearest.corridor_id, r.nearest.metres) for r in pipeline.nearest_corridor(points, corridors, F.col("lon"), F.col("lat"), F.col("at")).collect())
     depots = fleet.territories(spark, TENANT).select("district_id", "lon", "lat")
     three = lambda: sorted((r.driver_id, r["rank"], r.district_id) for r in places.nearest_place(points, depots, "driver_id", "district_id", 3).collect())
     one = near(), three()
-    monkeypatch.setattr(pipeline, "CORRIDOR_BLOCK", 4)
-    monkeypatch.setattr(places, "PLACE_BLOCK", 2)
+    monkeypatch.setattr(nearest, "FEW", 1)
+    monkeypatch.setattr(nearest, "LIST", 2)
     assert len(one[0]) == 60 and len(one[1]) == 180 and (near(), three()) == one
 
 
@@ -161,7 +161,6 @@ def test_broadcasts_are_counted(spark):
     rows = spark.range(20)
     plan = lambda n: spark.range(5).join(sizes.small(rows, n), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan(20) and "strategy=broadcast" not in plan(19)
-    assert sum(b.count() for b in sizes.blocks(rows, "id", 6)) == 20
     payloads = spark.createDataFrame([(1, ["a"], "open")], "id int, driver_ids array<string>, status string")
     subs = spark.createDataFrame([(1, "a", None), (2, None, "open"), (3, None, "shut")], "sub int, want_driver_ids string, want_status string")
     assert sorted(r.sub for r in events.fan_out(payloads, subs, {"driver_ids": True, "status": False}).collect()) == [1, 2]
