@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoy.llm import words as W
-from convoy.llm.shared import table
+from convoy.llm.shared import settled, table
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Shingles of the items that one pass holds in memory.
@@ -118,10 +118,12 @@ def blocks(items: DataFrame, item: str, text: str) -> Iterator[tuple[pa.Array, p
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document and item found in it: ids, item shingles, shared shingles, containment."""
-    spark = docs.sparkSession
+    """A row for each document and item found in it: ids, item shingles, shared shingles, containment.
+
+    The ids keep their columns' names; where both have the same, the item's is called ``item_`` and that."""
+    spark, named = docs.sparkSession, item if item != key else f"item_{item}"
     kinds = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    schema = f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, n_item_shingles long, n_shared long, containment double"
+    schema = f"`{key}` {kinds[0]}, `{named}` {kinds[1]}, n_item_shingles long, n_shared long, containment double"
     out = None
     for ids, texts in blocks(items, item, item_text):
         index = spark.sparkContext.broadcast(build_index(ids, texts))
@@ -132,7 +134,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                 found = list(search(ix, b.column(1)))
                 row, k, shared = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
                 n = np.diff(ix.first)[k]
-                names = [key, item, "n_item_shingles", "n_shared", "containment"]
+                names = [key, named, "n_item_shingles", "n_shared", "containment"]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), ix.item.take(pa.array(k)), pa.array(n, pa.int64()), pa.array(shared, pa.int64()), pa.array(shared / np.maximum(n, 1))], names)
 
         part = docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
@@ -141,10 +143,13 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents in which no item is found, with all their columns; nothing is shuffled."""
+    """The documents in which no item is found, with all their columns; nothing is shuffled.
+
+    What one block of items leaves is written before the next goes over it, so that a task holds one block's index."""
     spark = docs.sparkSession
     at = docs.columns.index(text)
-    for ids, texts in blocks(items, item, item_text):
+    for number, (ids, texts) in enumerate(blocks(items, item, item_text)):
+        docs = settled(docs, "uncontaminated") if number else docs
         index = spark.sparkContext.broadcast(build_index(ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:

@@ -305,19 +305,20 @@ def least_scores(checked: DataFrame, net: Network | None, text: str = "text", la
     return {v: out.get(v, rest) for v in net.langs}
 
 
-def stands_out(least: dict[str, float]) -> Column:
+def stands_out(least: dict[str, float], added: tuple[str, str] = ("lang_pred", "score")) -> Column:
     """Whether a predicted row reaches the mark of its language."""
-    mark = F.lit(0.0)
-    for name, score in least.items():
-        mark = F.when(F.col("lang_pred") == name, F.lit(score)).otherwise(mark)
-    return (F.col("lang_pred") != "und") & (F.col("score") >= mark)
+    lang, score, mark = F.col(added[0]), F.col(added[1]), F.lit(0.0)
+    for name, value in least.items():
+        mark = F.when(lang == name, F.lit(value)).otherwise(mark)
+    return (lang != "und") & (score >= mark)
 
 
-def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
-    """The rows with ``lang_pred`` and ``score`` behind their columns (which replace any of that name); nothing is shuffled."""
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, net: Network | None, text: str = "text", added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows with the predicted language and its score behind their columns, under the names in ``added`` (which replace
+    any of that name); nothing is shuffled."""
+    docs = docs.drop(*added)
     if net is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.withColumns({added[0]: F.lit("und"), added[1]: F.lit(0.0)})
     shared, name, at = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,10 +331,10 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
             known = letter & (count > 0)
             best = np.where(known, total.argmax(1), len(net_langs))
             score = np.where(known, np.clip(total.max(1) / np.maximum(count, 1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs[best], pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs[best], pa.string()), pa.array(score)], [*b.schema.names, *added])
 
     net_langs = list(net.langs)
-    schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    schema = docs.withColumns({added[0]: F.lit("").cast("string"), added[1]: F.lit(0.0)}).schema
     return docs.mapInArrow(run, schema)
 
 

@@ -3,6 +3,17 @@
 from __future__ import annotations
 
 from convoy.llm import contamination, jaccard_join, language_id, merkle, mixing, packing, periodic_runs, sharding, substring_dedup, token_counts, token_files, url_filter, vector_dedup
+from convoy.llm.shared import usual_batches
+
+
+def with_usual_batches(query):
+    """A query of the rest of the library, run with the settings that the session had before a query of this folder."""
+
+    def run(spark, folder):
+        usual_batches(spark)
+        return query(spark, folder)
+
+    return run
 
 
 def queries() -> dict:

@@ -15,10 +15,25 @@ BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 SPLIT = 16
 
 
+#: What ``small_batches`` sets.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": BATCH_ROWS}
+_BEFORE = "convoy.before."
+
+
 def small_batches(spark: SparkSession) -> None:
-    """From here on the session hands Python batches of bounded rows and bytes, and reads Parquet in batches as small."""
-    for name, value in (("execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("parquet.columnarReaderBatchSize", BATCH_ROWS)):
-        spark.conf.set(f"spark.sql.{name}", str(value))
+    """From here on, until ``usual_batches``, the session hands Python batches of bounded rows and bytes, and reads Parquet in batches as small."""
+    for name, value in SMALL_BATCHES.items():
+        if spark.conf.get(_BEFORE + name, None) is None:
+            spark.conf.set(_BEFORE + name, spark.conf.get(name))
+        spark.conf.set(name, str(value))
+
+
+def usual_batches(spark: SparkSession) -> None:
+    """Puts back what ``small_batches`` has changed."""
+    for name in SMALL_BATCHES:
+        if (before := spark.conf.get(_BEFORE + name, None)) is not None:
+            spark.conf.set(name, before)
+            spark.conf.unset(_BEFORE + name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

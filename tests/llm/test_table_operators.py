@@ -314,6 +314,9 @@ def test_unlearned_languages_go(spark, languages):
     rows += [(1000 + k, text("xx", 100), None) for k in range(40)]
     rows += [(2000 + k, " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(100)), None) for k in range(40)]
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    mine = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit(-5.0), "lang_pred": F.lit("mine")})
+    again = corpus_pipeline.identify_language(spark, mine, "")
+    assert again.columns == mine.columns and {(r.doc_id, r.score, r.lang_pred) for r in again.collect()} == {(k, -5.0, "mine") for k in kept}
     assert len([k for k in kept if k < 1000]) >= 0.98 * 400
     assert len([k for k in kept if 1000 <= k < 2000]) <= 4 and len([k for k in kept if k >= 2000]) <= 4
 

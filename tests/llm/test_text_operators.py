@@ -402,6 +402,13 @@ def test_matches_equal_brute_force(spark, monkeypatch):
         assert sorted((r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in contamination.matches(one, two).collect()) == want
         kept = {r.doc_id for r in contamination.drop_contaminated(one, two).collect()}
         assert kept == {d for d, _ in docs} - {w[0] for w in want}
+    # a task holds one block's index at a time, however many blocks there are
+    monkeypatch.setattr(contamination, "BLOCK_SHINGLES", 30)
+    assert len(list(contamination.blocks(two, "item_id", "text"))) > 5
+    left = contamination.drop_contaminated(one, two)
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and {r.doc_id for r in left.collect()} == kept
+    same = contamination.matches(one, two.withColumnRenamed("item_id", "doc_id"), item="doc_id")
+    assert same.columns[:2] == ["doc_id", "item_doc_id"] and same.count() == len(want)
 
 
 def test_contamination_of_tricky_rows(spark, tricky, nothing):
@@ -415,6 +422,18 @@ def test_contamination_of_tricky_rows(spark, tricky, nothing):
     assert contamination.matches(nothing, items).count() == 0 and contamination.drop_contaminated(tricky, items.where("false")).columns == tricky.columns
 
 
+def test_batches_are_as_before_after_other_queries(spark):
+    from convoy.llm import registry
+
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    shared.usual_batches(spark)
+    before = spark.conf.get(name)
+    shared.small_batches(spark)
+    shared.small_batches(spark)
+    assert spark.conf.get(name) == str(shared.BATCH_ROWS) != before
+    assert registry.with_usual_batches(lambda s, _: s.conf.get(name))(spark, "") == before
+
+
 def test_digest_of_kept_words(spark):
     rows = substring_dedup.remove_repeats(spark.createDataFrame([(1, " a  b\n")], "doc_id long, text string")).select(F.sha2(F.col("kept").cast("binary"), 256)).first()
     assert rows[0] == hashlib.sha256(b"a b").hexdigest()
