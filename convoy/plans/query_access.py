@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convoy.functions import rules
-from convoy.operators import access, places, sinks
+from convoy.operators import access, changes, places, sinks
 from convoy.operators.access import Engine, Principal
 from convoy.plans.registered import LEVEL, RANK, query
 
@@ -215,3 +215,32 @@ def as_of_clock(t):
     both = t.telemetry.where("kind = 'position'").select("tenant_id", "driver_id", "observed_s", "seq").unionByName(clocks, allowMissingColumns=True)
     along = Window.partitionBy("tenant_id", "driver_id").orderBy("observed_s").rangeBetween(Window.unboundedPreceding, 0)
     return both.withColumn("hos", F.last("clock", ignorenulls=True).over(along)).where("seq IS NOT NULL").select("seq", "hos")
+
+
+_N = "CAST(driver_id AS BIGINT)"
+#: Three versions of the drivers' table: rows come, change and go.
+_V0 = f"SELECT driver_id, status, hos_remaining_minutes AS hos FROM {{drivers}} WHERE {_N} % 10 <> 0"
+_V1 = f"SELECT driver_id, CASE WHEN {_N} % 5 = 0 THEN 'off-duty' ELSE status END AS status, hos_remaining_minutes AS hos FROM {{drivers}} WHERE {_N} % 7 <> 0"
+_V2 = f"SELECT driver_id, CASE WHEN {_N} % 5 = 0 THEN 'off-duty' ELSE status END AS status, CASE WHEN {_N} % 3 = 0 THEN CAST(NULL AS INT) ELSE hos_remaining_minutes END AS hos FROM {{drivers}} WHERE {_N} % 11 <> 0"
+
+
+def _versions(t):
+    return [t.spark.sql(v, drivers=t.drivers) for v in (_V0, _V1, _V2)]
+
+
+@query("change_log", f"""
+SELECT driver_id, op, shard, row_number() OVER (PARTITION BY shard ORDER BY driver_id) AS number, was, now FROM (
+    SELECT coalesce(b.driver_id, a.driver_id) AS driver_id, CASE WHEN a.driver_id IS NULL THEN 'insert' WHEN b.driver_id IS NULL THEN 'delete' ELSE 'update' END AS op,
+        CAST(('0x' || substr(sha256('{{"0":"' || coalesce(b.driver_id, a.driver_id) || '"}}'), 1, 8))::BIGINT % 64 AS INT) AS shard, a.status AS was, b.status AS now
+    FROM ({_V0}) a FULL JOIN ({_V1}) b ON a.driver_id = b.driver_id WHERE a.driver_id IS NULL OR b.driver_id IS NULL OR a.status IS DISTINCT FROM b.status OR a.hos IS DISTINCT FROM b.hos)""")
+def change_log(t):
+    before, after, _ = _versions(t)
+    return changes.changes(before, after, ["driver_id"], 1).select("driver_id", "op", "shard", "number", F.col("before.status").alias("was"), F.col("after.status").alias("now"))
+
+
+@query("replayed_table", _V2)
+def replayed_table(t):
+    """The third version, from the first and the changes to the second and third."""
+    first, second, third = _versions(t)
+    log = changes.changes(first, second, ["driver_id"], 1).unionByName(changes.changes(second, third, ["driver_id"], 2))
+    return changes.replay(first, log, ["driver_id"], 2)
