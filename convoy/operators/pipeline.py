@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -240,22 +240,8 @@ def events_of(exceptions: DataFrame, found: DataFrame) -> DataFrame:
     return raised.unionByName(opened)
 
 
-def publish(tables: dict[str, DataFrame], folder: str, mode: str = "overwrite") -> DataFrame:
-    """Writes readings, drivers, exceptions and incidents, then the events that they cause; returns the four counts."""
-    spark = next(iter(tables.values())).sparkSession
-    for name in ("telemetry", "drivers", "exceptions", "incidents"):
-        tables[name].write.mode(mode).parquet(f"{folder}/{name}")
-    stored = {n: spark.read.parquet(f"{folder}/{n}") for n in ("telemetry", "drivers", "exceptions", "incidents")}
-    events_of(stored["exceptions"], stored["incidents"]).write.mode(mode).json(f"{folder}/events")
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("record"), "n") for n, df in stored.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
-
-
 def ingest(raw: DataFrame, drivers: DataFrame, places: list[tuple[str, float, float]], corridors: DataFrame, as_of: Column | None = None) -> dict[str, DataFrame]:
-    """The whole way from raw records to incidents, lazily; tables by name."""
+    """The whole way from raw records to incidents; tables by name, lazy ones, but that merging stores the exceptions."""
     from convoy.operators.sinks import quarantine
     from convoy.sources.adapters import normalise
     from convoy.sources.registry import allowed
@@ -266,3 +252,46 @@ def ingest(raw: DataFrame, drivers: DataFrame, places: list[tuple[str, float, fl
     return {"telemetry": readings, "quarantined": bad, "drivers": fold_drivers(drivers, readings), "exceptions": exceptions, "incidents": detect(exceptions, opened_at=as_of)}
 
 
+class Landing:
+    """Tables written once each and read back by what follows, so that nothing is parsed, judged or merged twice; counts come
+    from the writes themselves."""
+
+    def __init__(self, folder: str, spot: str = ""):
+        self.folder, self.spot = folder, f"/{spot}" if spot else ""
+        self.counts: dict[str, int] = {}
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}{self.spot}"
+
+    def write(self, name: str, df: DataFrame, at: str | None = None) -> DataFrame:
+        """The rows as written, in place of what an earlier try left there; ``at``: another path."""
+        seen, path = Observation(), at or self.path(name)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+        self.counts[name] = seen.get.get("n", 0)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def land(raw: DataFrame, drivers: DataFrame, places: list[tuple[str, float, float]], corridors: DataFrame, to: Landing, as_of: Column | None = None, drivers_at: str | None = None) -> dict[str, DataFrame]:
+    """Raw records to stored readings, rejects, drivers and exceptions, by name; each record is parsed once."""
+    from convoy.operators.sinks import quarantine
+    from convoy.sources.adapters import normalise
+    from convoy.sources.registry import allowed
+
+    seen = Observation()
+    good, bad = quarantine(stored(normalise(allowed(raw)).observe(seen, F.count(F.lit(1)).alias("n")), "parsed"))
+    to.counts["parsed"] = seen.get.get("n", 0)
+    readings = to.write("telemetry", route_adherence(resolve_territory(good, places), corridors))
+    return {
+        "telemetry": readings, "quarantined": to.write("quarantined", bad), "drivers": to.write("drivers", fold_drivers(drivers, readings), drivers_at),
+        "exceptions": to.write("exceptions", evaluate(readings, drivers, as_of)),
+    }
+
+
+def publish(raw: DataFrame, drivers: DataFrame, places: list[tuple[str, float, float]], corridors: DataFrame, folder: str, as_of: Column | None = None) -> DataFrame:
+    """The whole way from raw records to tables: readings, rejects, drivers, exceptions and incidents, then the events that they
+    cause; returns the counts, with that of the readings parsed, which is all that any step has parsed."""
+    to = Landing(folder)
+    tables = land(raw, drivers, places, corridors, to, as_of)
+    found = to.write("incidents", detect(tables["exceptions"], opened_at=as_of))
+    events_of(tables["exceptions"], found).write.mode("overwrite").json(to.path("events"))
+    return raw.sparkSession.createDataFrame(list(to.counts.items()), "record string, n long")

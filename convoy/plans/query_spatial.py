@@ -8,8 +8,7 @@ from convoy.functions import rules, spatial
 from convoy.operators import density, exports, pipeline, places
 from convoy.operators.access import Engine, Principal
 from convoy.plans.registered import LEVEL, RANK, km, query, up
-from convoy.sources import fleet
-from convoy.sources.fleet import US_SOUTH
+from convoy.schema import US_SOUTH
 
 HOME = "{drivers} d JOIN {territories} h USING (district_id)"
 
@@ -89,7 +88,7 @@ def point_along(t):
 def trace_cross(t):
     road = t.corridors.where("corridor_id = concat(district_id, '-0')").select("district_id", "path")
     cars = t.drivers.where("status = 'driving'").join(F.broadcast(road), "district_id").withColumns({"progress": F.col("driver_id").cast("bigint") % 97 / 97.0, "speed": F.lit(0.03)})
-    rows = fleet.moved(cars.select("driver_id", "path", "progress", "speed"), 10)
+    rows = places.moved(cars.select("driver_id", "path", "progress", "speed"), 10)
     return rows.select("driver_id", F.col("tick_index").alias("tick"), rules.half_up(F.col("place.lon"), 4).alias("lon"), rules.half_up(F.col("place.lat"), 4).alias("lat"))
 
 

@@ -69,3 +69,5 @@ TITLES = {
 LOCATION_CAUSED = ("route-deviation", "prolonged-idle", "geofence-breach", "harsh-braking")
 NEEDS_NO_SECOND = ("panic", "hos-risk")
 MERGE_KM, MERGE_SECONDS, CORROBORATE_SECONDS = 3.0, 900, 300
+#: The southern region's ring of lon and lat.
+US_SOUTH = ((-106.0, 25.5), (-93.0, 25.5), (-93.0, 36.5), (-106.0, 36.5), (-106.0, 25.5))

@@ -161,8 +161,9 @@ def ingest(raw: DataFrame, drivers: DataFrame, places: list[tuple[str, float, fl
     """Writer of a stream of raw records: per micro-batch, archive, normalise, judge, detect, and write everything.
 
     A batch that runs again overwrites its own folder, so every table has each row once, except that a batch writes the incidents
-    that it opened or that grew, whole: ``current`` gives each as it is.  Drivers go on from where the batch before left them.  Detection goes over the batch's exceptions and those held
-    from earlier ones, which alternate between two folders, so that a batch that runs again finds what it found before.  Records that
+    that it opened or that grew, whole: ``current`` gives each as it is.  Drivers go on from where the batch before left them, and detection goes over the batch's
+    exceptions and those held from earlier ones; both alternate between two folders, so that a batch that runs again finds what it found
+    before.  Records that
     do not parse, readings that cannot be judged and records fetched over an hour before the batch's newest go to folders of their own.
     """
 
@@ -171,13 +172,11 @@ def ingest(raw: DataFrame, drivers: DataFrame, places: list[tuple[str, float, fl
         batch.persist()
         newest = batch.agg(F.max("fetched_at")).first()[0]
         fresh = batch.where(F.col("fetched_at") >= F.lit(newest) - F.expr("INTERVAL 1 HOUR")) if newest else batch
-        known = _written(spark, f"{folder}/drivers/batch={number - 1}", drivers.schema) if number else None
-        out = pipeline.ingest(fresh, drivers if known is None else known, places, corridors)
+        known = _written(spark, f"{folder}/drivers/{(number - 1) % 2}", drivers.schema) if number else None
         spot = f"batch={number}"
         batch.withColumns({"dt": F.date_format("fetched_at", "yyyy-MM-dd"), "hh": F.date_format("fetched_at", "HH")}).write.mode("overwrite").partitionBy("tenant_id", "provider", "dt", "hh").json(f"{folder}/raw/{spot}")
-        for name in ("telemetry", "quarantined", "drivers", "exceptions"):
-            out[name].write.mode("overwrite").parquet(f"{folder}/{name}/{spot}")
-        new = spark.read.parquet(f"{folder}/exceptions/{spot}")
+        out = pipeline.land(fresh, drivers if known is None else known, places, corridors, pipeline.Landing(folder, spot), drivers_at=f"{folder}/drivers/{number % 2}")
+        new = out["exceptions"]
         columns = T.StructType([*new.schema.fields, T.StructField("leader_id", T.StringType()), T.StructField("lead_at", T.LongType())])
         held = _written(spark, f"{folder}/held/{(number - 1) % 2}", columns) if number else None
         held = held if held is not None else spark.createDataFrame([], columns)

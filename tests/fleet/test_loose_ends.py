@@ -12,7 +12,8 @@ from convoy import schema
 from convoy.functions import text
 from convoy.operators import access, events, exports, nearest, pipeline, places, retrieval, sinks, sizes
 from convoy.operators.access import Engine, Principal
-from convoy.sources import fleet, readers, registry
+from convoy.sources import readers, registry
+from tests.fleet import demo as fleet
 from convoy.streaming import jobs
 
 TENANT = "acme-freight"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from convoy.functions import rules, spatial, text
 from convoy.operators import access, density, exports, pipeline, places
 from convoy.operators.access import Principal
-from convoy.sources import fleet
+from tests.fleet import demo as fleet
 
 
 def one(spark, *columns):

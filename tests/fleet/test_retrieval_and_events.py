@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from convoy.functions import text
 from convoy.operators import access, events, exports, pipeline, retrieval
 from convoy.operators.access import Principal
-from convoy.sources import fleet
+from tests.fleet import demo as fleet
 from convoy.sources.readers import documents
 from convoy.sources.registry import memberships, with_membership
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from convoy.operators import pipeline, sinks
-from convoy.sources import adapters, fleet
+from convoy.sources import adapters
+from tests.fleet import demo as fleet
 
 TENANT = "acme-freight"
 DEPOTS = [(d, lon, lat) for d, _, _, lon, lat in fleet.DISTRICTS]
@@ -91,9 +92,17 @@ def test_spread_of_an_incident(run, spark):
     assert 0 < row.spread_km < 10
 
 
-def test_publish_writes_then_counts(run, tmp_path):
-    counted = {r.record: r.n for r in pipeline.publish(run("panic"), str(tmp_path)).collect()}
-    assert counted == {"telemetry": 1 + 0, "drivers": 60, "exceptions": 1, "incidents": 1}
+def test_publish_parses_once_and_counts_what_it_writes(spark, run, tmp_path):
+    for name in ("panic", "road-closure", "poison-record"):
+        raw, want = fleet.scenario_raw(spark, TENANT, name), run(name)
+        counted = {r.record: r.n for r in pipeline.publish(raw, fleet.drivers(spark, TENANT), DEPOTS, fleet.corridors(spark), f"{tmp_path}/{name}", F.lit(fleet.EPOCH)).collect()}
+        assert {k: v for k, v in counted.items() if k != "parsed"} == {k: df.count() for k, df in want.items()}
+        derived = want["telemetry"].where("kind = 'route-adherence'").count()
+        assert counted["parsed"] == counted["telemetry"] - derived + counted["quarantined"]
+        for k in ("telemetry", "exceptions", "incidents", "drivers"):
+            key = "telemetry_id" if k == "telemetry" else f"{k[:-1]}_id"
+            assert sorted(r[key] for r in spark.read.parquet(f"{tmp_path}/{name}/{k}").collect()) == sorted(r[key] for r in want[k].collect())
+    assert spark.read.json(f"{tmp_path}/panic/events").count() == 2
 
 
 def test_archive_and_history_use_each_rows_hour(spark, tmp_path, run):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convoy import schema
 from convoy.operators import pipeline
-from convoy.sources import fleet
+from tests.fleet import demo as fleet
 from convoy.streaming import jobs
 
 TENANT = "acme-freight"
