@@ -92,15 +92,22 @@ def hybrid_topk(t):
     return found.select(F.col("tenant_id").alias("tenant"), "question_id", "rank", "chunk_id", rules.half_up(F.col("score"), 6).alias("score"))
 
 
-@query("chunk_markdown", """
-WITH d AS (SELECT doc_id, '# Doc ' || doc_id || chr(10) || 'Intro ' || lang || chr(10) || '## First part' || chr(10) || source || chr(10) || '## Empty' || chr(10) || '## Last  Part' || chr(10) || 'n ' || n_chars AS md FROM {documents})
-SELECT doc_id || '.md#overview' AS chunk_id, 'Overview' AS section, 'Doc ' || doc_id AS doc_title, CAST(length('# Doc ' || doc_id || chr(10) || 'Intro ' || lang) AS INT) AS n FROM {documents}
-UNION ALL SELECT doc_id || '.md#first-part', 'First part', 'Doc ' || doc_id, CAST(length('# Doc ' || doc_id || chr(10) || '## First part' || chr(10) || source) AS INT) FROM {documents}
-UNION ALL SELECT doc_id || '.md#last-part', 'Last  Part', 'Doc ' || doc_id, CAST(length('# Doc ' || doc_id || chr(10) || '## Last  Part' || chr(10) || 'n ' || n_chars) AS INT) FROM {documents}""")
+_WHITE = "[ \\t\\n\\x0B\\f\\r]"
+_MARKDOWN = "'# Doc ' || doc_id || chr(10) || text || chr(10) || '## First part' || chr(10) || source || chr(10) || '## Empty' || chr(10) || '## Last  Part' || chr(10) || 'n ' || n_chars"
+
+
+@query("chunk_markdown", f"""
+WITH d AS (SELECT doc_id, string_split_regex({_MARKDOWN}, '(?m)^##\\s+') AS parts FROM {{documents}}),
+p AS (SELECT doc_id, unnest(parts) AS part, unnest(range(0, len(parts))) AS pos FROM d),
+s AS (SELECT doc_id, pos, CASE WHEN pos = 0 THEN 'Overview' ELSE trim(split_part(part, chr(10), 1)) END AS section,
+        regexp_replace(CASE WHEN pos = 0 THEN part WHEN instr(part, chr(10)) > 0 THEN substr(part, instr(part, chr(10)) + 1) ELSE '' END, '^{_WHITE}+|{_WHITE}+$', '', 'g') AS body FROM p),
+c AS (SELECT doc_id || '.md#' || CASE WHEN pos = 0 THEN 'overview' ELSE regexp_replace(lower(section), '\\s+', '-', 'g') END AS chunk_id, section, 'Doc ' || doc_id AS doc_title,
+        CASE WHEN pos = 0 THEN body ELSE '# Doc ' || doc_id || chr(10) || '## ' || section || chr(10) || body END AS chunk FROM s WHERE body <> '')
+SELECT chunk_id, section, doc_title, CAST(length(chunk) AS INT) AS n, sha256(chunk) AS digest FROM c""")
 def chunk_markdown(t):
-    body = F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\nIntro "), "lang", F.lit("\n## First part\n"), "source", F.lit("\n## Empty\n## Last  Part\nn "), F.col("n_chars").cast("string"))
-    docs = t.documents.select(F.col("lang").alias("tenant_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), body.alias("text"))
-    return retrieval.chunk_markdown(docs).select("chunk_id", "section", "doc_title", F.length("text").alias("n"))
+    """The documents' own texts between built headings, cut into sections."""
+    docs = t.documents.select(F.col("lang").alias("tenant_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.expr(_MARKDOWN.replace("chr(10)", "'\\n'")).alias("text"))
+    return retrieval.chunk_markdown(docs).select("chunk_id", "section", "doc_title", F.length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
 @query("redact_pii", f"SELECT doc_id, sha256({REDACT}) AS digest, {REDACT} <> text AS changed FROM {{documents}}")
