@@ -75,6 +75,54 @@ def hot_state(readings: DataFrame, idle_ms: int = 48 * 3600 * 1000, late: str =
     return slim.groupBy("tenant_id", "driver_id").applyInPandasWithState(update, HOT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+OVERLAY = "tenant_id string, driver_id string, probe_id string, observed_at timestamp, lon double, lat double, tick_at timestamp"
+
+
+def overlay(probes: DataFrame, ticks: DataFrame, idle_ms: int = 48 * 3600 * 1000, late: str = LATE) -> DataFrame:
+    """Each probe with its driver's last tick at or before it, by event time: an as-of join of two streams.
+
+    probes: ``tenant_id``, ``driver_id``, ``probe_id``, ``observed_at``; ticks: the same without ``probe_id``, and ``lon``, ``lat``.
+    A probe is answered once the watermark, that of the slower stream, has passed it, so ticks that come late, but within the watermark, count;
+    without a tick its place is null.  Of ticks at one moment the largest place counts.  State per driver: probes that wait, ticks
+    ahead of the watermark and the last one behind it; a driver without ticks for so long is forgotten.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, waiting = map(json.loads, state.get) if state.exists else ([], [])
+        for rows in () if state.hasTimedOut else batches:
+            at = rows["observed_at"].astype("datetime64[us]").astype("int64")
+            for t, probe, lon, lat, is_probe in zip(at.tolist(), rows.probe_id, rows.lon, rows.lat, rows.is_probe, strict=True):
+                if is_probe:
+                    waiting.append([t, probe])
+                elif pd.notna(lon) and pd.notna(lat):
+                    known.append([t, float(lon), float(lat)])
+        known.sort()
+        mark = state.getCurrentWatermarkMs() * 1000
+        due = sorted(w for w in waiting if w[0] <= mark)
+        waiting = [w for w in waiting if w[0] > mark]
+        out = []
+        for t, probe in due:
+            k = bisect.bisect_right(known, t, key=lambda x: x[0]) - 1
+            at, lon, lat = known[k] if k >= 0 else (None, None, None)
+            out.append((key[0], key[1], probe, pd.Timestamp(t, unit="us"), lon, lat, None if at is None else pd.Timestamp(at, unit="us")))
+        known = known[max(0, bisect.bisect_right(known, mark, key=lambda x: x[0]) - 1) :]
+        expires = max([k[0] for k in known], default=mark) // 1000 + idle_ms
+        if not waiting and (not known or expires <= mark // 1000):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps(known), json.dumps(waiting)))
+            state.setTimeoutTimestamp(max(mark // 1000 + 1, min([w[0] // 1000 + 1 for w in waiting] or [expires])))
+        if out:
+            yield pd.DataFrame(out, columns=["tenant_id", "driver_id", "probe_id", "observed_at", "lon", "lat", "tick_at"]).astype({"lon": float, "lat": float, "tick_at": "datetime64[us]"})
+
+    null = F.lit(None)
+    asked = probes.withWatermark("observed_at", late).select("tenant_id", "driver_id", "observed_at", F.col("probe_id").cast("string").alias("probe_id"), null.cast("double").alias("lon"), null.cast("double").alias("lat"), F.lit(True).alias("is_probe"))
+    given = ticks.withWatermark("observed_at", late).select("tenant_id", "driver_id", "observed_at", null.cast("string").alias("probe_id"), "lon", "lat", F.lit(False).alias("is_probe"))
+    both = asked.unionByName(given)
+    return both.groupBy("tenant_id", "driver_id").applyInPandasWithState(update, OVERLAY, "known string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def feed(exceptions: DataFrame, district: str | None = None) -> DataFrame:
     """The live feed of exceptions, of one district where given."""
     return exceptions if district is None else exceptions.where(F.col("district_id") == district)
