@@ -45,3 +45,20 @@ def quarantine(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def retained(df: DataFrame, at: str, as_of: Column, hours: int = 48) -> DataFrame:
     return df.where(F.col(at) >= as_of - F.make_interval(hours=F.lit(hours)))
+
+
+#: Bytes of a row group of a clustered table, before compression: what a point read opens.
+GROUP_BYTES = 4 << 20
+
+
+def clustered(df: DataFrame, keys: list[str], path: str, bloom: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES) -> None:
+    """Writes a table in the order of its keys, in small row groups, so that a read by key opens the few whose range holds it.
+
+    Rows of a range of keys go to a file and are sorted there; where the first key may have very many rows, further keys part them.
+    bloom: other columns that are asked for by value (a secondary index), which get a Bloom filter in each row group.
+    """
+    writer = df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("parquet.block.size", group_bytes)
+    writer = writer.option("parquet.block.size.row.check.min", 100).option("parquet.page.size.row.check.min", 100)
+    for c in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)

@@ -56,3 +56,30 @@ def test_a_version_written_again_replaces_itself_and_readers_open_new_ones_only(
     plan = changes.read(spark, folder, after=1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(version" in plan
     assert changes.changes(two, two, keys, 3).count() == 0
+
+
+def test_a_point_read_opens_the_row_groups_that_may_hold_it(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from convoy.operators import sinks
+
+    rows = spark.range(100_000).select(F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("tenant_id"), F.lpad((F.col("id") * 7919 % 100_003).cast("string"), 6, "0").alias("driver_id"), F.xxhash64("id").alias("ref"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    path = f"{tmp_path}/clustered"
+    sinks.clustered(rows.repartition(7), ["tenant_id", "driver_id"], path, ("ref",), 256 << 10)
+    groups = [(g.num_rows, [(g.column(k).statistics.min, g.column(k).statistics.max) for k in (0, 1)], g.column(2).path_in_schema) for f in glob.glob(f"{path}/*.parquet") for m in [pq.read_metadata(f)] for k in range(m.num_row_groups) for g in [m.row_group(k)]]
+    assert len(groups) > 8 and sum(n for n, *_ in groups) == 100_000
+    one = rows.where("id = 5").first()
+    holds = [n for n, ((a, b), (c, d)), _ in groups if a <= one.tenant_id <= b and c <= one.driver_id <= d]
+    assert len(holds) <= 2  # one, and one that goes over a border between tenants
+
+    def scanned(found):
+        found.collect()
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return leaf.metrics().apply("numOutputRows").value()
+
+    table = spark.read.parquet(path)
+    point = table.where((F.col("tenant_id") == one.tenant_id) & (F.col("driver_id") == one.driver_id))
+    assert point.count() == 1 and scanned(point) <= sum(holds)
+    assert scanned(table.where(F.col("ref") == one.ref)) <= 3 * max(n for n, *_ in groups)  # Bloom filters err rarely
