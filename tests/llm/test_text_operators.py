@@ -170,6 +170,62 @@ def test_languages_of_held_out_texts(spark):
     assert [got[k].lang_pred for k in (1000, 1001, 1002)] == ["und"] * 3 and got[1003].lang_pred == "en"
 
 
+def _plain_scores(net, text):
+    """Mean distribution over the bytes of words with a letter, from a network run byte by byte in plain Python."""
+    import math
+
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    size = language_id.HIDDEN
+    squash = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(d, letters):
+        h, out = [0.0] * size, []
+        for c in letters:
+            fed = [a + b for a, b in zip(p[f"w{d}"][c], p[f"b{d}"], strict=True)]
+            own = [sum(h[i] * p[f"u{d}"][i][j] for i in range(size)) for j in range(3 * size)]
+            z = [squash(fed[j] + own[j]) for j in range(size)]
+            r = [squash(fed[size + j] + own[size + j]) for j in range(size)]
+            n = [math.tanh(fed[2 * size + j] + r[j] * own[2 * size + j]) for j in range(size)]
+            h = [(1 - z[j]) * n[j] + z[j] * h[j] for j in range(size)]
+            out.append(h)
+        return out
+
+    total, count = [0.0] * len(net.langs), 0
+    for word in re.findall(rb"[^\x20\x09-\x0D]+", lower(text).encode()):
+        if not re.search(rb"[A-Za-z\x80-\xff]", word):
+            continue
+        for at in range(0, len(word), language_id.SPAN):
+            span = word[at : at + language_id.SPAN]
+            for f, b in zip(states("f", span), states("b", span[::-1])[::-1], strict=True):
+                raw = [math.exp(sum(v * p["out"][i][c] for i, v in enumerate(f + b)) + p["bias"][c]) for c in range(len(net.langs))]
+                total = [t + x / sum(raw) for t, x in zip(total, raw, strict=True)]
+                count += 1
+    return [t / max(1, count) for t in total], count
+
+
+def test_predictions_equal_a_network_run_byte_by_byte(spark, tricky):
+    net = language_id.Network.fresh(["aa", "bb", "cc"], 8)
+    rows = [(k, t) for k, t in enumerate(["one two", "é ß 12 !!", "x" * 60 + " y", "12 34", "", None, "The THE the\tqu\xa0ick 日本", "a-b c3 ..."])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in language_id.predict(docs, net).collect():
+        scores, count = _plain_scores(net, r.text or "")
+        if count and re.search(r"[^\W\d_]", r.text or ""):
+            assert r.lang_pred == net.langs[int(np.argmax(scores))] and abs(r.score - max(scores)) < 1e-5
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_held_out_documents_of_the_tables(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the supplied tables are not here")
+    found = language_id.op10_byte_network(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
+    right, n = found.agg(F.avg(F.expr("int(lang_pred = lang)")), F.count("*")).first()
+    assert n > 150 and right >= 0.97
+
+
 def test_rare_languages_and_hot_keys_are_learned(spark):
     import random
 
