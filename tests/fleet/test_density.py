@@ -46,9 +46,9 @@ def _scatter(rnd, n, lon, lat, spread):
     return out[:n]
 
 
-@pytest.mark.parametrize(("least", "lon", "lat", "spread"), [(2, -97, 32, 0.3), (4, -97, 32, 0.2), (10, -97, 32, 0.15), (4, 180, 61, 0.3), (3, 10, 89.6, 1.2), (1, 0, 0, 0.2)])
+@pytest.mark.parametrize(("least", "lon", "lat", "spread"), [(2, -97, 32, 0.3), (10, 180, 61, 0.2), (4, 10, 89.6, 1.2)])
 def test_clusters_equal_brute_force(spark, least, lon, lat, spread):
-    rows = _scatter(random.Random(least * 7 + int(lat)), 900, lon, lat, spread)
+    rows = _scatter(random.Random(least * 7 + int(lat)), 600, lon, lat, spread)
     df = spark.createDataFrame(rows, "k string, lon double, lat double").withColumns({"t": F.lit("t"), "cluster_id": F.lit("mine")})
     got = {r.k: r.cluster for r in density.clusters(df, "k", 1100, ["t"], least).collect()}
     want = _dbscan(rows, 1.1, least)
@@ -57,10 +57,9 @@ def test_clusters_equal_brute_force(spark, least, lon, lat, spread):
 
 def test_boxes_that_are_cut_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(density, "FEW", 1)
-    rows = _scatter(random.Random(3), 500, -97, 32, 0.05)
+    rows = _scatter(random.Random(3), 250, -97, 32, 0.05)
     df = spark.createDataFrame(rows, "k string, lon double, lat double")
-    for least in (2, 5):
-        assert {r.k: r.cluster for r in density.clusters(df, "k", 700, [], least).collect()} == _dbscan(rows, 0.7, least)
+    assert {r.k: r.cluster for r in density.clusters(df, "k", 700, [], 5).collect()} == _dbscan(rows, 0.7, 5)
 
 
 def test_groups_stand_apart_and_bad_places_are_noise(spark):
@@ -74,7 +73,7 @@ def test_a_full_cell_costs_no_more_than_spread_points(spark):
     import time
 
     def seconds(span):
-        df = spark.range(200_000).select("id", (F.rand(1) * span).alias("lon"), (F.rand(2) * span).alias("lat"))
+        df = spark.range(100_000).select("id", (F.rand(1) * span).alias("lon"), (F.rand(2) * span).alias("lat"))
         began = time.perf_counter()
         found = density.clusters(df, "id", 1100, [], 4).groupBy("cluster").count().count()
         return time.perf_counter() - began, found
@@ -89,10 +88,10 @@ def test_a_district_without_gaps_is_merged_in_parts(spark, monkeypatch):
 
     rnd = random.Random(11)
     spots = [(-97 + rnd.random(), 32 + rnd.random()) for _ in range(25)]
-    rows = sorted(((f"e{k:04d}", x + rnd.gauss(0, 0.02), y + rnd.gauss(0, 0.02), rnd.randrange(0, 20_000)) for k in range(700) for x, y in [rnd.choice(spots)]), key=lambda r: (r[3], r[0]))
+    rows = sorted(((f"e{k:04d}", x + rnd.gauss(0, 0.02), y + rnd.gauss(0, 0.02), rnd.randrange(0, 20_000)) for k in range(400) for x, y in [rnd.choice(spots)]), key=lambda r: (r[3], r[0]))
     df = spark.createDataFrame(rows, "exception_id string, x double, y double, s long").select("exception_id", F.lit("t").alias("tenant_id"), F.lit("d").alias("district_id"), F.lit("prolonged-idle").alias("kind"), F.timestamp_seconds("s").alias("raised_at"), F.struct(F.col("x").alias("lon"), F.col("y").alias("lat")).alias("location"))
     monkeypatch.setattr(pipeline, "LARGE_PIECE", 100)
     assert {r.exception_id: r.leader_id for r in pipeline.merge(df, ["exception_id"]).collect()} == _greedy(rows)
     slim = df.select("tenant_id", "district_id", "exception_id", F.unix_micros("raised_at").alias("at"), "location.*")
     parts = pipeline._apart(slim, ["tenant_id", "district_id"])
-    assert parts.count() == 700 and parts.select("part").distinct().count() > 10
+    assert parts.count() == 400 and parts.select("part").distinct().count() > 10

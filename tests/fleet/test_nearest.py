@@ -20,7 +20,7 @@ def _spots(rnd, n, lon, lat, spread):
     return out[:n]
 
 
-@pytest.mark.parametrize(("top", "lon", "lat", "spread"), [(1, -97, 32, 8), (3, 179.5, 10, 3), (5, 0, 89, 40)])
+@pytest.mark.parametrize(("top", "lon", "lat", "spread"), [(1, -97, 32, 8), (3, 179.5, 80, 20)])
 def test_nearest_places_equal_comparing_all(spark, monkeypatch, top, lon, lat, spread):
     monkeypatch.setattr(nearest, "LIST", 12)
     rnd = random.Random(top)
