@@ -15,14 +15,14 @@ BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 SPLIT = 16
 
 
-#: What ``small_batches`` sets.
-SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": BATCH_ROWS}
+#: What ``small_batches`` sets: the reader's rows, and the rows and bytes of a batch for Python.
+SETTINGS = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 _BEFORE = "convoy.before."
 
 
 def small_batches(spark: SparkSession) -> None:
     """From here on, until ``usual_batches``, the session hands Python batches of bounded rows and bytes, and reads Parquet in batches as small."""
-    for name, value in SMALL_BATCHES.items():
+    for name, value in zip(SETTINGS, (BATCH_ROWS, BATCH_ROWS, BATCH_BYTES), strict=True):
         if spark.conf.get(_BEFORE + name, None) is None:
             spark.conf.set(_BEFORE + name, spark.conf.get(name))
         spark.conf.set(name, str(value))
@@ -30,7 +30,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def usual_batches(spark: SparkSession) -> None:
     """Puts back what ``small_batches`` has changed."""
-    for name in SMALL_BATCHES:
+    for name in SETTINGS:
         if (before := spark.conf.get(_BEFORE + name, None)) is not None:
             spark.conf.set(name, before)
             spark.conf.unset(_BEFORE + name)

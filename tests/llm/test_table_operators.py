@@ -335,7 +335,7 @@ def test_mixing_budgets_estimated_tokens(spark):
     assert all(level[v] - max(size.values()) < used[v] <= level[v] for v in used)
 
 
-def test_the_registry_names_all_ten():
+def test_the_registry_names_all_thirteen():
     names = sorted(registry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(registry.oracle_sql()) <= set(names)
     assert len(corpus_pipeline.STAGES) == 5 and all(m for m in (contamination, jaccard_join, language_id))
