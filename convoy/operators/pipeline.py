@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from convoy import schema
 from convoy.functions import rules, spatial, text
-from convoy.operators import density, nearest
+from convoy.operators import density, nearest, spread
 from convoy.operators.stored import stored
 
 WITH_ORDER = ["tenant_id", "driver_id"]
@@ -202,35 +202,20 @@ def detect(exceptions: DataFrame, order: list[str] | None = None, opened_at: Col
     return incidents(merge(corroborated(exceptions), keys), [k for k in keys if k != "exception_id"], opened_at)
 
 
-def _farthest(lons: list, lats: list) -> float:
-    """The largest distance between two of some places, in km.
-
-    Two sweeps give a distance that some pair has; a pair that is farther apart has both ends so far from the middle that
-    most places drop out, and only the rest are compared.
-    """
-    lon, lat = np.unique(np.radians(np.array([lons, lats], float)), axis=1)
-    far = lambda i, j: 2 * spatial.EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, np.sin((lat[j] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lon[j] - lon[i]) / 2) ** 2)))
-    every = np.arange(len(lon))
-    end = int(np.argmax(far(0, every)))
-    other = int(np.argmax(far(end, every)))
-    best = float(far(end, other))
-    middle = int(np.argmin(np.maximum(far(end, every), far(other, every))))
-    reach = far(middle, every)
-    rim = every[reach >= best - reach.max() - 1e-9]
-    return max([best, *[float(far(i, rim).max()) for i in rim]])
-
-
 def spread_km(found: DataFrame, drivers: DataFrame) -> DataFrame:
-    """Incidents with the largest distance between two of their drivers, to one decimal; 0 for fewer than two places."""
-    members = found.select("tenant_id", "incident_id", F.explode("driver_ids").alias("driver_id")).join(drivers.select(*WITH_ORDER, "lon", "lat"), WITH_ORDER).where("lon IS NOT NULL AND lat IS NOT NULL")
-    points = members.groupBy("tenant_id", "incident_id").agg(F.collect_list("lon").alias("lons"), F.collect_list("lat").alias("lats"))
-
-    @F.pandas_udf("double")
-    def farthest(lons: pd.Series, lats: pd.Series) -> pd.Series:
-        return pd.Series([_farthest(x, y) for x, y in zip(lons, lats, strict=True)], dtype=float)
+    """Incidents with the largest distance between two of their drivers, to one decimal; 0 for fewer than two places.
 
-    sizes = points.select("tenant_id", "incident_id", F.when(F.size("lons") < 2, F.lit(0.0)).otherwise(rules.half_up(farthest("lons", "lats"), 1)).alias("spread_km"))
-    return found.join(sizes, ["tenant_id", "incident_id"], "left").withColumn("spread_km", F.coalesce("spread_km", F.lit(0.0)))
+    Incidents of many drivers go by extremes and cells; the others' places fit in a row.
+    """
+    found, keys = stored(found, "spread-incidents"), ["tenant_id", "incident_id"]
+    places = drivers.select(*WITH_ORDER, "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL")
+    many = F.size("driver_ids") > spread.WHOLE
+    points = lambda rows: rows.select(*keys, F.explode("driver_ids").alias("driver_id")).join(places, WITH_ORDER)
+    sizes = spread.compared(points(found.where(~many)), keys)
+    if not found.where(many).isEmpty():
+        sizes = sizes.unionByName(spread.largest(points(found.where(many)), keys))
+    sizes = sizes.select(*keys, rules.half_up(F.col("km"), 1).alias("spread_km"))
+    return found.join(sizes, keys, "left").withColumn("spread_km", F.coalesce("spread_km", F.lit(0.0)))
 
 
 def events_of(exceptions: DataFrame, found: DataFrame) -> DataFrame:
