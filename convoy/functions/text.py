@@ -112,7 +112,8 @@ def email_domain(email: Column) -> Column:
 
 
 def b64url(data: Column) -> Column:
-    return F.rtrim(F.translate(F.base64(data.cast("binary")), "+/", "-_"), F.lit("="))
+    """Unpadded and in one line; ``base64`` may break its output after 76 characters."""
+    return F.rtrim(F.translate(F.base64(data.cast("binary")), "+/\r\n", "-_"), F.lit("="))
 
 
 def from_b64url(text: Column) -> Column:

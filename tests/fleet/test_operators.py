@@ -115,6 +115,15 @@ def test_a_limit_of_zero_is_refused(spark):
         access.key_query(fleet.drivers(spark, "t"), F.lit(True), "driver_id", limit=0)
 
 
+@pytest.mark.parametrize("n", [0, 56, 57, 58, 59, 76, 200])
+def test_b64url_of_long_text_is_one_line(spark, n):
+    import base64
+
+    value = ("https://a.example/?>~é" * 20)[:n]
+    coded = text.b64url(F.lit(value))
+    assert tuple(one(spark, coded, text.from_b64url(coded))) == (base64.urlsafe_b64encode(value.encode()).decode().rstrip("="), value)
+
+
 def test_base64url_and_tokens(spark):
     coded = text.b64url(F.lit("a?>b~é"))
     assert tuple(one(spark, text.from_b64url(coded), F.size(text.tokens(F.lit("The map, and 12 ROADS!"))), F.size(text.tokens(F.lit(""))))) == ("a?>b~é", 2, 0)
