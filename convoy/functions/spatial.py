@@ -76,7 +76,8 @@ def metres_from_path(lon: Column, lat: Column, path: Column) -> Column:
         return _let(t, lambda t: (s["ax"] + t * s["dx"]) * (s["ax"] + t * s["dx"]) + (s["ay"] + t * s["dy"]) * (s["ay"] + t * s["dy"]))
 
     squares = _let(up * F.cos(F.radians(lat)), lambda across: F.transform(edges(path), lambda e: _let(flat(e, across), nearest)))
-    return half_up(F.sqrt(F.array_min(squares))).cast("long")
+    # rounding names its argument several times, and a fold inside a lambda would run for each
+    return _let(F.sqrt(F.array_min(squares)), lambda metres: half_up(metres)).cast("long")  # noqa: PLW0108
 
 
 def point_along(path: Column, t: Column) -> Column:

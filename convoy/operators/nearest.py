@@ -20,8 +20,10 @@ from convoy.operators import density
 from convoy.operators.sizes import small
 from convoy.operators.stored import stored
 
-#: Items up to which all are one broadcast list (for each group), and items that a list of the index may have.
-FEW, LIST = 256, 48
+#: Items up to which there is no index, items that a list of the index may have, and those up to which a group of few is one list.
+FEW, LIST, PLAIN = 256, 48, 8
+#: Level of the cells whose lists leave out of few items those that are too far; cells are some 1.4 by 0.7 degrees.
+CELLS = 4
 #: Levels of the pyramid; cells of the lowest are some metres wide.
 DEPTH = 12
 #: Lists up to which they are broadcast.
@@ -95,16 +97,46 @@ def _lists(points: DataFrame, items: DataFrame, item: Column, top: int, bounds:
     return out, levels
 
 
+def _few(rows: DataFrame, points: DataFrame, lon: Column, lat: Column, known: DataFrame, item: Column, top: int, bounds: Bounds) -> DataFrame:
+    """``candidates`` of at most FEW items: a group's list where that is short, else one for each cell that has points.
+
+    rows, points: the same points, to be joined and to be counted, with their group ``_g``.  Points without a valid place share a
+    cell without a box, which keeps all."""
+    groups = known.groupBy("_g").agg(F.collect_list(item).alias("_near"))
+    long = [r["_g"] for r in groups.where(F.size("_near") > PLAIN).select("_g").collect()]
+    if not long:
+        return rows.join(F.broadcast(groups), "_g").drop("_g")
+    shift = 2 * (DEPTH - CELLS)
+
+    def placed(df: DataFrame) -> DataFrame:
+        """With the box of the point, and the cell where the group's list is long."""
+        at = df.withColumn("_box", F.when(F.col("_g").isin(long) & spatial.valid_point(lon, lat), box(lon, lat, lon, lat)))
+        return at.withColumns({f"_q{n}": F.when(F.col("_box").isNotNull(), F.shiftright(c, shift)).otherwise(F.lit(-1)).cast("long") for n, c in zip("xy", _cells(F.col("_box")).values(), strict=True)})
+
+    ends = F.struct(F.min("_box.west").alias("west"), F.min("_box.south").alias("south"), F.max("_box.east").alias("east"), F.max("_box.north").alias("north"))
+    spots = placed(points.where(F.col("_g").isin(long))).groupBy("_g", "_qx", "_qy").agg(ends.alias("_ends"), F.max(F.col("_box").isNotNull()).alias("_valid"))
+    low, high = bounds(F.col("_ends"), F.col("_item_box"))
+    own = Window.partitionBy("_g", "_qx", "_qy")
+    met = spots.join(F.broadcast(known.select("_g", item.alias("_item"), F.col("_box").alias("_item_box"))), "_g")
+    judged = met.withColumns({"low": F.when(F.col("_valid"), low * (1 - density.SLACK)), "high": F.when(F.col("_valid"), high * (1 + density.SLACK))})
+    judged = judged.withColumn("_upto", F.row_number().over(own.orderBy("high"))).withColumn("bound", F.min(F.when(F.col("_upto") >= top, F.col("high"))).over(own))
+    cut = judged.where("bound IS NULL OR low <= bound").groupBy("_g", "_qx", "_qy").agg(F.collect_list("_item").alias("_near"))
+    whole = groups.where(~F.col("_g").isin(long)).select("_g", F.lit(-1).cast("long").alias("_qx"), F.lit(-1).cast("long").alias("_qy"), "_near")
+    lists = small(stored(cut.unionByName(whole), "few-near"), BROADCAST_LISTS)
+    return placed(rows).join(lists, ["_g", "_qx", "_qy"]).drop("_g", "_qx", "_qy", "_box")
+
+
 def candidates(points: DataFrame, lon: Column, lat: Column, group: Column, items: DataFrame, item_box: Column, item_group: Column, top: int = 1, bounds: Bounds = density.bounds) -> DataFrame:
     """Points with ``_near``: items of their group, as structs, the ``top`` nearest among them; points without any are dropped.
 
     bounds: what distances two boxes allow.  A null group has no items."""
     item = F.struct(*items.columns)
     known = items.withColumns({"_g": item_group, "_box": item_box}).where("_g IS NOT NULL AND _box.west IS NOT NULL")
-    rows = points.withColumn("_g", group)
+    # what each point folds costs far more than its row: points of a few files go to all cores
+    spark = points.sparkSession
+    rows = points.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)).withColumn("_g", group)
     if known.limit(FEW + 1).count() <= FEW:
-        lists = known.groupBy("_g").agg(F.collect_list(item).alias("_near"))
-        return rows.join(F.broadcast(lists), "_g").drop("_g")
+        return _few(rows, points.withColumn("_g", group), lon, lat, known, item, top, bounds)
     rows = rows.withColumn("_box", F.when(spatial.valid_point(lon, lat), box(lon, lat, lon, lat))).where("_box IS NOT NULL AND _g IS NOT NULL")
     rows, known = rows.withColumns(_cells(F.col("_box"))), stored(known.withColumns(_cells(F.col("_box"))), "items")
     spots = F.struct(F.min("_box.west").alias("west"), F.min("_box.south").alias("south"), F.max("_box.east").alias("east"), F.max("_box.north").alias("north"))

@@ -62,3 +62,24 @@ def test_nearest_paths_equal_comparing_all(spark, monkeypatch):
     for r in places.nearest_place(points.where("coalesce(at, '') = ''"), roads, "k", "corridor_id", 3, far, "path").orderBy("k", "rank").collect():
         found.setdefault(r.k, []).append((r.km, r.corridor_id))
     assert found == {k: sorted(v)[:3] for k, v in three.items()}
+
+
+def test_few_paths_are_cut_by_cells_and_folded_once(spark):
+    """Groups of many and of one, points without a place; few candidates a point, one fold of each, and points of one file on all cores."""
+    rnd = random.Random(8)
+    rows = [(f"c{k:03d}", f"n{k}", "one" if k == 7 else "many", [(x := rnd.uniform(-110, -80), y := rnd.uniform(25, 45)), (x + 0.2, y + 0.1)]) for k in range(80)]
+    roads = spark.createDataFrame(rows, "corridor_id string, name string, district_id string, path array<struct<lon:double,lat:double>>")
+    spots = [(k, rnd.uniform(-111, -79), rnd.uniform(24, 46), rnd.choice(["one", "many", "", None, "none"])) for k in range(200)]
+    points = spark.createDataFrame([*spots, (900, None, 30.0, "one"), (901, 500.0, 30.0, "many")], "k int, lon double, lat double, at string").coalesce(1)
+    metres = spatial.metres_from_path(F.col("lon"), F.col("lat"), F.col("path"))
+    fits = (F.coalesce("at", F.lit("")) == "") | (F.col("at") == F.col("district_id"))
+    want = {r.k: (r.best.m, r.best.corridor_id) for r in points.crossJoin(roads).where(fits).withColumn("m", metres).groupBy("k").agg(F.min(F.struct("m", "corridor_id")).alias("best")).collect()}
+    near = pipeline.nearest_corridor(points, roads, F.col("lon"), F.col("lat"), F.col("at"))
+    assert {r.k: (r.nearest.metres, r.nearest.corridor_id) for r in near.collect()} == want and len(want) > 150
+    known = roads.select("corridor_id", "path")
+    lists = nearest.candidates(points.where("k < 900"), F.col("lon"), F.col("lat"), F.lit(""), known, nearest.path_box(F.col("path")), F.lit(""), 3, nearest.flat_bounds)
+    sizes = [r[0] for r in lists.select(F.size("_near")).collect()]
+    assert len(sizes) == 200 and min(sizes) >= 3 and sum(sizes) / 200 < 20
+    assert near.rdd.getNumPartitions() > 1
+    plan = near.select("nearest.metres", "nearest.corridor_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min(transform(_near") == 1
