@@ -18,7 +18,9 @@ from convoy.functions import text
 
 VECTOR_SHARE, WORD_SHARE = 0.7, 0.3
 #: Questions that are broadcast at once (some 3 KB each), and words whose hashes a worker keeps.
-QUESTION_BLOCK, KNOWN_WORDS = 2000, 500_000
+QUESTION_BLOCK, KNOWN_WORDS = 2000, 100_000
+#: Chunks that are scored at once, and their words up to which they are (one chunk at least).
+CHUNK_ROWS, CHUNK_WORDS = 256, 200_000
 
 
 def chunk_markdown(docs: DataFrame) -> DataFrame:
@@ -106,6 +108,17 @@ def _question_block(rows: list) -> dict[str, _Questions]:
     return out
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of bounded rows and words, so that what is made of a slice does not grow with the batch."""
+    upto = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    start = 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(upto, upto[start] + CHUNK_WORDS, "right")) - 1
+        end = min(max(end, start + 1), start + CHUNK_ROWS, batch.num_rows)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _best(shared, top: int, schema: pa.Schema):
     """Per task and tenant, the best chunks of every question so far."""
 
@@ -113,7 +126,7 @@ def _best(shared, top: int, schema: pa.Schema):
         asked: dict[str, _Questions] = shared.value
         best: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # rounded scores, scores, ids: some rows x questions
         known: dict[str, int] = {}
-        for b in batches:
+        for b in (piece for whole in batches for piece in _pieces(whole)):
             tenants = np.array(b.column(0).to_pylist(), object)
             for tenant, q in asked.items():
                 part = b.filter(pa.array(tenants == tenant))
@@ -134,12 +147,15 @@ def _best(shared, top: int, schema: pa.Schema):
                 held[rows[hit], place[hit]] = 1
                 score = VECTOR_SHARE * cosine + WORD_SHARE * (held @ q.has) / q.sizes
                 rounded = np.where(cosine > 0, np.floor(score * 1e9 + 0.5), -np.inf)  # without a common bucket, a chunk is not found
-                ids = np.array(part.column(1).to_pylist(), object)[:, None].repeat(len(q.ids), 1)
+                own = np.array(part.column(1).to_pylist(), object)
+                ids = np.broadcast_to(own[:, None], rounded.shape)
                 before = best.get(tenant)
+                old = np.zeros((0, len(q.ids)), object) if before is None else before[2]
+                place = np.unique(np.concatenate([old.ravel(), own]), return_inverse=True)[1]
+                order = np.concatenate([place[: old.size].reshape(old.shape), np.broadcast_to(place[old.size :, None], rounded.shape)])
                 if before is not None:
                     rounded, score, ids = (np.concatenate(x) for x in zip(before, (rounded, score, ids), strict=True))
-                order = np.unique(ids[:, :1] if before is None else ids, return_inverse=True)[1].reshape(len(ids), -1)
-                first = np.lexsort((np.broadcast_to(order, rounded.shape), -rounded), axis=0)[:top]
+                first = np.lexsort((order, -rounded), axis=0)[:top]
                 best[tenant] = tuple(np.take_along_axis(x, first, 0) for x in (rounded, score, ids))
         for tenant, (rounded, score, ids) in best.items():
             i, j = np.nonzero(rounded > -np.inf)

@@ -136,6 +136,19 @@ def test_many_questions_find_what_one_by_one_finds(spark, monkeypatch, block):
     assert all(abs(a[1] - b[1]) < 2e-6 for k in want for a, b in zip(got[k], want[k], strict=True))
 
 
+@pytest.mark.parametrize(("rows", "words"), [(7, 10**9), (10**9, 20), (1000, 10**9)])
+def test_chunks_are_scored_in_bounded_slices(monkeypatch, rows, words):
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieval, "CHUNK_ROWS", rows)
+    monkeypatch.setattr(retrieval, "CHUNK_WORDS", words)
+    lists = [["w"] * (k * 7 % 31) for k in range(100)]
+    batch = pa.RecordBatch.from_pydict({"tenant_id": ["a"] * 100, "chunk_id": list(range(100)), "words": pa.array(lists, pa.list_(pa.string()))}).slice(3)
+    pieces = list(retrieval._pieces(batch))
+    assert [i for p in pieces for i in p.column(1).to_pylist()] == list(range(3, 100))
+    assert all(0 < p.num_rows <= rows and (p.num_rows == 1 or len(p.column(2).flatten()) <= words) for p in pieces)
+
+
 def test_farthest_of_many_places():
     rng = np.random.default_rng(4)
     for n in (2, 3, 50, 400):
