@@ -8,11 +8,10 @@ predicted, with that mean as the score.  As a word's positions depend on the
 word alone, each distinct word runs through the network once per worker, within
 a bounded cache, and every byte of every text still counts.
 
-Training is numpy back-propagation through time with Adam.  It sees the text and
-language of at most ``TRAIN_DOCS`` documents per language, chosen by a hash of
-their ids (the documented bound of the classifier's sample): Spark counts their
-words by language, and each language's most frequent reach the driver,
-``TRAIN_WORDS`` shared out evenly, so that every language with a word is learned.
+Training is numpy back-propagation through time with Adam.  Spark counts the words of
+all labelled documents by language, and each language's most frequent reach the driver
+with their counts, ``TRAIN_WORDS`` shared out evenly, so that every language with a word
+is learned; rarer words are not fitted (the documented bound of the classifier).
 
 Null texts and texts without a letter give ``und`` with score 0, as do all texts
 when nothing labelled is there to learn from.  Null languages are not learned
@@ -37,11 +36,13 @@ from convoy.llm import words as W
 from convoy.llm.shared import settled, table
 
 HIDDEN, SPAN = 16, 24
-TRAIN_DOCS, TRAIN_WORDS, STEPS, BATCH = 400, 24_000, 700, 768
+TRAIN_WORDS, STEPS, BATCH = 24_000, 700, 768
 #: Languages up to which their shares are broadcast.
 BROADCAST_LANGS = 10_000
 #: Share of a language's clean documents that may score below its mark, and the part of the way from chance to it that is asked for.
 LOW_SHARE, LOW_PART = 0.005, 0.9
+#: Steps between 0 and 1 by which scores are counted before those of one step are ranked.
+SCORE_STEPS = 4096
 #: Distinct words whose sums a worker keeps.
 CACHE_WORDS = 400_000
 #: Words that run through the network at once.
@@ -251,21 +252,37 @@ def _chosen(rows: DataFrame, most: int) -> DataFrame:
     return few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("key", "lang", "_n")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """``key``, ``lang`` and ``text``: the least text of rows that share a key and a language; only texts of such rows are shuffled."""
+    repeated = settled(rows.groupBy("key", "lang").count().where("count > 1").select("key", "lang"), "language-repeated")
+    if repeated.isEmpty():
+        return rows
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("key", "lang")]
+    alone = rows.alias("a").join(repeated.alias("b"), same, "left_anti").select("key", "lang", "text")
+    return alone.unionByName(rows.alias("a").join(repeated.alias("b"), same, "left_semi").groupBy("key", "lang").agg(F.min("text").alias("text")))
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
-    """A network fitted on a bounded sample of the rows given; None where nothing is labelled."""
+    """A network fitted on the words of all labelled rows given; None where nothing is labelled."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sample = rows.join(F.broadcast(_chosen(rows, TRAIN_DOCS)), ["key", "lang"]).groupBy("key", "lang").agg(F.min("text").alias("text")).select("text", "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct words of some texts by language, with their numbers."""
         for b in batches:
-            langs = b.column(1)
+            coded = b.column(1).dictionary_encode()
+            own = coded.indices.to_numpy()
             for w in W.words(b.column(0), lower=True):
-                start, end, doc, _ = spans(w)
-                raw = w.data.tobytes()
-                words = [raw[a:z] for a, z in zip(start.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), langs.slice(w.rows.start, w.rows.stop - w.rows.start).take(pa.array(doc))], ["word", "lang"])
-
-    counted = settled(sample.mapInArrow(cut, "word binary, lang string").groupBy("word", "lang").count(), "language-words")
+                start, end, doc, code = spans(w)
+                raw, of = w.data.tobytes(), own[w.rows][doc]
+                for k in np.unique(of):
+                    here = np.flatnonzero(of == k)
+                    _, one, n = np.unique(code[here], return_index=True, return_counts=True)
+                    found = [raw[a:z] for a, z in zip(start[here[one]].tolist(), end[here[one]].tolist(), strict=True)]
+                    langs = pa.array([coded.dictionary[int(k)].as_py()] * len(n), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), langs, pa.array(n.astype(np.int64))], ["word", "lang", "n"])
+
+    words = _once(rows).select("text", "lang").mapInArrow(cut, "word binary, lang string, n long")
+    counted = settled(words.groupBy("word", "lang").agg(F.sum("n").alias("count")), "language-words")
     langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
     if not langs:
         return None
@@ -281,11 +298,35 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def samples(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """A bounded sample of the labelled rows, in the order of ``train``; ``check`` marks a third of each language's, to be kept from training."""
+    """All labelled rows, one of those that share a key and a language; ``check`` marks some third of each language's, by a hash of
+    the key, to be kept from training.  Each language's least key is trained on."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL AND key IS NOT NULL")
-    chosen = _chosen(rows, TRAIN_DOCS * 3 // 2).select("key", "lang", (F.col("_n") % 3 == 0).alias("check"))
-    one = rows.join(F.broadcast(chosen), ["key", "lang"]).groupBy("key", "lang", "check").agg(F.min("text").alias("text"))
-    return one.select(F.col("key").alias(key), F.col("text").alias(text), F.col("lang").alias(lang), "check")
+    least = settled(rows.groupBy("lang").agg(F.min("key").alias("_least")), "language-least")
+    one = _once(rows).join(F.broadcast(least) if least.count() <= BROADCAST_LANGS else least, "lang")
+    check = (F.pmod(F.xxhash64("key"), F.lit(3)) == 0) & (F.col("key") != F.col("_least"))
+    return one.select(F.col("key").alias(key), F.col("text").alias(text), F.col("lang").alias(lang), check.alias("check"))
+
+
+def _low(scores: DataFrame) -> dict[str, float]:
+    """Per language of all ``lang``, ``score`` the score at ``LOW_SHARE`` of them, as numpy's lower quantile: counted by steps, then ranked within one step."""
+    placed = scores.withColumn("step", F.floor(F.col("score") * SCORE_STEPS))
+    steps, wanted = {}, []
+    for r in placed.groupBy("lang", "step").count().collect():
+        steps.setdefault(r.lang, []).append((r.step, r["count"]))
+    for name, parts in steps.items():
+        rank = int(LOW_SHARE * (sum(n for _, n in parts) - 1))
+        for step, n in sorted(parts):
+            if rank < n:
+                wanted.append((name, step, rank))
+                break
+            rank -= n
+    if not wanted:
+        return {}
+    at = scores.sparkSession.createDataFrame(wanted, "lang string, step long, rank long")
+    same = placed.join(F.broadcast(at), ["lang", "step"]).groupBy("lang", "rank", "score").count()
+    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("score"))
+    found = same.withColumn("upto", upto).where("upto > rank").groupBy("lang").agg(F.min("score").alias("score"))
+    return {r.lang: r.score for r in found.collect()}
 
 
 def least_scores(checked: DataFrame, net: Network | None, text: str = "text", lang: str = "lang") -> dict[str, float]:
@@ -297,10 +338,9 @@ def least_scores(checked: DataFrame, net: Network | None, text: str = "text", la
     """
     if net is None:
         return {}
-    chance, scores = 1 / len(net.langs), {}
-    for r in predict(checked.select(text, lang), net, text).where(F.col("lang_pred") == F.col(lang)).select("lang_pred", "score").collect():
-        scores.setdefault(r.lang_pred, []).append(r.score)
-    out = {v: chance + LOW_PART * (float(np.quantile(x, LOW_SHARE, method="lower")) - chance) for v, x in scores.items()}
+    chance = 1 / len(net.langs)
+    right = predict(checked.select(text, lang), net, text).where(F.col("lang_pred") == F.col(lang)).select(F.col("lang_pred").alias("lang"), "score")
+    out = {v: chance + LOW_PART * (x - chance) for v, x in _low(settled(right, "language-scores")).items()}
     rest = min(out.values(), default=chance)
     return {v: out.get(v, rest) for v in net.langs}
 

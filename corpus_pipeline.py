@@ -24,9 +24,9 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those that score less in their language than its held-out documents do."""
-    sample = settled(language_id.samples(docs), "language-sample")
-    net = language_id.train(sample.where("NOT check"))
-    least = language_id.least_scores(sample.where("check"), net)
+    labelled = language_id.samples(docs)
+    net = language_id.train(labelled.where("NOT check"))
+    least = language_id.least_scores(labelled.where("check"), net)
     own = tuple(f"{name}_{uuid.uuid4().hex}" for name in ("lang_pred", "score"))  # names that the documents do not have
     return language_id.predict(docs, net, added=own).where(language_id.stands_out(least, own)).select(*docs.columns)
 

@@ -241,6 +241,22 @@ def test_rare_languages_and_hot_keys_are_learned(spark):
     assert {r.doc_id: r.lang_pred for r in language_id.predict(long, net).collect()} == {1: "en", 2: "xx"}
 
 
+def test_all_labelled_documents_are_counted(spark, monkeypatch):
+    """Every text counts its words, and the marks come from all held-out scores."""
+    seen = {}
+    monkeypatch.setattr(language_id, "fit", lambda langs, words, counts: seen.update(langs=langs, counts=dict(zip(words, counts.tolist(), strict=True))))
+    rows = [(k, "stone river stone", "en") for k in range(900)] + [(k, "fluss", "de") for k in range(700)] + [(5, "stone river", "en"), (6, None, "en"), (7, "none", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    language_id.train(docs)
+    assert seen == {"langs": ["de", "en"], "counts": {b"fluss": [700, 0], b"river": [0, 900], b"stone": [0, 1799]}}
+    split = {(r.lang, r.check): r.n for r in language_id.samples(docs).groupBy("lang", "check").agg(F.count("*").alias("n")).collect()}
+    assert split["en", True] + split["en", False] == 900 and split["de", True] + split["de", False] == 700 and 250 < split["en", True] < 350
+    rng = np.random.default_rng(6)
+    scores = {"en": rng.random(3000).tolist() + [0.001] * 3, "de": (0.9 + rng.random(1700) * 1e-5).tolist(), "xx": [0.4]}
+    got = language_id._low(spark.createDataFrame([(v, x) for v, xs in scores.items() for x in xs], "lang string, score double"))
+    assert got == {v: float(np.quantile(x, language_id.LOW_SHARE, method="lower")) for v, x in scores.items()}
+
+
 def test_nothing_to_learn_from(spark, tricky, nothing):
     assert language_id.train(nothing) is None
     assert {r.lang_pred for r in language_id.predict(tricky, None).collect()} == {"und"}
