@@ -2,6 +2,7 @@
 
 Each stage takes all documents that its predecessor kept, as they were written,
 and returns documents with their columns; the last returns the rows of the files.
+Stages that go to Python set the session's batches themselves, as each may be the first to run.
 ORACLE_SQL is None: no SQL trains the language network or runs the tokenizer's
 library.  tests/llm compares every stage with a brute-force version instead.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoy.llm import contamination, jaccard_join, language_id, mixing, token_files
-from convoy.llm.shared import settled, table
+from convoy.llm.shared import settled, small_batches, table
 
 #: Ids to drop up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
@@ -24,6 +25,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those that score less in their language than its held-out documents do."""
+    small_batches(spark)
     labelled = language_id.samples(docs)
     net = language_id.train(labelled.where("NOT check"))
     least = language_id.least_scores(labelled.where("check"), net)
@@ -33,6 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest document of each similarity component."""
+    small_batches(spark)
     others = settled(jaccard_join.similar_components(docs).where("component_id <> doc_id").select("doc_id").distinct(), "similar")
     few = others.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti").select(*docs.columns)
@@ -52,6 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the documents' ids to indexed files and returns what the files hold."""
+    small_batches(spark)
     return token_files.encode_documents(docs)
 
 

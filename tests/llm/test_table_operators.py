@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from convoy.llm import contamination, jaccard_join, language_id, mixing, registry, sharding, url_filter, vector_dedup
+from convoy.llm import contamination, jaccard_join, language_id, mixing, registry, shared, sharding, token_files, url_filter, vector_dedup
 
 # ---- 1: URL filter
 
@@ -339,3 +339,20 @@ def test_the_registry_names_all_thirteen():
     names = sorted(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(registry.oracle_sql()) <= set(names)
     assert len(corpus_pipeline.STAGES) == 5 and all(m for m in (contamination, jaccard_join, language_id))
+
+
+@pytest.mark.parametrize(("stage", "owner", "step"), [("identify_language", language_id, "samples"), ("drop_similar", jaccard_join, "similar_components"), ("write_tokens", token_files, "encode_documents")])
+def test_stage_run_first_has_small_batches(spark, nothing, monkeypatch, stage, owner, step):
+    """A stage on its own must not hand Python the session's batches of 10,000 rows."""
+
+    class Begun(Exception):
+        pass
+
+    def begin(docs):
+        raise Begun([spark.conf.get(name) for name in shared.SETTINGS])
+
+    shared.usual_batches(spark)
+    monkeypatch.setattr(owner, step, begin)
+    with pytest.raises(Begun) as got:
+        getattr(corpus_pipeline, stage)(spark, nothing, "")
+    assert got.value.args[0] == [str(v) for v in (shared.BATCH_ROWS, shared.BATCH_ROWS, shared.BATCH_BYTES)]
