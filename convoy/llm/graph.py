@@ -4,8 +4,8 @@ Every round hangs each node's neighbours on the smallest node it knows, first
 the larger ones, then the smaller ones; a few rounds leave each node hanging on
 its component's smallest, which is when the edges are stars.  Minima are pre-aggregated; those of hubs, the nodes of
 more than a share of all edges, are so few that they are broadcast, so a hub's
-edges stay where they are and fill no task.  Each round is a table in the shared
-folder.
+edges stay where they are and fill no task.  Each half of a round and its minima are tables in the shared
+folder, as one plan of a whole round would hold every half several times over (648 operators).
 """
 
 from __future__ import annotations
@@ -42,8 +42,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not done:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _with_least(both, least, 2 * count).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        larger = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))  # each node's larger neighbours, as u > v in all pairs
+        large = settled(_with_least(larger, settled(least, "least"), 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = settled(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
         small = _with_least(large, least, 2 * count).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         count, done = _mark(pairs)

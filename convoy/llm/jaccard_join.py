@@ -469,9 +469,10 @@ def _opened(often: DataFrame, asked: DataFrame, members: DataFrame, sketches: Da
     """Near pairs (a, b) of documents and members of the groups that are opened, and of documents that are groups of their own.
 
     Askers and members of an opened group meet block by block.  A cell is what a group has of one size of bit tables.
+    Either kind of pairs is written by a plan of its own.
     """
     lone = members.groupBy("component").agg(F.count("*").alias("k")).where("k = 1").select(F.col("component").alias("doc"))
-    near = _lone_pairs(often, lone, sketches)
+    near = settled(_lone_pairs(often, lone, sketches).distinct(), "lone-pairs")
     if not asked.isEmpty():
         inside = members.join(asked.select(F.col("group").alias("component")).distinct(), "component").select("doc", F.col("component").alias("group"))
         tables = settled(_tables(docs, inside.select("doc").unionByName(asked.select("doc")).distinct()), "bit-tables")
@@ -482,7 +483,8 @@ def _opened(often: DataFrame, asked: DataFrame, members: DataFrame, sketches: Da
         bound = settled(_bounded(asks, settled(_unions(inside), "unions")), "bounded")
         opened = bound.select("cell").distinct()
         held = inside.join(F.broadcast(opened) if opened.count() <= BROADCAST_IDS else opened, "cell").select("cell", "doc", "n", "sketch")
-        near = near.unionByName(_near_in_blocks(split_join(_blocks(held, ["cell"], "y", BLOCK), _blocks(bound, ["cell"], "x", BLOCK // 4), "cell", "y_block"), np.bitwise_or))
+        pairs = _near_in_blocks(split_join(_blocks(held, ["cell"], "y", BLOCK), _blocks(bound, ["cell"], "x", BLOCK // 4), "cell", "y_block"), np.bitwise_or)
+        near = near.unionByName(settled(pairs.distinct(), "opened-pairs"))
     return near.distinct().join(known, ["a", "b"], "left_anti")
 
 

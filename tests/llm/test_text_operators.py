@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from convoy.llm import contamination, jaccard_join, language_id, shared, substring_dedup, token_counts, token_files
+from convoy.llm import contamination, graph, jaccard_join, language_id, shared, substring_dedup, token_counts, token_files
 from convoy.llm.graph import components
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -447,6 +447,42 @@ def test_components_of_a_chain_a_star_and_a_loop(spark):
     assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 150), 100), **dict.fromkeys((200, 201, 202), 200)}
 
 
+def _sizes_of_plans(monkeypatch, module) -> list[int]:
+    """Gets the operators of each plan that the module writes; every line of a plan's text is one."""
+    sizes, own = [], module.settled
+
+    def counted(df, name):
+        sizes.append(len(df._jdf.queryExecution().sparkPlan().toString().splitlines()))
+        return own(df, name)
+
+    monkeypatch.setattr(module, "settled", counted)
+    return sizes
+
+
+def test_components_are_found_by_small_plans(spark, monkeypatch):
+    """The driver plans, replans and keeps every plan, so that its memory follows the plans' sizes."""
+    sizes = _sizes_of_plans(monkeypatch, graph)
+    edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 6000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 6000), 100)}
+    assert len(sizes) > 2 and max(sizes) < 60
+
+
+def test_near_pairs_are_found_by_small_plans(spark, monkeypatch):
+    import random
+
+    rnd, sizes = random.Random(3), _sizes_of_plans(monkeypatch, jaccard_join)
+    docs, w = [], [f"w{k}" for k in range(120)]
+    for _ in range(240):
+        w = list(w)
+        w[rnd.randrange(len(w))] = f"n{rnd.random()}"
+        docs += [(len(docs) + k, " ".join(w[:60] + [f"x{rnd.random()}"] * k + w[60:])) for k in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(df).collect()}
+    assert got == _similar(docs)
+    assert len(sizes) > 16 and max(sizes) < 150, sizes
+
+
 # ---- 8: contamination
 
 
