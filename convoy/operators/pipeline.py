@@ -18,6 +18,7 @@ from convoy.operators import density, nearest, spread
 from convoy.operators.stored import stored
 
 WITH_ORDER = ["tenant_id", "driver_id"]
+_farthest = spread.farthest
 
 
 def resolve_territory(readings: DataFrame, places: list[tuple[str, float, float]]) -> DataFrame:
